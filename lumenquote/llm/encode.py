@@ -261,6 +261,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     carried = [F.col(id_col).alias("_c0"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep, 1)]]
     narrow = docs.select(*carried, F.col(text_col).cast("string").alias("_text"))
+    n_carried = len(carried)
     schema = ", ".join(f"_c{i} {narrow.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(carried)))
     schema += ", n_tokens int" if count_only else ", ids array<int>" + (", starts array<int>" if offsets else "")
 
@@ -268,9 +269,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                ids, where = encode_texts(b.column(len(carried)).to_pylist(), vocabulary)
-                columns = [b.column(i) for i in range(len(carried))]
-                names = [f"_c{i}" for i in range(len(carried))]
+                ids, where = encode_texts(b.column(n_carried).to_pylist(), vocabulary)
+                columns = [b.column(i) for i in range(n_carried)]
+                names = [f"_c{i}" for i in range(n_carried)]
                 if count_only:
                     columns.append(pa.array([len(x) for x in ids], pa.int32()))
                     names.append("n_tokens")
