@@ -1,27 +1,288 @@
-"""All queries of the core with their SQL."""
+"""All queries of the core over the test tables; oracles.py has their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumenquote.functions.text import collapse_whitespace, strip_control_chars, strip_html_tags
+from lumenquote.operators import gate, judge, match, protocol, verify
 from lumenquote.operators.rejects import parse_records
+from lumenquote.plans import oracles
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.read.parquet(f"{folder}/raw_lines.parquet")
-    return parse_records(raw).filter("reason IS NOT NULL").select("raw_id", "reason")
 
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
 
-def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.read.parquet(f"{folder}/raw_lines.parquet")
-    return parse_records(raw).filter("reason IS NULL").drop("reason")
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_loaded": p2_loaded}
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    return protocol.unique_answers(table(spark, folder, "answers"))
+
+
+def sources(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "sources").select("answer_id", "source_index", "text", "extra_texts")
+
+
+def quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "evidence").select("rec_id", "answer_id", "line_no", "claim_id", "source_index", "quote").dropDuplicates(["rec_id"])
+
+
+def cited(spark: SparkSession, folder: str) -> DataFrame:
+    return verify.citations(answers(spark, folder), sources(spark, folder))
+
+
+def judge_table(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "judge_results").select("answer_id", "id", F.col("entailment_class").alias("class"), "confidence", "reasons", "judged_at")
+
+
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    results = judge.first_results(judge.validate_results(judge_table(spark, folder)))
+    return verify.apply_judge(cited(spark, folder), results)
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+@query
+def p2_found(spark, folder):
+    return parse_records(table(spark, folder, "raw_lines")).filter("reason IS NOT NULL").select("raw_id", "reason")
+
+
+@query
+def p2_loaded(spark, folder):
+    return parse_records(table(spark, folder, "raw_lines")).filter("reason IS NULL").drop("reason")
+
+
+@query
+def parse_evidence(spark, folder):
+    return protocol.parse_evidence(answers(spark, folder))
+
+
+@query
+def malformed_lines(spark, folder):
+    return protocol.malformed_lines(answers(spark, folder))
+
+
+@query
+def invalid_index(spark, folder):
+    return protocol.invalid_indexes(answers(spark, folder))
+
+
+@query
+def strip_appendix(spark, folder):
+    return protocol.strip_appendix(answers(spark, folder))
+
+
+@query
+def clean_text(spark, folder):
+    return protocol.clean_text(answers(spark, folder))
+
+
+@query
+def extract_claims(spark, folder):
+    claims = protocol.extract_claims(answers(spark, folder))
+    return claims.withColumn("source_indexes", F.array_join(F.col("source_indexes").cast("array<string>"), ","))
+
+
+@query
+def duplicate_claims(spark, folder):
+    return protocol.duplicate_claims(answers(spark, folder))
+
+
+@query
+def nonadjacent_markers(spark, folder):
+    return protocol.nonadjacent_markers(answers(spark, folder))
+
+
+@query
+def serialize_appendix(spark, folder):
+    return protocol.serialize_appendix(quotes(spark, folder))
+
+
+@query
+def serialize_roundtrip(spark, folder):
+    """Evidence written as appendices and read again: every row comes back at its place, with the line it had in the table."""
+    rows = quotes(spark, folder)
+    again = protocol.parse_evidence(protocol.serialize_appendix(rows).withColumnRenamed("appendix", "answer"))
+    at = rows.select("answer_id", "line_no").groupBy("answer_id").agg(F.array_sort(F.collect_list("line_no")).alias("_l"))
+    return again.join(at, "answer_id").select("answer_id", "claim_id", "source_index", "quote", F.element_at("_l", F.col("line_no")).alias("original_line"))
+
+
+@query
+def evidence_dedupe(spark, folder):
+    return protocol.first_evidence(protocol.parse_evidence(answers(spark, folder))).drop("quote")
+
+
+@query
+def duplicate_evidence(spark, folder):
+    return protocol.duplicate_evidence(protocol.parse_evidence(answers(spark, folder))).drop("quote")
+
+
+@query
+def orphan_evidence(spark, folder):
+    a = answers(spark, folder)
+    return protocol.orphan_evidence(protocol.parse_evidence(a), protocol.extract_claims(a)).select("answer_id", "line_no", "claim_id", "source_index")
+
+
+@query
+def missing_evidence(spark, folder):
+    a = answers(spark, folder)
+    return protocol.missing_evidence(protocol.parse_evidence(a), protocol.extract_claims(a)).select("answer_id", "claim_id", "source_index")
+
+
+@query
+def missing_sources(spark, folder):
+    return verify.missing_sources(answers(spark, folder), sources(spark, folder)).drop("quote")
+
+
+def all_warnings(spark, folder):
+    a = answers(spark, folder)
+    return protocol.parser_warnings(a).unionByName(verify.verifier_warnings(a, sources(spark, folder)))
+
+
+@query
+def warnings(spark, folder):
+    return all_warnings(spark, folder).select("answer_id", "phase", "kind", F.when(F.col("phase") == 4, F.lit(-1)).otherwise(F.col("ord")).alias("ord"))
+
+
+@query
+def warnings_by_kind(spark, folder):
+    return all_warnings(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("answer_id").alias("n_answers"))
+
+
+@query
+def parsed_answers(spark, folder):
+    p = protocol.parse_answers(answers(spark, folder))
+    return p.select("answer_id", F.length("clean_text").alias("n_chars"), F.size("claims").alias("n_claims"), F.size("evidence").alias("n_evidence"), F.size("warnings").alias("n_warnings"))
+
+
+@query
+def exact_match(spark, folder):
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method = 'exact'").select("answer_id", "line_no", "start", "end", "field")
+
+
+@query
+def normalized_match(spark, folder):
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method = 'normalized'").select("answer_id", "line_no", "field")
+
+
+@query
+def fuzzy_match(spark, folder):
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method IN ('fuzzy', 'not_found')").select("answer_id", "line_no", "method", *r6("score"), "field")
+
+
+@query
+def best_field_match(spark, folder):
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).select("answer_id", "line_no", "claim_id", "source_index", "method", *r6("score"), "field")
+
+
+@query
+def match_method_histogram(spark, folder):
+    located = verify.located_evidence(answers(spark, folder), sources(spark, folder))
+    return located.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("field") != "text").alias("n_extra"))
+
+
+@query
+def trigram_counts(spark, folder):
+    return match.gram_table(quotes(spark, folder), [], "quote")
+
+
+@query
+def dice_pairs(spark, folder):
+    e = quotes(spark, folder).filter(F.length("quote") >= 3)
+    s = sources(spark, folder).filter(F.length("text") >= 3).select("answer_id", "source_index", "text")
+    pairs = e.join(s, ["answer_id", "source_index"]).dropDuplicates(["answer_id", "line_no"])
+    return match.dice_pairs(pairs, ["answer_id", "line_no"], "quote", "text").select("answer_id", "line_no", *r6("dice"))
+
+
+@query
+def answer_summary(spark, folder):
+    summary = verify.summarize(answers(spark, folder), cited(spark, folder))
+    return summary.select("answer_id", "citation_count", *r6("verbatim_rate", "mean_score", "min_score"))
+
+
+def inputs(spark, folder):
+    a, s = answers(spark, folder), sources(spark, folder)
+    return verify.judge_inputs(verify.citations(a, s), a, s)
+
+
+@query
+def judge_inputs(spark, folder):
+    return judge.sanitize(inputs(spark, folder)).drop("context")
+
+
+@query
+def judge_contexts(spark, folder):
+    """Contexts of literal quotes, sanitized."""
+    a, s = answers(spark, folder), sources(spark, folder)
+    return judge.sanitize(verify.judge_inputs(verify.citations(a, s).filter("method = 'exact'"), a, s)).select("answer_id", "id", "context")
+
+
+@query
+def judged_scores(spark, folder):
+    return judged(spark, folder).select("answer_id", "line_no", "claim_id", "source_index", "class", *r6("confidence", "text_score", "score"))
+
+
+@query
+def judged_summary(spark, folder):
+    summary = verify.summarize(answers(spark, folder), judged(spark, folder))
+    return summary.select("answer_id", "citation_count", *r6("verbatim_rate", "entailed_rate", "mean_score", "min_score"))
+
+
+@query
+def judge_warnings(spark, folder):
+    a, s = answers(spark, folder), sources(spark, folder)
+    c = verify.citations(a, s)
+    asked = verify.judge_inputs(c, a, s)
+    given = judge.LookupJudge(judge_table(spark, folder).dropDuplicates(["answer_id", "id"])).judge(asked)
+    return verify.verifier_warnings(a, s, c, asked, given).filter("phase >= 6").select("kind", "answer_id", "claim_id")
+
+
+@query
+def uncited_sentences(spark, folder):
+    return gate.uncited_sentences(answers(spark, folder))
+
+
+@query
+def gate_problems(spark, folder):
+    return gate.gate_problems(judged(spark, folder))
+
+
+def verdicts(spark, folder):
+    a = answers(spark, folder)
+    return gate.gate_verdicts(a, gate.gate_problems(judged(spark, folder)), gate.uncited_sentences(a))
+
+
+@query
+def gate_verdicts(spark, folder):
+    return verdicts(spark, folder).drop("instructions")
+
+
+@query
+def correction_prompt(spark, folder):
+    return verdicts(spark, folder).filter("verdict = 'revise'").select("answer_id", "instructions")
+
+
+@query
+def sanitized_texts(spark, folder):
+    text = collapse_whitespace(strip_html_tags(strip_control_chars(F.col("text"))))
+    return table(spark, folder, "documents").select("doc_id", F.substring(text, 1, judge.CAPS["context"]).alias("context"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
