@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def _balanced(text: str, at: int) -> int:
@@ -73,3 +78,13 @@ def items_of(content: str | None, key: str = "items") -> list:
         except (ValueError, RecursionError):
             continue
     return out
+
+
+def recover_items(key: str = "items") -> Callable[[Column], Column]:
+    """A column function: text to the array of its items, each as JSON. Null and empty texts give an empty array."""
+
+    @F.pandas_udf("array<string>")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda x: [json.dumps(i, ensure_ascii=False) for i in items_of(x, key)])
+
+    return run

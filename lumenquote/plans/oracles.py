@@ -12,7 +12,7 @@ COLLAPSE = lambda x: f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'))"  # noqa: E7
 TRUNCATE = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE substr({x}, 1, {n - 1}) || '…' END"
 UNESCAPE = lambda x: f"replace(regexp_replace(replace(replace({x}, '\\\\', chr(1)), '\\n', chr(10)), '\\\\(.)', '\\1', 'g'), chr(1), '\\')"
 LINE = r'^(c[0-9]+)\|([0-9]+)\|"([\s\S]*)"$'
-HUGE = str(2**63 - 1)
+HUGE = LARGEST = str(2**63 - 1)
 
 
 def _normal_sql(x: str) -> str:
@@ -108,8 +108,8 @@ MATCH = f"""{PARTS}, pr AS (
   SELECT b2.answer_id, b2.line_no, b2.f, greatest(b2.d, b3.d) AS d, b2.l FROM b2 JOIN b3 ON b2.answer_id = b3.answer_id AND b2.line_no = b3.line_no AND b2.f = b3.f
 ), sf AS (
   SELECT lit.answer_id, lit.line_no, lit.f, lit.hit, length(lit.q) AS ql,
-    CASE WHEN hit IS NOT NULL THEN 'exact' WHEN norm THEN 'normalized' WHEN least(0.99, fu.d * least(1.0, fu.l / 90.0::DOUBLE)) >= 0.4 THEN 'fuzzy' ELSE 'not_found' END AS method,
-    CASE WHEN hit IS NOT NULL OR norm THEN 1.0 ELSE coalesce(least(0.99, fu.d * least(1.0, fu.l / 90.0::DOUBLE)), 0.0) END::DOUBLE AS score
+    CASE WHEN hit IS NOT NULL THEN 'exact' WHEN norm THEN 'normalized' WHEN least(0.99, coalesce(fu.d, 0) * least(1.0, coalesce(fu.l, 0) / 90.0::DOUBLE)) >= 0.4 THEN 'fuzzy' ELSE 'not_found' END AS method,
+    CASE WHEN hit IS NOT NULL OR norm THEN 1.0 ELSE least(0.99, coalesce(fu.d, 0) * least(1.0, coalesce(fu.l, 0) / 90.0::DOUBLE)) END::DOUBLE AS score
   FROM lit LEFT JOIN fu ON lit.answer_id = fu.answer_id AND lit.line_no = fu.line_no AND lit.f = fu.f
 ), bf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, line_no ORDER BY score DESC, f) AS r FROM sf WHERE score > 0) WHERE r = 1
 ), cit AS (
@@ -165,9 +165,32 @@ _WARN = """wn AS (
 )"""
 
 
+_FIELD = r'(?:"(?:[^"\\]|\\[\s\S])*"|[^"|]*)'
+_PLAIN, _QUOTED = r'[^"|]*', r'"(?:[^"\\]|\\[\s\S])*"'
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_DIGITS = lambda i, least, most: f"(regexp_matches(f[{i}], '^[0-9]+$') AND length(ltrim(f[{i}], '0')) <= 19 AND coalesce(try_cast('0' || ltrim(f[{i}], '0') AS HUGEINT), -1) BETWEEN {least} AND {most})"
+REJECTS = f"""WITH r AS (
+  SELECT raw_id, kind, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS l FROM raw_lines WHERE line IS NOT NULL
+), k AS (SELECT *, CASE kind WHEN 'evidence' THEN 4 WHEN 'answer' THEN 5 ELSE -1 END AS n FROM r WHERE l <> ''
+), s AS (
+  SELECT *, regexp_full_match(l, '{_FIELD}(?:\\|{_FIELD})*') AS lexed, regexp_full_match(l, '(?:{_PLAIN}\\|)*{_QUOTED}') AS last_only,
+    CASE n WHEN 4 THEN regexp_full_match(l, '{_FIELD}(?:\\|{_FIELD}){{3}}') WHEN 5 THEN regexp_full_match(l, '{_FIELD}(?:\\|{_FIELD}){{4}}') ELSE false END AS counted FROM k
+), v AS (
+  SELECT *, string_split(l, '|') AS f, replace(replace(regexp_extract(l, '({_QUOTED})$', 1), '\\\\', chr(1)), '\\n', ' ') AS q FROM s
+), t AS (
+  SELECT *, {_DIGITS(1, 1, LARGEST)} AND regexp_full_match(regexp_replace(q[2:-2], '\\\\(.)', '\\1', 'g'), '{_SPACE}*') IS NOT TRUE
+    AND CASE WHEN n = 4 THEN regexp_matches(f[2], '^c[0-9]+$') AND {_DIGITS(3, 1, 99)}
+      ELSE f[2] IN ('web', 'api', 'mobile', 'mail', 'batch', 'kiosk') AND regexp_matches(f[3], '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-5][0-9]Z$')
+        AND try_strptime(f[3], '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL AND {_DIGITS(4, 0, 5000)} END AS valid FROM v
+) SELECT raw_id, CASE WHEN NOT lexed THEN 'quoting' WHEN NOT counted THEN 'columns' WHEN NOT last_only THEN 'quoting' ELSE 'value' END AS reason FROM t
+WHERE NOT (lexed AND counted AND last_only AND coalesce(valid, false))"""
+
+
 def oracle_sql() -> dict[str, str]:
     p, m, j = f"WITH {PARTS} ", f"WITH {MATCH} ", f"WITH {JUDGED} "
     return {
+        "p2_found": REJECTS,
+        "json_recovery": "SELECT answer_id, CASE WHEN answer_id % 5 = 4 THEN 0 ELSE count(*) END AS n_items, CASE WHEN answer_id % 5 = 4 THEN '' ELSE string_agg(id, ',' ORDER BY id) END AS ids FROM (SELECT DISTINCT * FROM judge_results) GROUP BY answer_id",
         "parse_evidence": p + "SELECT answer_id, line_no, claim_id, source_index, quote FROM ev",
         "malformed_lines": p + f"SELECT answer_id, line_no, {TRUNCATE('line', 80)} AS detail FROM ap WHERE NOT ok",
         "invalid_index": p + f"SELECT answer_id, line_no, {TRUNCATE('line', 80)} AS detail FROM ap WHERE ok AND source_index < 1",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenquote.functions.json_recover import recover_items
 from lumenquote.functions.text import collapse_whitespace, strip_control_chars, strip_html_tags
 from lumenquote.operators import gate, judge, match, protocol, verify
 from lumenquote.operators.rejects import parse_records
@@ -249,6 +250,25 @@ def judge_warnings(spark, folder):
     return verify.verifier_warnings(a, s, c, asked, given).filter("phase >= 6").select("kind", "answer_id", "claim_id")
 
 
+@query
+def json_recovery(spark, folder):
+    """Judge results written as a model might: whole, inside prose, cut off within a further item, with a broken item, as a bare array."""
+    rows = table(spark, folder, "judge_results").dropDuplicates()
+    item = F.to_json(F.struct("id", F.col("entailment_class").alias("class"), "confidence", "reasons"))
+    per = rows.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_list(item)), ", ").alias("items"), F.count(F.lit(1)).alias("n"))
+    k = F.col("answer_id") % 5
+    whole = F.concat(F.lit('{"items": ['), F.col("items"), F.lit("]}"))
+    content = (
+        F.when(k == 0, whole).when(k == 1, F.concat(F.lit('Here {it is}: "fine" '), whole, F.lit(" Done.")))
+        .when(k == 2, F.concat(F.lit('{"items": ['), F.col("items"), F.lit(', {"id": "c9|1", "cla')))
+        .when(k == 3, F.concat(F.lit('{"items": [{"id": broken}, '), F.col("items"), F.lit("]}")))
+        .otherwise(F.concat(F.lit("["), F.col("items"), F.lit("]")))
+    )
+    found = per.select("answer_id", recover_items()(content).alias("found"))
+    ids = F.array_sort(F.transform("found", lambda x: F.get_json_object(x, "$.id")))
+    return found.select("answer_id", F.size("found").alias("n_items"), F.array_join(ids, ",").alias("ids"))
+
+
 @query
 def uncited_sentences(spark, folder):
     return gate.uncited_sentences(answers(spark, folder))
