@@ -41,7 +41,8 @@ class GarbleRule:
     segment: float = 1.5  # least score of a segment that is looked into
     gain: float = 1.5  # least gain in mean log frequency of pairs by a mapping
     over_case: float = 0.7  # gain that a reading byte for byte needs over the unit in lower case
-    least_known: float = -11.0  # mean log frequency of pairs from which such a reading is evidence by itself
+    least_known: float = -11.0  # mean log frequency of pairs from which such a reading counts as evidence
+    least_letters: int = 6  # characters of such evidence that a text needs
     layers: int = 3  # decodings one over the other
 
 
@@ -191,7 +192,7 @@ class Restorer:
         self.model, self.rule, self.cache = model, rule, {}
 
     def unit(self, before: str, unit: str, after: str) -> tuple[str, bool] | None:
-        """(restored unit, whether it can stand alone as evidence), None if it stays. before and after are the neighbouring characters."""
+        """(restored unit, whether it is evidence that the text was misread), None if it stays. before and after are the neighbouring characters."""
         key = (before, unit, after)
         if key not in self.cache:
             if len(self.cache) > 200_000:
@@ -227,7 +228,7 @@ class Restorer:
         """(affected, text as far as restored, runs that stay garbled). scores: of the pairs that end in each character and after the last."""
         lost = len(REPLACED_RUN.findall(text))
         runs = segments(scores, self.rule.segment)
-        changes, r, sure, sure_bytes = [], 0, False, False
+        changes, r, sure, letters = [], 0, False, 0
         for m in UNIT.finditer(text) if runs else ():
             while r < len(runs) and runs[r][1] < m.start():
                 r += 1
@@ -237,13 +238,16 @@ class Restorer:
                 new = self.unit(text[m.start() - 1 : m.start()] if m.start() else "", m.group(), text[m.end() : m.end() + 1])
                 if new is not None:
                     changes.append((m.start(), m.end(), *new))
-                    sure |= new[1]
-                    sure_bytes |= new[1] and len(new[0]) == m.end() - m.start()
-        if not sure:
+                    if new[1] and len(new[0]) < m.end() - m.start():
+                        sure = True
+                    elif new[1]:
+                        letters += len(new[0])
+        sure_bytes = letters >= self.rule.least_letters
+        if not (sure or sure_bytes):
             return lost > 0, text, lost
         parts, at = [], 0
         for a, b, new, strong in changes:
-            if strong or sure_bytes:  # what proves nothing by itself is restored beside what does
+            if sure_bytes or (strong and len(new) < b - a):  # what proves nothing by itself is restored beside what does
                 parts += [text[at:a], new]
                 at = b
         whole = "".join(parts) + text[at:]

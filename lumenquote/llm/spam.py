@@ -24,7 +24,7 @@ HASHTAG = re.compile(r"#\w{3,}")
 SEPARATOR = re.compile(r"[;,|#•·]|\s[-–—/~*+>]+\s")
 #: A line of a log, a command, code or a measured part.
 LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\[?\d\d:\d\d:\d\d)")
-CODE = re.compile(r"^(?:\s{4,}|\t|\s*(?:\$ |>>> |[{}\[\]();]+\s*$|</?(?:pre|code|div|span)\b))|[{}]\s*$|^[^;]*;\s*$|\w\(.*\)|==|&&|::|->|=>")
+CODE = re.compile(r"^(?:\s{4,}|\t|\s*(?:\$ |>>> |[{}\[\]();]+\s*$|</?(?:pre|code|div|span)\b))|[{}]\s*$|^[^;]*;\s*$|\w\(.*\)|==|&&|::|->|=>|\\[a-zA-Z]+[ {_^(]|^\s*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GROUP BY|ORDER BY|HAVING|JOIN|LIMIT)\b")
 PART = re.compile(r"^\s*(?:[-*+]\s*)?\d+\s*(?:x|×|Stk\.?|pcs\.?)\s+\S.*\d\s*(?:mm|cm|m|kg|g|V|A|W|Ω)\b", re.I)
 
 
