@@ -44,7 +44,7 @@ def truncate(c: Column, most: int) -> Column:
 def escape_quote(c: Column) -> Column:
     """Backslash and quotation mark get a backslash, a line end becomes backslash-n; the CR of a CRLF is lost."""
     doubled = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.regexp_replace(doubled, "\r?\n", "\\\\\\\\n")
+    return F.regexp_replace(doubled, "\r?\n", r"\\n")
 
 
 def unescape_quote(c: Column) -> Column:

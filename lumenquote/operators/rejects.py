@@ -26,8 +26,8 @@ FIELDS = {
 TIME_FORMAT = "%Y-%m-%dT%H:%M:%SZ"
 LARGEST_ID = 2**63 - 1
 
-BLOCK_RECORDS = 512
-LEAF_RECORDS = 2
+BLOCK_RECORDS = 256
+LEAF_RECORDS = 4
 
 #: Bytes that stand for escapes during the columnar parse; records that hold them are read strictly.
 ESCAPED_BACKSLASH, ESCAPED_QUOTE, ESCAPED_NEWLINE = "\x01", "\x02", "\x03"
@@ -124,6 +124,8 @@ def _columnar(kind: str, lines: pa.Array) -> tuple[dict[str, pa.Array], pa.Array
     """Columns of the block and a mask of the records that are certainly right; None if the block can't be parsed as a whole."""
     names = FIELDS[kind]
     text = "\n".join(lines.to_pylist())
+    if text.count("\n") != len(lines) - 1 or "\r" in text:  # records with line ends inside
+        return None
     if ESCAPED_BACKSLASH in text or ESCAPED_QUOTE in text or ESCAPED_NEWLINE in text:
         return None
     text = text.replace("\\\\", ESCAPED_BACKSLASH).replace('\\"', ESCAPED_QUOTE).replace("\\n", ESCAPED_NEWLINE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -12,7 +13,7 @@ from lumenquote.operators.protocol import claim_segments, parse_evidence
 def answer_stream(spark: SparkSession, folder: str, schema: StructType, late: str = "7 days", files_per_trigger: int = 8) -> DataFrame:
     """Answers from files of a folder, resent ones dropped within the time that rows may be late."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return stream.withWatermark("received_at", late).dropDuplicatesWithinWatermark(["answer_id"])
+    return stream.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", late).dropDuplicatesWithinWatermark(["answer_id"])
 
 
 def evidence_stream(answers: DataFrame) -> DataFrame:
