@@ -225,6 +225,9 @@ def encode_texts(texts: list[str | None], path: str) -> tuple[list[list[int]], l
             stop += 1
         part = [x or "" for x in texts[at:stop]]
         starts, owner, joined = pretokenize(part)
+        if not len(starts):
+            at = stop
+            continue
         base = np.concatenate([[1], 1 + np.cumsum([len(x) + 1 for x in part])])
         ends = np.append(starts[1:], len(joined))
         last = np.append(owner[1:] != owner[:-1], True)
