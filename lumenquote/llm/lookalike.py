@@ -20,18 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and the Latin letter they look like.
-CYRILLIC_ALIKE = "АВЕЅІЈКМНОРСТУХԌԚԜаеорсухіјѕһԁԛԝҮүӀ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTYXGQWaeopcyxijshdqwYvI"
-GREEK_ALIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορχιγϳ"
-GREEK_LATIN = "ABEZHIKMNOPTYXavopxiyj"
-OTHER_ALIKE = "µКℎɑɡı"
-OTHER_LATIN = "μKhagı"
+CYRILLIC_ALIKE = "АВЕЅІЈКМНОРСТУХԌԚԜаеорсухіјѕһԁԛԝӀ"
+CYRILLIC_LATIN = "ABESIJKMHOPCTYXGQWaeopcyxijshdqwI"
+GREEK_ALIKE = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορχϳ"
+GREEK_LATIN = "ABEZHIKMNOPTYXavopxj"
+OTHER_ALIKE = "\u00b5\u210e\u0251\u0261"
+OTHER_LATIN = "\u03bchag"
 
 VOCABULARY_SIZE = 50_000
 LEAST_COUNT = 5
 LONGEST_WORD = 32
 CACHE_TOKENS = 300_000
-TOKEN = re.compile(r"[^\W_]+(?:[^\W_]|[­̀-ͯ​-‏⁠-⁤﻿])*")
+TOKEN = re.compile(r"[^\W_]+(?:[^\W_]|[\u00ad\u0300-\u036f\u200b-\u200f\u2060-\u2064\ufeff])*")
 
 
 @lru_cache(maxsize=1)

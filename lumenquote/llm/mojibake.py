@@ -27,7 +27,7 @@ BATCH_ROWS = 4000
 THROUGH_UTF8 = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "cp1250", "cp1253", "iso8859-15")
 SINGLE_BYTE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"))
 REPLACED_RUN = re.compile(r"[\x80-\x9f\ufffd]+")
-IGNORABLE = re.compile(r"[​-‏⁠﻿]")
+IGNORABLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 UNIT = re.compile(r"[^\x00-\x7f]+")
 #: Code points that stand for themselves; the others share the last symbols by block.
 RANGES = ((0x0, 0x250), (0x370, 0x530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2200, 0x2300), (0x2500, 0x25C0), (0xFFFD, 0xFFFE))
@@ -197,7 +197,9 @@ class Restorer:
         if key not in self.cache:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            self.cache[key] = self._unit(before, IGNORABLE.sub("", unit), after)
+            # A soft hyphen may be half a letter, or have come in between later.
+            bare = IGNORABLE.sub("", unit)
+            self.cache[key] = self._unit(before, unit, after) or (self._unit(before, bare, after) if bare != unit else None)
         return self.cache[key]
 
     def _unit(self, before: str, unit: str, after: str) -> tuple[str, bool] | None:

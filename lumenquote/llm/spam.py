@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]|[^\W\d_]+")
+WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af]|[^\W\d_]+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])]+", re.I)
 MARKUP = re.compile(r"</?[a-z][^>]*>|\[/?url[^\]]*\]", re.I)
 HASHTAG = re.compile(r"#\w{3,}")

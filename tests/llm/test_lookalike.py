@@ -4,7 +4,7 @@ from lumenquote.llm import lookalike as L
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("Ｗａｔｅｒ １２", "Water 12"), ("wаtеr", "water"), ("café", "café"), ("ﬁne ﬂow", "fine flow"), ("so­ft​ly‍", "softly"), ("a b c　d", "a b c d"), ("x;", "x;"), ("K", "K"),
+    ("Ｗａｔｅｒ １２", "Water 12"), ("wаtеr", "water"), ("cafe\u0301", "café"), ("\ufb01ne \ufb02ow", "fine flow"), ("so\u00adft\u200bly\u200d", "softly"), ("a\u00a0b\u2009c\u3000d", "a b c d"), ("x\u037e", "x;"), ("\u212a", "K"),
     ("m² № “q” – A a", "m² № “q” – A a"), ("", ""), ("ё", "ë"),
 ])
 def test_table_form(raw, want):
@@ -14,7 +14,7 @@ def test_table_form(raw, want):
 
 def test_trie():
     trie = L.Trie({"насос": 9, "water": 5, "Hacoc": 1, "été": 3})
-    assert trie.closest("нacoс") == ("насос", 0) and trie.closest("wаt­er") == ("water", 0) and trie.closest("été") == ("été", 0)
+    assert trie.closest("нacoс") == ("насос", 0) and trie.closest("wаt­er") == ("water", 0) and trie.closest("e\u0301te\u0301") == ("été", 0)
     assert trie.closest("wafer") is None and trie.closest("wafer", 1) == ("water", 1) and trie.closest("waer", 1) == ("water", 1) and trie.closest("waters", 1) == ("water", 1)
     assert trie.closest("Water") is None and trie.closest("") is None
 
@@ -37,7 +37,7 @@ def test_clean_words():
 def test_quotes(spark):
     text = "The cold water pump of Brücke 7 fell to 20 m² – “now”. Насос стоит."
     s = spark.createDataFrame([(1, 1, text, "x"), (1, 1, text, "x"), (2, 1, None, "x"), (3, 1, text * 3000, "x")], "answer_id bigint, source_index int, text string, quote string")
-    quotes = ["cold water pump", "сold wаter pump", "Ｃold water", "ｃｏｌｄ water", "Brücke 7 fell", "20 m2", '"now"', "Cold water", "Hаcoс стoит", "old wаt", "", None, "water​ pump of Br"]
+    quotes = ["cold water pump", "сold wаter pump", "Ｃold water", "ｃｏｌｄ water", "Bru\u0308cke 7 fell", "20 m2", '"now"', "Cold water", "Hаcoс стoит", "old wаt", "", None, "water​ pump of Br"]
     e = spark.createDataFrame([(1, i, 1, q, "t") for i, q in enumerate(quotes)] + [(2, 1, 1, "x", "t"), (3, 1, 1, "wаter", "t"), (3, 1, 1, "wаter", "t"), (9, 1, 1, "x", "t")], "answer_id bigint, line_no int, source_index int, quote string, text string")
     words = L.fit_vocabulary(spark.createDataFrame([("cold water pump стоит",)] * 5, "t string"))
     assert words == {"cold": 5, "pump": 5, "water": 5, "стоит": 5}
