@@ -8,8 +8,9 @@ from functools import lru_cache
 import numpy as np
 
 # Characters that count as the same.
-SINGLE_QUOTES, DOUBLE_QUOTES, DASHES = "‘’‚‛′", "“”„‟″«»", "‐‑‒–—―−"
-INVISIBLE = "­​‌‍‎‏⁠﻿"
+SINGLE_QUOTES, DOUBLE_QUOTES = "\u2018\u2019\u201a\u201b\u2032", "\u201c\u201d\u201e\u201f\u2033\u00ab\u00bb"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+INVISIBLE = "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 
 
 @lru_cache(maxsize=65_536)

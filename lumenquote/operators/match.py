@@ -21,7 +21,7 @@ from lumenquote.functions.text import trim_blank
 
 # Fixed values of the matching rule.
 LEAST_WINDOW, LEAST_STEP, MOST_STEP, GOOD_ENOUGH, BEST_FUZZY = 40, 10, 80, 0.995, 0.99
-BLANKS = "\t\n\x0b\x0c\r \xa0                　﻿"
+BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CHUNK = 16_384
 
 
