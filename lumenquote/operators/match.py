@@ -1,7 +1,7 @@
 """Locating quotes in source texts: exact, in normal form, or the best window by character trigrams.
 
-What the JVM can settle (a literal hit in the main text) never reaches Python; the rest goes to an Arrow function
-that reads the fields of a source in order.
+What the JVM can settle (a literal hit in the main text) goes to Python without its texts; for the rest an Arrow
+function reads the fields of a source in order.
 """
 
 from __future__ import annotations
@@ -66,6 +66,13 @@ class _Scan:
         at = np.searchsorted(self.kinds, grams)
         at[at == len(self.kinds)] = 0
         self.kind = np.where(self.kinds[at] == grams, at, -1) if len(self.kinds) and len(grams) else np.full(len(grams), -1)
+        self.all = self._running(self.kind) if len(grams) <= CHUNK else None  # for long texts counts are made by stretches
+
+    def _running(self, kind: np.ndarray) -> np.ndarray:
+        counts = np.zeros((len(kind) + 1, len(self.kinds)), np.int16 if len(kind) < 32_000 else np.int32)
+        seen = np.flatnonzero(kind >= 0)
+        counts[seen + 1, kind[seen]] = 1
+        return np.cumsum(counts, axis=0, dtype=counts.dtype, out=counts)
 
     def whole(self) -> float:
         if self.length < 3:
@@ -81,12 +88,11 @@ class _Scan:
             low = int(positions[k])
             stop = int(np.searchsorted(positions, low + CHUNK, "right"))
             own = positions[k:stop]
-            kind = self.kind[low : int(own[-1]) + width - 2]
-            counts = np.zeros((len(self.kinds), len(kind) + 1), np.int32)
-            seen = np.flatnonzero(kind >= 0)
-            counts[kind[seen], seen + 1] = 1
-            np.cumsum(counts, axis=1, out=counts)
-            common = np.minimum(counts[:, own - low + width - 2] - counts[:, own - low], self.want[:, None]).sum(axis=0)
+            if self.all is not None:
+                counts, rows = self.all, own
+            else:
+                counts, rows = self._running(self.kind[low : int(own[-1]) + width - 2]), own - low
+            common = np.minimum(counts[rows + width - 2] - counts[rows], self.want).sum(axis=1)
             score = 2.0 * common / (self.quote_total + width - 2)
             enough = np.flatnonzero(score >= GOOD_ENOUGH)
             i = int(enough[0]) if len(enough) else int(np.argmax(score))
@@ -170,26 +176,27 @@ def match_quotes(pairs: DataFrame, quote: str = "quote", text: str = "text", ext
     Null quotes, texts and extra texts count as empty and give not_found with score 0.
     """
     keys = [c for c in pairs.columns if c not in (text, extra_texts)]
-    hit = exact_position(F.col(quote), F.col(text))
+    n = len(keys)
     long_enough = F.length(trim_blank(F.col(text))) >= options.min_source_length
-    staged = pairs.withColumn("_at", F.when(long_enough, hit))
-    q = trim_blank(F.col(quote))
-    done = staged.filter(F.col("_at").isNotNull()).select(
-        *keys, F.lit("exact").alias("method"), F.lit(1.0).alias("score"), F.col("_at").cast("int").alias("start"), (F.col("_at") + F.length(q)).cast("int").alias("end"), F.lit("text").alias("field")
-    )
-    rest = staged.filter(F.col("_at").isNull()).select(*keys, F.concat(F.array(F.col(text)), F.coalesce(F.col(extra_texts), F.array().cast("array<string>"))).alias("_fields"))
-    at, n = keys.index(quote), len(keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema[:-1]) + ", " + MATCH_FIELDS
+    hit = F.when(long_enough, exact_position(F.col(quote), F.col(text))).cast("int")
+    fields = F.concat(F.array(F.col(text)), F.coalesce(F.col(extra_texts), F.array().cast("array<string>")))
+    # One pass over the pairs: what is settled goes through without its texts.
+    staged = pairs.withColumn("_at", hit).select(*keys, F.col("_at"), F.when(F.col("_at").isNotNull(), F.col("_at") + F.length(trim_blank(F.col(quote)))).alias("_to"), F.when(F.col("_at").isNull(), fields).alias("_fields"))
+    at = keys.index(quote)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in staged.schema[:n]) + ", " + MATCH_FIELDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 b = whole.slice(k, 1000)
-                found = [match_quote_against_source(x, y, options) for x, y in zip(b.column(at).to_pylist(), b.column(n).to_pylist())]
+                found = [
+                    QuoteMatch("exact", 1.0, start, end) if start is not None else match_quote_against_source(q, own, options)
+                    for q, start, end, own in zip(*(b.column(i).to_pylist() for i in (at, n, n + 1, n + 2)))
+                ]
                 new = [pa.array([getattr(m, name) for m in found], kind) for name, kind in (("method", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("field", pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=[*keys, "method", "score", "start", "end", "field"])
 
-    return done.unionByName(rest.mapInArrow(run, schema))
+    return staged.mapInArrow(run, schema)
 
 
 def trigrams(c: Column) -> Column:

@@ -46,7 +46,8 @@ def unique_answers(answers: DataFrame) -> DataFrame:
 def _with_lines(answers: DataFrame) -> DataFrame:
     """answer, _lines, _start and _end: 0-based lines of the appendix' marks, both null without a whole appendix."""
     lines = answers.withColumn("_lines", F.split(F.coalesce(F.col("answer").cast("string"), F.lit("")), "\n", -1))
-    marks = F.transform("_lines", lambda x: trim_blank(x))
+    # Few lines can be marks, so few are trimmed.
+    marks = F.transform("_lines", lambda x: F.when(F.contains(x, F.lit(APPENDIX_START)), trim_blank(x)))
     found = lines.withColumn("_marks", marks).withColumn("_end", F.array_max(F.transform("_marks", lambda x, i: F.when(x == APPENDIX_END, i))))
     start = F.array_max(F.transform("_marks", lambda x, i: F.when((x == APPENDIX_START) & (i < F.col("_end")), i)))
     found = found.withColumn("_start", start).drop("_marks")

@@ -14,23 +14,16 @@ from lumenquote.operators.match import MatchOptions, match_quotes
 DEFAULT_CONTEXT = 420
 
 
-def unique_sources(sources: DataFrame) -> DataFrame:
-    """Resent sources once per (answer_id, source_index). Whole rows are compared by their least; texts are not."""
-    by = F.struct(*[F.col(c) for c in ("rec_id",) if c in sources.columns], "text", "extra_texts")
-    first = sources.groupBy("answer_id", "source_index").agg(F.min(by).alias("_s"))
-    return first.select("answer_id", "source_index", F.col("_s.text").alias("text"), F.col("_s.extra_texts").alias("extra_texts"))
-
-
 def located_evidence(answers: DataFrame, sources: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
     """answer_id, line_no, claim_id, source_index, quote and the match, for first evidence whose source was given.
 
-    Evidence is unique by (answer_id, claim_id, source_index); the join is by (answer_id, source_index), and resent
-    sources fall together afterwards, so source texts are moved once.
+    Evidence is unique by (answer_id, claim_id, source_index); the join is by (answer_id, source_index). Resent
+    sources fall together after the matching, when the texts are gone, so texts are moved once.
     """
     evidence = P.first_evidence(P.parse_evidence(answers))
     s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"), "text", "extra_texts")
-    joined = evidence.join(s, ["answer_id", "source_index"]).dropDuplicates(["answer_id", "claim_id", "source_index"])
-    return match_quotes(joined.select("answer_id", "line_no", "claim_id", "source_index", "quote", "text", "extra_texts"), options=options)
+    joined = evidence.join(s, ["answer_id", "source_index"]).select("answer_id", "line_no", "claim_id", "source_index", "quote", "text", "extra_texts")
+    return match_quotes(joined, options=options).dropDuplicates(["answer_id", "claim_id", "source_index"])
 
 
 def missing_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -56,9 +49,9 @@ def judge_inputs(cited: DataFrame, answers: DataFrame, sources: DataFrame) -> Da
     """answer_id, id, claim, quote, context of the citations that have both a claim and a quote; the width is the answer's own, else the default."""
     width = answers.select("answer_id", F.coalesce("context_window_chars", F.lit(DEFAULT_CONTEXT)).alias("_w")) if "context_window_chars" in answers.columns else answers.select("answer_id", F.lit(DEFAULT_CONTEXT).alias("_w"))
     s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"), "text")
-    rows = cited.filter("claim_text <> '' AND quote <> ''").join(s, ["answer_id", "source_index"]).join(width, "answer_id").dropDuplicates(["answer_id", "claim_id", "source_index"])
+    rows = cited.filter("claim_text <> '' AND quote <> ''").join(width, "answer_id").join(s, ["answer_id", "source_index"])
     context = context_window(F.col("text"), F.col("start"), F.col("end"), F.col("field"), F.col("_w"))
-    return rows.select("answer_id", F.concat_ws("|", "claim_id", F.col("source_index").cast("string")).alias("id"), F.col("claim_text").alias("claim"), "quote", context.alias("context"))
+    return rows.select("answer_id", F.concat_ws("|", "claim_id", F.col("source_index").cast("string")).alias("id"), F.col("claim_text").alias("claim"), "quote", context.alias("context")).dropDuplicates(["answer_id", "id"])
 
 
 def apply_judge(cited: DataFrame, results: DataFrame) -> DataFrame:

@@ -203,8 +203,8 @@ def trigram_counts(spark, folder):
 def dice_pairs(spark, folder):
     e = quotes(spark, folder).filter(F.length("quote") >= 3)
     s = sources(spark, folder).filter(F.length("text") >= 3).select("answer_id", "source_index", "text")
-    pairs = e.join(s, ["answer_id", "source_index"]).dropDuplicates(["answer_id", "line_no"])
-    return match.dice_pairs(pairs, ["answer_id", "line_no"], "quote", "text").select("answer_id", "line_no", *r6("dice"))
+    pairs = e.join(s, ["answer_id", "source_index"])
+    return match.dice_pairs(pairs, ["answer_id", "line_no"], "quote", "text").select("answer_id", "line_no", *r6("dice")).distinct()
 
 
 @query
