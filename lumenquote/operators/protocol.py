@@ -18,6 +18,8 @@ APPENDIX_START, APPENDIX_END = "EVI1", "END_EVI1"
 EVIDENCE_LINE = r'^(c[0-9]+)\|([0-9]+)\|"([\s\S]*)"$'
 CITATION_GROUP = r"((?:\[[0-9]+\])+)$"
 DETAIL_CHARS = 80
+#: Places of a warning are put into one number, by this factor.
+ORDER = 100_000
 
 #: What each kind of warning says; filled with its claim, source and detail.
 MESSAGES = {
@@ -56,9 +58,12 @@ def _with_lines(answers: DataFrame) -> DataFrame:
 
 def strip_appendix(answers: DataFrame) -> DataFrame:
     """answer_id, body: the answer without its appendix and trailing blanks; without an appendix the answer unchanged."""
-    a = _with_lines(answers)
+    return _with_lines(answers).select("answer_id", _body().alias("body"))
+
+
+def _body() -> Column:
     rest = F.concat(F.slice("_lines", 1, F.col("_start")), F.slice("_lines", F.col("_end") + 2, F.size("_lines")))
-    return a.select("answer_id", F.when(F.col("_start").isNull(), F.coalesce(F.col("answer").cast("string"), F.lit(""))).otherwise(trim_end(F.array_join(rest, "\n"))).alias("body"))
+    return F.when(F.col("_start").isNull(), F.coalesce(F.col("answer").cast("string"), F.lit(""))).otherwise(trim_end(F.array_join(rest, "\n")))
 
 
 def clean_text(answers: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def missing_evidence(evidence: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def _typed(df: DataFrame, phase: int, kind: str, order: list[str], claim: bool = True, source: bool = False, detail: str | None = None) -> DataFrame:
-    at = reduce(lambda a, b: a * F.lit(100_000) + b, [F.col(c).cast("bigint") for c in order])
+    at = reduce(lambda a, b: a * F.lit(ORDER) + b, [F.col(c).cast("bigint") for c in order])
     return df.select(
         "answer_id", F.lit(phase).alias("phase"), at.alias("ord"), F.lit(kind).alias("kind"),
         (F.col("claim_id") if claim else F.lit(None).cast("string")).alias("claim_id"),
@@ -177,22 +182,65 @@ def _typed(df: DataFrame, phase: int, kind: str, order: list[str], claim: bool =
     )
 
 
+def answer_events(answers: DataFrame) -> DataFrame:
+    """answer_id, type, line_no, seg_no, claim_id, source_index, cites, detail of all that the parser sees, from one reading.
+
+    type: evidence, malformed_line or invalid_index for appendix lines, claim for claim markers (with their cites).
+    """
+    tagged = F.concat(
+        F.transform(F.split(_body(), "\n", -1), lambda x, i: F.struct(F.lit(True).alias("body"), i.alias("line_no"), x.alias("line"))),
+        F.coalesce(F.transform(F.slice("_lines", F.col("_start") + 2, F.col("_end") - F.col("_start") - 1), lambda x, i: F.struct(F.lit(False).alias("body"), (i + 1).alias("line_no"), x.alias("line"))), F.array()),
+    )
+    lines = _with_lines(answers).select("answer_id", F.explode(tagged).alias("_t")).select("answer_id", "_t.*")
+    lines = lines.withColumn("line", F.when(F.col("body"), F.col("line")).otherwise(trim_blank(F.col("line")))).filter(F.when(F.col("body"), F.contains("line", F.lit("{c"))).otherwise(F.col("line") != ""))
+    ids = F.regexp_extract_all("line", F.lit(r"\{c([0-9]+)\}"), F.lit(1))
+    segments = F.arrays_zip(ids.alias("id"), F.slice(F.split("line", CLAIM_MARKER, -1), 1, F.size(ids)).alias("text"))
+    one = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("text")))
+    rows = lines.select("answer_id", "body", "line_no", "line", F.posexplode(F.when(F.col("body"), segments).otherwise(one)).alias("seg_no", "_z"))
+    ok = F.col("line").rlike(EVIDENCE_LINE)
+    index = F.when(~F.col("body") & ok, F.coalesce(F.regexp_extract("line", EVIDENCE_LINE, 2).try_cast("bigint"), F.lit(2**63 - 1)))
+    kind = F.when(F.col("body"), "claim").when(~ok, "malformed_line").when(F.col("_i") < 1, "invalid_index").otherwise("evidence")
+    claim = F.when(F.col("body"), F.concat(F.lit("c"), F.col("_z.id"))).when(ok, F.regexp_extract("line", EVIDENCE_LINE, 1))
+    return rows.withColumn("_i", index).select(
+        "answer_id", kind.alias("type"), "line_no", "seg_no", claim.alias("claim_id"), F.col("_i").alias("source_index"),
+        F.when(F.col("body"), group_indexes(F.regexp_extract(F.col("_z.text"), CITATION_GROUP, 1))).alias("cites"), F.when(~F.col("body"), truncate(F.col("line"), DETAIL_CHARS)).alias("detail"),
+    )
+
+
 def parser_warnings(answers: DataFrame) -> DataFrame:
-    """answer_id, phase, ord, kind, claim_id, source_index, detail: all that the parser has to say, orderable by phase and ord."""
-    evidence, claims = parse_evidence(answers), extract_claims(answers)
-    lines = _read_lines(answers)
-    bad = lines.filter(~F.col("_ok") | (F.col("source_index") < 1)).withColumn("detail", truncate(F.col("line"), DETAIL_CHARS))
-    first = _typed(bad, 1, "", ["line_no"], claim=False, detail="detail").drop("kind")
-    kinds = bad.select("answer_id", F.col("line_no").cast("bigint").alias("ord"), F.when(F.col("_ok"), "invalid_index").otherwise("malformed_line").alias("kind"))
-    first = first.join(kinds, ["answer_id", "ord"]).select("answer_id", "phase", "ord", "kind", "claim_id", "source_index", "detail")
-    return reduce(DataFrame.unionByName, [
-        first,
-        _typed(nonadjacent_markers(answers).withColumn("_k", F.lit(0)), 2, "nonadjacent_group", ["line_no", "seg_no", "_k"]),
-        _typed(duplicate_claims(answers).withColumn("_k", F.lit(1)), 2, "duplicate_claim", ["line_no", "seg_no", "_k"]),
-        _typed(duplicate_evidence(evidence), 3, "duplicate_evidence", ["line_no"], source=True),
-        _typed(orphan_evidence(evidence, claims), 3, "orphan_evidence", ["line_no"], source=True),
-        _typed(missing_evidence(evidence, claims), 4, "missing_evidence", ["line_no", "seg_no", "cite_no"], source=True),
-    ])
+    """answer_id, phase, ord, kind, claim_id, source_index, detail: all that the parser has to say, orderable by phase and ord.
+
+    Answers are read once; both windows keep to the partitioning by answer_id, so only rows of events are sorted.
+    """
+    events = answer_events(answers)
+    again = F.row_number().over(Window.partitionBy("answer_id", "type", "claim_id", "source_index").orderBy("line_no", "seg_no"))
+    events = events.withColumn("_rank", again)
+    # Each first claim becomes one row per source it cites; the others stay one row, told by a null place.
+    cites = F.when((F.col("type") == "claim") & (F.col("_rank") == 1), F.col("cites"))
+    rows = events.select("*", F.posexplode_outer(cites).alias("cite_no", "_cited")).withColumn("source_index", F.coalesce("_cited", "source_index"))
+    pair = Window.partitionBy("answer_id", "claim_id", "source_index")
+    is_cite, is_quote = F.col("_cited").isNotNull(), F.col("type") == "evidence"
+    rows = rows.withColumn("_has_cite", F.max(is_cite).over(pair)).withColumn("_has_quote", F.max(is_quote).over(pair))
+    line, seg = F.col("line_no").cast("bigint"), F.col("seg_no").cast("bigint")
+    once = F.coalesce(F.col("cite_no"), F.lit(0)) == 0
+    is_claim, marker = F.col("type") == "claim", (line * ORDER + seg) * ORDER
+
+    def warn(when: Column, phase: int, kind: Column | str, at: Column, claim: bool = True, source: bool = False, detail: bool = False) -> Column:
+        none = F.lit(None).cast("string")
+        return F.when(when, F.struct(
+            F.lit(phase).alias("phase"), at.alias("ord"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (F.col("claim_id") if claim else none).alias("claim_id"),
+            (F.col("source_index") if source else F.lit(None).cast("bigint")).alias("source_index"), (F.col("detail") if detail else none).alias("detail"),
+        ))
+
+    found = F.array_compact(F.array(
+        warn(F.col("type").isin("malformed_line", "invalid_index"), 1, F.col("type"), line, claim=False, detail=True),
+        warn(is_claim & once & (F.size("cites") == 0), 2, "nonadjacent_group", marker),
+        warn(is_claim & (F.col("_rank") > 1), 2, "duplicate_claim", marker + 1),
+        warn(is_quote & (F.col("_rank") > 1), 3, "duplicate_evidence", line, source=True),
+        warn(is_quote & (F.col("_rank") == 1) & ~F.col("_has_cite"), 3, "orphan_evidence", line, source=True),
+        warn(is_cite & ~F.col("_has_quote"), 4, "missing_evidence", (line * ORDER + seg) * ORDER + F.col("cite_no"), source=True),
+    ))
+    return rows.select("answer_id", F.explode(found).alias("_w")).select("answer_id", "_w.*")
 
 
 def message(kind: Column, claim: Column, source: Column, detail: Column) -> Column:
