@@ -147,10 +147,10 @@ def report_shares(tokens: DataFrame, targets: DataFrame, rule: MixRule = MixRule
     rows = [(s.source, s.target_share, s.max_repeats, s.available, int(s.aim)) for s in shares]
     plan = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens bigint, aim_tokens bigint")
     used = blocks(tokens, shares, rule).groupBy("source").agg(F.sum("n_tokens").alias("_m"), (F.max("copy") + 1).alias("_u"))
-    whole = used.agg(F.sum("_m").alias("_all"))  # one row
-    out = plan.join(used, "source", "left").join(F.broadcast(whole))
+    whole = used.agg(F.sum("_m")).scalar()
+    out = plan.join(used, "source", "left")
     mixed = F.coalesce("_m", F.lit(0))
     return out.select(
         "source", "target_share", "max_repeats", "available_tokens", "aim_tokens", mixed.alias("mixed_tokens"),
-        F.coalesce(mixed / F.col("_all"), F.lit(0.0)).alias("actual_share"), (mixed / F.lit(float(max(total, 1)))).alias("share_of_aim"), F.coalesce("_u", F.lit(0)).alias("most_uses"),
+        F.coalesce(mixed / whole, F.lit(0.0)).alias("actual_share"), (mixed / F.lit(float(max(total, 1)))).alias("share_of_aim"), F.coalesce("_u", F.lit(0)).alias("most_uses"),
     )

@@ -81,20 +81,21 @@ def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLi
     """
     counts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count_document_words, "lang string, word string, n bigint")
     counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    # Aggregates of the word rows alone: the largest count of a language is that of the empty word, its documents.
     by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("all_words"))
+    # At most 1 / least_language languages pass, so they may be broadcast whatever the corpus.
+    total = counts.filter("word = ''").agg(F.sum("n")).scalar()
+    by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_language * total))
     often = counts.filter("word <> '' AND n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
-    return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect(), limits)
+    return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect())
 
 
-def pick_languages(rows: list, limits: SpamLimits) -> Functions:
-    words, mass, size, whole = defaultdict(set), Counter(), {}, {}
-    for lang, word, n, docs, all_words in rows:
+def pick_languages(rows: list) -> Functions:
+    words, mass, whole = defaultdict(set), Counter(), {}
+    for lang, word, n, _, all_words in rows:
         words[lang].add(word)
         mass[lang] += n
-        size[lang], whole[lang] = docs, all_words
-    total = sum(size.values())
-    return [(frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words) if size[k] >= limits.least_language * total]
+        whole[lang] = all_words
+    return [(frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words)]
 
 
 def split_lines(text: str) -> list[tuple[str, bool, int]]:

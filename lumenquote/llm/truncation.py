@@ -100,8 +100,8 @@ def usual_lines(values: DataFrame, rule: SpikeRule) -> DataFrame:
     """_form of the closing lines that many values of many lengths share (at most 1 / usual_line of them); a lone masked word is none."""
     forms = values.groupBy("_form").agg(F.count(F.lit(1)).alias("_k"), F.approx_count_distinct("_n").alias("_d"))
     forms = forms.filter(F.col("_d") >= F.least(F.lit(10), F.col("_k") / 2))  # else they are cut alike
-    total = values.agg(F.count(F.lit(1)).alias("_all"))
-    forms = forms.join(F.broadcast(total)).filter((F.col("_k") >= rule.usual_line * F.col("_all")) & (F.col("_k") >= 2))  # total is one row
+    total = values.agg(F.count(F.lit(1)))
+    forms = forms.filter((F.col("_k") >= rule.usual_line * total.scalar()) & (F.col("_k") >= 2))
     return forms.filter(~F.col("_form").rlike(r"^[X0 ,.]*$")).select("_form", F.lit(True).alias("_usual"))
 
 
