@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SYMBOLS = 2048
-BATCH_ROWS = 4000
+BATCH_CHARS = 2_000_000
 
 # Fixed values: (encoding that misread the bytes, encoding that was meant).
 THROUGH_UTF8 = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "cp1250", "cp1253", "iso8859-15")
@@ -69,15 +69,26 @@ def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols, points, base
 
 
+def portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(index of the first, texts) in portions of about BATCH_CHARS characters."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= BATCH_CHARS):
+            size += len(texts[stop])
+            stop += 1
+        yield at, texts[at:stop]
+        at = stop
+
+
 def pair_counts(texts: DataFrame) -> DataFrame:
     """pair (first * SYMBOLS + second), n over all rows of the one text column; each task adds up its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            own = [x for x in b.column(0).to_pylist() if x]
-            for at in range(0, len(own), BATCH_ROWS):
-                symbols, _, _ = symbols_of(own[at : at + BATCH_ROWS])
+            for _, own in portions([x for x in b.column(0).to_pylist() if x]):
+                symbols, _, _ = symbols_of(own)
                 counts = np.bincount(symbols[:-1].astype(np.int64) * SYMBOLS + symbols[1:], minlength=SYMBOLS * SYMBOLS)
                 total = counts if total is None else total + counts
         if total is not None:
@@ -275,9 +286,8 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, corpus: DataFra
         restorer = Restorer(PairModel(pair, n).prepare(rule), rule)
         score = restorer.model.score
         for whole in batches:
-            for k in range(0, whole.num_rows, BATCH_ROWS):
-                b = whole.slice(k, BATCH_ROWS)
-                texts = b.column(1).to_pylist()
+            for k, texts in portions(whole.column(1).to_pylist()):
+                b = whole.slice(k, len(texts))
                 symbols, _, base = symbols_of(texts)
                 scores = score[symbols[:-1].astype(np.int64) * SYMBOLS + symbols[1:]]
                 ids, restored, lost = [], [], []

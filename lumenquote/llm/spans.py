@@ -226,31 +226,45 @@ def name_records(records: DataFrame, least: int = LEAST) -> DataFrame:
     """name, rec, grp, field, lo, hi: the names each record of long_fields puts out; a narrow step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _portions(whole):
-                lists = b.column(2)
-                parent = lists.value_parent_indices() if hasattr(lists, "value_parent_indices") else pc.list_parent_indices(lists)
-                flat = lists.flatten()
-                texts, field = flat.field(1).to_pylist(), flat.field(0)
+        for b in batches:
+            lists = b.column(2)
+            flat, parent = lists.flatten(), pc.list_parent_indices(lists)
+            for texts, field_of, offset in _portions(flat.field(1), least):
                 name, owner, lo, hi = choose_names(texts, least)
-                owner = pa.array(owner)
-                parent = parent.take(owner)
+                if not len(name):
+                    continue
+                at = offset[owner]
+                owner = pa.array(field_of[owner])
+                row = parent.take(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name), b.column(0).take(parent), b.column(1).take(parent), field.take(owner), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                    [pa.array(name), b.column(0).take(row), b.column(1).take(row), flat.field(0).take(owner), pa.array((lo + at).astype(np.int32)), pa.array((hi + at).astype(np.int32))],
                     names=["name", "rec", "grp", "field", "lo", "hi"],
                 )
 
     return records.mapInArrow(run, "name bigint, rec bigint, grp bigint, field int, lo int, hi int")
 
 
-def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BATCH_POINTS code points."""
-    sizes = np.array([sum(len(x["text"]) for x in r) for r in batch.column(2).to_pylist()], np.int64)
-    bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_POINTS, prepend=0))
-    edges = [0, *[int(x) for x in bounds if x], batch.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
+def _portions(texts: pa.Array, least: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(texts, which text each is, where it begins there) in portions of about BATCH_POINTS code points.
+
+    Longer texts are cut into pieces that overlap by one less than the least length, so every window lies whole in
+    one piece; what a window puts out depends on nothing outside it.
+    """
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    at, n = 0, len(sizes)
+    while at < n:
+        if sizes[at] > BATCH_POINTS:
+            text = texts[at].as_py()
+            for k in range(0, len(text) - least + 1, BATCH_POINTS - least + 1):
+                yield [text[k : k + BATCH_POINTS]], np.array([at]), np.array([k])
+            at += 1
+            continue
+        stop, total = at, 0
+        while stop < n and sizes[stop] <= BATCH_POINTS and (stop == at or total + sizes[stop] <= BATCH_POINTS):
+            total += sizes[stop]
+            stop += 1
+        yield texts[at:stop].to_pylist(), np.arange(at, stop), np.zeros(stop - at, np.int64)
+        at = stop
 
 
 def shared_occurrences(records: DataFrame, least: int = LEAST) -> DataFrame:

@@ -105,3 +105,16 @@ def test_common_length():
     assert S.common_length("xxabcyy", 2, 5, "zxabcyq", 2, 5) == 5 and S.common_length("abc", 0, 3, "abd", 0, 3) == 0
     assert len(S.window_names(["a" * 165], [3], [100], 160)[0]) == 4
     assert np.unique(S.window_names(["a" * 165], [3], [100], 160)[0]).size == 1
+
+
+def test_texts_beyond_a_portion(spark, monkeypatch):
+    monkeypatch.setattr(S, "BATCH_POINTS", 400)
+    import pyarrow as pa
+
+    text = "".join(random.Random(8).choice("abcdefgh ") for _ in range(5000))
+    whole = S.choose_names([text])
+    got = set()
+    for texts, which, offset in S._portions(pa.array(["short text " * 20, text]), LEAST):
+        name, owner, lo, hi = S.choose_names(texts)
+        got |= {(n, a + offset[o], b + offset[o]) for n, o, a, b in zip(name.tolist(), owner.tolist(), lo.tolist(), hi.tolist()) if which[o] == 1}
+    assert got == set(zip(whole[0].tolist(), whole[2].tolist(), whole[3].tolist()))
