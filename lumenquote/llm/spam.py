@@ -83,15 +83,18 @@ def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLi
     counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("all_words"))
     # At most 1 / least_language languages pass, so they may be broadcast whatever the corpus.
-    total = counts.filter("word = ''").agg(F.sum("n")).scalar()
+    total = by_lang.agg(F.sum("docs")).scalar()
     by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_language * total))
-    often = counts.filter("word <> '' AND n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
+    # No condition on the word here: it would be pushed below the counting, which could then not be shared.
+    often = counts.filter("n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
     return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect())
 
 
 def pick_languages(rows: list) -> Functions:
     words, mass, whole = defaultdict(set), Counter(), {}
     for lang, word, n, _, all_words in rows:
+        if not word:
+            continue
         words[lang].add(word)
         mass[lang] += n
         whole[lang] = all_words
