@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenquote.session import written
+
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af]|[^\W\d_]+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])]+", re.I)
 MARKUP = re.compile(r"</?[a-z][^>]*>|\[/?url[^\]]*\]", re.I)
@@ -80,21 +82,18 @@ def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLi
     of them, and at most 1 / least_language languages are kept.
     """
     counts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count_document_words, "lang string, word string, n bigint")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("all_words"))
     # At most 1 / least_language languages pass, so they may be broadcast whatever the corpus.
     total = by_lang.agg(F.sum("docs")).scalar()
     by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_language * total))
-    # No condition on the word here: it would be pushed below the counting, which could then not be shared.
-    often = counts.filter("n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
+    often = counts.filter("word <> '' AND n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
     return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect())
 
 
 def pick_languages(rows: list) -> Functions:
     words, mass, whole = defaultdict(set), Counter(), {}
     for lang, word, n, _, all_words in rows:
-        if not word:
-            continue
         words[lang].add(word)
         mass[lang] += n
         whole[lang] = all_words
