@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenquote.functions.text import trim_blank, truncate
+from lumenquote.operators.judge import Judge, first_results, validate_results
 from lumenquote.operators.protocol import strip_appendix
+from lumenquote.operators.verify import apply_judge, citations, judge_inputs
 
 # Fixed values of the gate.
 MIN_SCORE, MIN_UNCITED_CHARS = 0.5, 40
@@ -29,7 +31,7 @@ def round_2(c: Column) -> Column:
     return F.floor(c * 100 + 0.5) / 100
 
 
-def gate_problems(cited: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+def gate_problems(cited: DataFrame, min_score: float | Column = MIN_SCORE) -> DataFrame:
     """answer_id, line_no, claim_id, source_index, claim_text, type, method, text_score, class, confidence, score of each problem; scores to two places, the test on the full ones."""
     c = cited if "class" in cited.columns else cited.withColumn("class", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
     bad_class = F.coalesce(F.col("class").isin("contradicted", "overstated"), F.lit(False))
@@ -39,12 +41,17 @@ def gate_problems(cited: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     return rows.select("answer_id", "line_no", "claim_id", "source_index", "claim_text", kind.alias("type"), "method", round_2(F.col("text_score")).alias("text_score"), "class", round_2(F.col("confidence")).alias("confidence"), round_2(F.col("score")).alias("score"))
 
 
-def uncited_sentences(answers: DataFrame, min_chars: int = MIN_UNCITED_CHARS) -> DataFrame:
-    """answer_id, line_no, sentence_no, sentence: sentences of the body that state something and cite nothing."""
-    lines = strip_appendix(answers).select("answer_id", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "_l")).withColumn("_l", trim_blank(F.col("_l")))
+def uncited_sentences(answers: DataFrame, min_chars: int | str = MIN_UNCITED_CHARS) -> DataFrame:
+    """answer_id, line_no, sentence_no, sentence: sentences of the body that state something and cite nothing. min_chars may name a column of answers."""
+    own = isinstance(min_chars, str)
+    bodies = strip_appendix(answers)
+    if own:
+        bodies = bodies.join(answers.select("answer_id", F.coalesce(min_chars, F.lit(MIN_UNCITED_CHARS)).alias("_min")), "answer_id")
+    bodies = bodies if own else bodies.withColumn("_min", F.lit(min_chars))
+    lines = bodies.select("_min", "answer_id", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "_l")).withColumn("_l", trim_blank(F.col("_l")))
     lines = lines.filter((F.col("_l") != "") & ~F.col("_l").rlike(HEADING))
-    rows = lines.select("answer_id", "line_no", F.posexplode(F.split("_l", SENTENCE_BREAK, -1)).alias("sentence_no", "_s")).withColumn("_s", trim_blank(F.col("_s")))
-    rows = rows.filter((F.length("_s") >= min_chars) & ~F.endswith("_s", F.lit("?")) & ~F.col("_s").rlike(r"\[[0-9]+\]") & F.col("_s").rlike("[A-Za-z]{3}"))
+    rows = lines.select("_min", "answer_id", "line_no", F.posexplode(F.split("_l", SENTENCE_BREAK, -1)).alias("sentence_no", "_s")).withColumn("_s", trim_blank(F.col("_s")))
+    rows = rows.filter((F.length("_s") >= F.col("_min")) & ~F.endswith("_s", F.lit("?")) & ~F.col("_s").rlike(r"\[[0-9]+\]") & F.col("_s").rlike("[A-Za-z]{3}"))
     short = F.when(F.length("_s") > MOST_SENTENCE, F.concat(F.substring("_s", 1, MOST_SENTENCE - 3), F.lit("…"))).otherwise(F.col("_s"))
     return rows.select("answer_id", "line_no", "sentence_no", short.alias("sentence"))
 
@@ -72,3 +79,23 @@ def gate_verdicts(answers: DataFrame, problems: DataFrame, uncited: DataFrame) -
         "answer_id", F.coalesce("_p", F.lit(0)).alias("n_problems"), F.coalesce("_u", F.lit(0)).alias("n_uncited"), verdict.alias("verdict"),
         F.when(verdict == "pass", 0).when(verdict == "revise", 2).otherwise(1).alias("exit_code"), F.when(verdict == "revise", text).alias("instructions"),
     )
+
+
+def gate_jobs(answers: DataFrame, sources: DataFrame, judge: Judge | None = None) -> DataFrame:
+    """Verdicts of jobs as sources.jobs reads them: each with its own thresholds where it names any, and without judge where it says so.
+
+    answers: answer_id, answer and, where wanted, min_score, min_uncited_chars and judge.
+    """
+    for c, kind in (("min_score", "double"), ("min_uncited_chars", "int"), ("judge", "boolean")):
+        if c not in answers.columns:
+            answers = answers.withColumn(c, F.lit(None).cast(kind))
+    cited = citations(answers.select("answer_id", "answer"), sources)
+    if judge is not None:
+        asked = answers.filter(F.coalesce("judge", F.lit(True))).select("answer_id")
+        judged = cited.join(asked, "answer_id", "left_semi")
+        results = first_results(validate_results(judge.judge(judge_inputs(judged, answers, sources))))
+        plain = cited.join(asked, "answer_id", "left_anti")
+        none = {"class": "string", "confidence": "double", "reasons": "array<string>"}
+        cited = apply_judge(judged, results).unionByName(plain.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
+    limited = cited.join(answers.select("answer_id", F.coalesce("min_score", F.lit(MIN_SCORE)).alias("_least")), "answer_id")
+    return gate_verdicts(answers, gate_problems(limited, F.col("_least")), uncited_sentences(answers, "min_uncited_chars"))

@@ -110,3 +110,22 @@ def verify_answers(answers: DataFrame, sources: DataFrame, judge: J.Judge | None
         cited = apply_judge(cited, J.first_results(J.validate_results(results)))
     warnings = P.parser_warnings(answers).unionByName(verifier_warnings(answers, sources, cited if judge is not None else None, inputs, results))
     return {"clean_text": P.clean_text(answers), "claims": P.extract_claims(answers), "citations": cited, "warnings": warnings, "summary": summarize(answers, cited)}
+
+
+def nested_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """The report as one row per answer: clean_text, claims, citations and warnings (arrays in order), summary."""
+
+    def listed(df: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
+        rows = df.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*fields).alias("_v")))).alias("_l"))
+        return rows.select("answer_id", F.transform("_l", lambda x: x["_v"]).alias(name))
+
+    c = tables["citations"]
+    claims = listed(tables["claims"], "claims", ["line_no", "seg_no"], ["claim_id", "claim_text", "source_indexes"])
+    cited = listed(c, "citations", ["line_no"], [x for x in ("claim_id", "source_index", "claim_text", "quote", "method", "text_score", "start", "end", "field", "class", "confidence", "reasons", "score") if x in c.columns])
+    said = tables["warnings"].withColumn("message", P.message(F.col("kind"), F.col("claim_id"), F.col("source_index"), F.col("detail")))
+    out = tables["clean_text"]
+    for part in (claims, cited, listed(said, "warnings", ["phase", "ord", "message"], ["kind", "message"])):
+        out = out.join(part, "answer_id", "left")
+    summary = tables["summary"]
+    nested = summary.select("answer_id", F.struct(*[x for x in summary.columns if x != "answer_id"]).alias("summary"))
+    return out.join(nested, "answer_id", "left").select("answer_id", "clean_text", *[F.coalesce(x, F.array()).alias(x) for x in ("claims", "citations", "warnings")], "summary")

@@ -214,6 +214,8 @@ def oracle_sql() -> dict[str, str]:
         "fuzzy_match": m + f"SELECT answer_id, line_no, method, {R6('score')} AS score, field FROM cit WHERE method IN ('fuzzy', 'not_found')",
         "best_field_match": m + f"SELECT answer_id, line_no, claim_id, source_index, method, {R6('score')} AS score, field FROM cit",
         "match_method_histogram": m + "SELECT method, count(*) AS n, sum(CASE WHEN field = 'text' THEN 0 ELSE 1 END) AS n_extra FROM cit GROUP BY method",
+        "normalized_quotes": f"SELECT rec_id, {_normal_sql('quote')} AS normal FROM (SELECT DISTINCT rec_id, quote FROM evidence)",
+        "verification_report": j + f"SELECT b.answer_id, length(regexp_replace(body, '\\{{c[0-9]+\\}}', '', 'g')) AS n_chars, (SELECT count(*) FROM cl WHERE cl.answer_id = b.answer_id) AS n_claims, (SELECT count(*) FROM js WHERE js.answer_id = b.answer_id) AS n_citations, (SELECT {R6('avg(final)')} FROM js WHERE js.answer_id = b.answer_id) AS mean_score FROM body b",
         "trigram_counts": "SELECT gram, count(*) AS n FROM (SELECT substr(quote, unnest(range(1, length(quote) - 1)), 3) AS gram FROM (SELECT DISTINCT rec_id, quote FROM evidence) WHERE length(quote) >= 3) GROUP BY gram",
         "dice_pairs": "WITH e AS (SELECT DISTINCT answer_id, line_no, source_index, quote FROM evidence WHERE length(quote) >= 3), s AS (SELECT answer_id, source_index, any_value(text) AS text FROM sources WHERE length(text) >= 3 GROUP BY ALL), p AS (SELECT e.answer_id, e.line_no, quote, text FROM e JOIN s ON e.answer_id = s.answer_id AND e.source_index = s.source_index), a AS (SELECT answer_id, line_no, g, count(*) AS n FROM (SELECT answer_id, line_no, substr(quote, unnest(range(1, length(quote) - 1)), 3) AS g FROM p) GROUP BY ALL), b AS (SELECT answer_id, line_no, g, count(*) AS n FROM (SELECT answer_id, line_no, substr(text, unnest(range(1, length(text) - 1)), 3) AS g FROM p) GROUP BY ALL), i AS (SELECT a.answer_id, a.line_no, sum(least(a.n, b.n)) AS c FROM a JOIN b ON a.answer_id = b.answer_id AND a.line_no = b.line_no AND a.g = b.g GROUP BY ALL) SELECT p.answer_id, p.line_no, round(2.0::DOUBLE * coalesce(c, 0) / (length(quote) + length(text) - 4), 6) AS dice FROM p LEFT JOIN i ON p.answer_id = i.answer_id AND p.line_no = i.line_no",
         "answer_summary": m + f", g AS (SELECT answer_id, count(*) AS n, avg(CASE WHEN method IN ('exact', 'normalized') THEN 1.0 ELSE 0.0 END) AS v, avg(score) AS me, min(score) AS mi FROM cit GROUP BY answer_id) SELECT a.answer_id, coalesce(n, 0) AS citation_count, {R6('v')} AS verbatim_rate, {R6('me')} AS mean_score, {R6('mi')} AS min_score FROM ans a LEFT JOIN g ON a.answer_id = g.answer_id",

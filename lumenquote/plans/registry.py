@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenquote.functions.json_recover import recover_items
+from lumenquote.functions.normalize import normal_text
 from lumenquote.functions.text import collapse_whitespace, strip_control_chars, strip_html_tags
 from lumenquote.operators import gate, judge, match, protocol, verify
 from lumenquote.operators.rejects import parse_records
@@ -194,6 +196,25 @@ def match_method_histogram(spark, folder):
     return located.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("field") != "text").alias("n_extra"))
 
 
+@query
+def normalized_quotes(spark, folder):
+    """Normal form of each quote of the evidence table."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else normal_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["rec_id", "normal"])
+
+    return quotes(spark, folder).select("rec_id", "quote").mapInArrow(run, "rec_id bigint, normal string")
+
+
+@query
+def verification_report(spark, folder):
+    """Sizes of the parts of each answer's nested report, with the judge's results."""
+    a, s = answers(spark, folder), sources(spark, folder)
+    r = verify.nested_report(verify.verify_answers(a, s, judge.LookupJudge(judge_table(spark, folder).dropDuplicates(["answer_id", "id", "class", "confidence"]))))
+    return r.select("answer_id", F.length("clean_text").alias("n_chars"), F.size("claims").alias("n_claims"), F.size("citations").alias("n_citations"), F.round("summary.mean_score", 6).alias("mean_score"))
+
+
 @query
 def trigram_counts(spark, folder):
     return match.gram_table(quotes(spark, folder), [], "quote")

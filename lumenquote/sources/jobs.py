@@ -20,7 +20,7 @@ def read_jobs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     blank = trim_blank(F.coalesce(F.col("j.answer"), F.lit(""))) == ""
     rejects = parsed.filter(blank).select("answer_id", "job", F.lit("error").alias("verdict"))
     good = parsed.filter(~blank)
-    answers = good.select("answer_id", F.col("j.answer").alias("answer"), F.col("j.options.thresholds.minScore").alias("min_score"), F.col("j.options.thresholds.minUncitedChars").alias("min_uncited_chars"))
+    answers = good.select("answer_id", F.col("j.answer").alias("answer"), F.col("j.options.thresholds.minScore").alias("min_score"), F.col("j.options.thresholds.minUncitedChars").alias("min_uncited_chars"), F.col("j.options.judge").alias("judge"))
     rows = good.select("answer_id", F.posexplode("j.sources").alias("_p", "_s"))
     sources = rows.select("answer_id", (F.col("_p") + 1).alias("source_index"), "_s.id", "_s.title", "_s.url", F.coalesce("_s.text", F.lit("")).alias("text"), F.coalesce("_s.extraTexts", F.array().cast("array<string>")).alias("extra_texts"))
     return answers, sources, rejects

@@ -2,6 +2,7 @@ import json
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lumenquote.functions.json_recover import items_of
 from lumenquote.operators import gate as G
@@ -153,3 +154,19 @@ def test_jobs_as_json(spark, tmp_path):
     v = G.gate_verdicts(a, G.gate_problems(report["citations"]), G.uncited_sentences(a))
     write_verdicts(v, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first().verdict == "pass"
+    judge = J.CallableJudge(lambda items: [{"id": x["id"], "class": "entailed", "confidence": 0.6, "reasons": []} for x in items])
+    for change, want in (({"min_score": 0.7}, 2), ({"min_score": 0.5}, 0), ({"min_score": 0.7, "judge": False}, 0), ({"min_score": None}, 0)):
+        own = a
+        for k, v in change.items():
+            own = own.withColumn(k, F.lit(v).cast({"min_score": "double", "judge": "boolean"}[k]))
+        assert G.gate_jobs(own, s, judge).first().exit_code == want
+    long = a.withColumn("answer", F.lit(UNCITED + ".")).withColumn("min_uncited_chars", F.lit(200))
+    assert G.gate_jobs(long, s).first().verdict == "pass" and G.gate_jobs(long.drop("min_uncited_chars"), s).first().verdict == "revise"
+
+
+def test_nested_report(spark):
+    a, s = tables(spark, ANSWER + "", "nothing")
+    judge = results(spark, (0, "c1|1", "entailed", 0.95, []))
+    r = {x.answer_id: x for x in V.nested_report(V.verify_answers(a, s, judge)).collect()}
+    assert [c.claim_id for c in r[0].claims] == ["c1", "c2"] and [c["class"] for c in r[0].citations] == ["entailed", "error"] and r[0].summary.citation_count == 2
+    assert [w.kind for w in r[0].warnings] == ["judge_count_mismatch"] and r[1].claims == [] and r[1].summary.citation_count == 0
