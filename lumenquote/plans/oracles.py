@@ -186,7 +186,24 @@ REJECTS = f"""WITH r AS (
 WHERE NOT (lexed AND counted AND last_only AND coalesce(valid, false))"""
 
 
+#: Columns that are int here and would be bigint there.
+_INTS = {
+    "json_recovery": "n_items", "parse_evidence": "line_no", "malformed_lines": "line_no", "invalid_index": "line_no", "extract_claims": "line_no seg_no", "duplicate_claims": "line_no seg_no",
+    "nonadjacent_markers": "line_no seg_no", "evidence_dedupe": "line_no", "duplicate_evidence": "line_no", "orphan_evidence": "line_no", "missing_sources": "line_no",
+    "parsed_answers": "n_warnings n_claims n_evidence n_chars", "exact_match": "line_no start end", "normalized_match": "line_no", "fuzzy_match": "line_no", "best_field_match": "line_no",
+    "verification_report": "n_claims n_chars n_citations", "judged_scores": "line_no", "uncited_sentences": "line_no sentence_no", "gate_problems": "line_no",
+}
+
+
 def oracle_sql() -> dict[str, str]:
+    out = _sql()
+    for name, columns in _INTS.items():
+        casts = ", ".join(f'"{c}"::INTEGER AS "{c}"' for c in columns.split())
+        out[name] = f"SELECT * REPLACE ({casts}) FROM ({out[name]})"
+    return out
+
+
+def _sql() -> dict[str, str]:
     p, m, j = f"WITH {PARTS} ", f"WITH {MATCH} ", f"WITH {JUDGED} "
     return {
         "p2_found": REJECTS,
@@ -213,7 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "normalized_match": m + "SELECT answer_id, line_no, field FROM cit WHERE method = 'normalized'",
         "fuzzy_match": m + f"SELECT answer_id, line_no, method, {R6('score')} AS score, field FROM cit WHERE method IN ('fuzzy', 'not_found')",
         "best_field_match": m + f"SELECT answer_id, line_no, claim_id, source_index, method, {R6('score')} AS score, field FROM cit",
-        "match_method_histogram": m + "SELECT method, count(*) AS n, sum(CASE WHEN field = 'text' THEN 0 ELSE 1 END) AS n_extra FROM cit GROUP BY method",
+        "match_method_histogram": m + "SELECT method, count(*) AS n, count(*) FILTER (field <> 'text') AS n_extra FROM cit GROUP BY method",
         "normalized_quotes": f"SELECT rec_id, {_normal_sql('quote')} AS normal FROM (SELECT DISTINCT rec_id, quote FROM evidence)",
         "verification_report": j + f"SELECT b.answer_id, length(regexp_replace(body, '\\{{c[0-9]+\\}}', '', 'g')) AS n_chars, (SELECT count(*) FROM cl WHERE cl.answer_id = b.answer_id) AS n_claims, (SELECT count(*) FROM js WHERE js.answer_id = b.answer_id) AS n_citations, (SELECT {R6('avg(final)')} FROM js WHERE js.answer_id = b.answer_id) AS mean_score FROM body b",
         "trigram_counts": "SELECT gram, count(*) AS n FROM (SELECT substr(quote, unnest(range(1, length(quote) - 1)), 3) AS gram FROM (SELECT DISTINCT rec_id, quote FROM evidence) WHERE length(quote) >= 3) GROUP BY gram",
