@@ -286,11 +286,17 @@ def shared_occurrences(records: DataFrame, least: int = LEAST) -> DataFrame:
 
 def common_length(a: str, a_lo: int, a_hi: int, b: str, b_lo: int, b_hi: int) -> int:
     """Length of the longest common stretch of a and b around their named parts; 0 if these differ."""
+    left, right = common_sides(a, a_lo, a_hi, b, b_lo, b_hi)
+    return left + (a_hi - a_lo) + right if left >= 0 else 0
+
+
+def common_sides(a: str, a_lo: int, a_hi: int, b: str, b_lo: int, b_hi: int) -> tuple[int, int]:
+    """How far a and b agree before and after their named parts; (-1, -1) if these differ."""
     if a[a_lo:a_hi] != b[b_lo:b_hi]:
-        return 0
+        return -1, -1
     left, right = min(a_lo, b_lo), min(len(a) - a_hi, len(b) - b_hi)
     x, y = a[a_lo - left : a_lo][::-1], b[b_lo - left : b_lo][::-1]
-    return _prefix(x, y) + (a_hi - a_lo) + _prefix(a[a_hi : a_hi + right], b[b_hi : b_hi + right])
+    return _prefix(x, y), _prefix(a[a_hi : a_hi + right], b[b_hi : b_hi + right])
 
 
 def _prefix(x: str, y: str) -> int:
@@ -358,18 +364,45 @@ def shared_pairs(records: DataFrame, least: int = LEAST, hot: int = HOT) -> Data
     return found.unionByName(x.join(y, key).filter(last).select("rec_a", "rec_b")).distinct()
 
 
-def shared_share(records: DataFrame, totals: DataFrame, least: int = LEAST) -> DataFrame:
+def shared_stretches(records: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """rec, field, start, stop: stretches of at least the least length that a record of another group has too; together they hold every shared window.
+
+    A name with up to `hot` occurrences is settled by the texts around them, one with more by exact windows whose
+    groups' least and greatest differ, without forming pairs.
+    """
+    occurrences = written(shared_occurrences(records, least), "occurrences")
+    few = occurrences.filter(F.col("n") <= hot)
+    columns = ("rec", "grp", "field", "at", "lo", "hi", "slice")
+    a, b = (few.select("name", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+    tried = a.join(b, "name").filter("rec_a < rec_b AND grp_a <> grp_b").select(*[f"{c}_{x}" for x in "ab" for c in columns if c != "grp"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rec_a, field_a, at_a, lo_a, hi_a, a, rec_b, field_b, at_b, lo_b, hi_b, b in zip(*(c.to_pylist() for c in batch.columns)):
+                left, right = common_sides(a, lo_a, hi_a, b, lo_b, hi_b)
+                if left >= 0 and left + hi_a - lo_a + right >= least:
+                    out += [(rec_a, field_a, at_a + lo_a - left, at_a + hi_a + right), (rec_b, field_b, at_b + lo_b - left, at_b + hi_b + right)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["rec", "field", "start", "stop"])
+
+    found = tried.mapInArrow(measure, "rec bigint, field int, start int, stop int")
+    windows = _windows(occurrences.filter(F.col("n") > hot), least).select("one", "two", "rec", "grp", "field", "start")
+    both = windows.groupBy("one", "two").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1")).filter("_g0 < _g1").select("one", "two")
+    exact = windows.join(both, ["one", "two"]).select("rec", "field", "start", (F.col("start") + least).alias("stop"))
+    return found.unionByName(exact).distinct()
+
+
+def shared_share(records: DataFrame, totals: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """rec, n_chars, shared_chars, shared_share: how much of each record lies in spans that another group has too.
 
     totals has rec and n_chars of every record, those without long fields included; their share is 0, and null for
-    records without any text. No pairs are formed: a window is shared if its groups' least and greatest differ.
+    records without any text.
     """
-    windows = _windows(shared_occurrences(records, least), least).dropDuplicates(["one", "two", "rec", "field", "start"])
-    both = windows.groupBy("one", "two").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1")).filter("_g0 < _g1").select("one", "two")
-    starts = windows.join(both, ["one", "two"]).select("rec", "field", "start").distinct()
-    before = F.lag("start").over(Window.partitionBy("rec", "field").orderBy("start"))
-    # Each window adds what the one before it in the same field did not cover.
-    added = starts.withColumn("_new", F.least(F.lit(least), F.col("start") - F.coalesce(before, F.lit(-least)))).groupBy("rec").agg(F.sum("_new").alias("shared_chars"))
+    stretches = shared_stretches(records, least, hot)
+    earlier = Window.partitionBy("rec", "field").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("stop").over(earlier), F.lit(0))
+    # Each stretch adds what those that begin before it in the same field did not reach.
+    added = stretches.withColumn("_new", F.greatest(F.lit(0), F.col("stop") - F.greatest(F.col("start"), reached))).groupBy("rec").agg(F.sum("_new").alias("shared_chars"))
     out = totals.dropDuplicates(["rec"]).join(added, "rec", "left")
     shared = F.coalesce("shared_chars", F.lit(0))
     return out.select("rec", "n_chars", shared.alias("shared_chars"), (shared / F.when(F.col("n_chars") > 0, F.col("n_chars"))).alias("shared_share"))

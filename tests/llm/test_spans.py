@@ -74,7 +74,8 @@ def test_pairs_equal_brute_force(spark, hot):
     assert got == want and (502, 503) in want
 
 
-def test_shares_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [64, 1])
+def test_shares_equal_brute_force(spark, hot):
     records = corpus(13, 60)
     seen = {}
     for rec, grp, texts in records:
@@ -90,7 +91,7 @@ def test_shares_equal_brute_force(spark):
                     covered |= {(f, j) for j in range(i, i + LEAST)}
         want[rec] = len(covered)
     totals = spark.createDataFrame([(r, sum(map(len, t))) for r, _, t in records] + [(999, 0)], "rec bigint, n_chars int")
-    got = {r.rec: (r.shared_chars, r.shared_share) for r in S.shared_share(table(spark, records), totals).collect()}
+    got = {r.rec: (r.shared_chars, r.shared_share) for r in S.shared_share(table(spark, records), totals, hot=hot).collect()}
     assert {k: v[0] for k, v in got.items()} == want | {999: 0} and got[999][1] is None
 
 
