@@ -214,12 +214,15 @@ def window_names(texts: list[str], lo: list[int], hi: list[int], least: int = LE
 
 
 def long_fields(records: DataFrame, id_col: str, group_col: str, text_cols: tuple[str, ...] = (), array_cols: tuple[str, ...] = (), least: int = LEAST) -> DataFrame:
-    """rec, grp, texts (array of struct<field int, text string>): the fields of at least the least length, of records that have any."""
+    """rec, grp, texts (array of struct<field int, text string>): the fields of at least the least length, of records that have any.
+
+    Null fields and elements count as empty. A record with a null id or group has no partners.
+    """
     parts = [F.array(F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("text"))) for i, c in enumerate(text_cols)]
     for c in array_cols:
         parts.append(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, i: F.struct((i + len(text_cols)).alias("field"), x.alias("text"))))
     texts = F.filter(F.concat(*parts), lambda x: F.length(x["text"]) >= least)
-    return records.select(F.col(id_col).cast("bigint").alias("rec"), F.col(group_col).cast("bigint").alias("grp"), texts.alias("texts")).filter(F.size("texts") > 0)
+    return records.select(F.col(id_col).cast("bigint").alias("rec"), F.col(group_col).cast("bigint").alias("grp"), texts.alias("texts")).filter((F.size("texts") > 0) & F.col("rec").isNotNull() & F.col("grp").isNotNull())
 
 
 def name_records(records: DataFrame, least: int = LEAST) -> DataFrame:

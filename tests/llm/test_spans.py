@@ -119,3 +119,8 @@ def test_texts_beyond_a_portion(spark, monkeypatch):
         name, owner, lo, hi = S.choose_names(texts)
         got |= {(n, a + offset[o], b + offset[o]) for n, o, a, b in zip(name.tolist(), owner.tolist(), lo.tolist(), hi.tolist()) if which[o] == 1}
     assert got == set(zip(whole[0].tolist(), whole[2].tolist(), whole[3].tolist()))
+
+
+def test_null_keys_have_no_partners(spark):
+    df = table(spark, [(1, 1, ["z" * 200]), (2, 2, ["z" * 200]), (None, 3, ["z" * 200]), (4, None, ["z" * 200])])
+    assert [tuple(r) for r in S.shared_pairs(df).collect()] == [(1, 2)]
