@@ -1,16 +1,20 @@
 """Text decoded with the wrong character encoding: finding the records and restoring what can be restored.
 
-A first pass counts adjacent characters over the whole corpus. Each pair's part of the mutual information,
+A first pass counts adjacent characters over the whole corpus, apart from sequences that are UTF-8 read byte by byte
+and have a reading in characters which the corpus knows elsewhere, so the statistics are the same however common misread
+text is. Each pair's part of the mutual information,
 p(ab) log(p(ab) / (p(a) p(b))), says how usual the pair is. In the second pass the pairs of a text are scored by
 how far they fall below what is usual, maximum-scoring segments isolate the improbable runs, and only inside those
 the inverse mappings are tried: a run is given back to bytes by the encoding that may have misread them and
-decoded by the one that may have been meant. A mapping holds if the corpus knows the outcome much better.
+decoded by the one that may have been meant. A mapping holds if the corpus knows the outcome much better, or if it is
+strict UTF-8 for known characters and the sequence does not stand among its neighbours as the corpus knows it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,6 +33,9 @@ SINGLE_BYTE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r")
 REPLACED_RUN = re.compile(r"[\x80-\x9f\ufffd]+")
 IGNORABLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 UNIT = re.compile(r"[^\x00-\x7f]+")
+LONG_UNIT = re.compile(r"[^\x00-\x7f]{2,}")
+MOST_LAYERS = 3
+LEAST_KNOWN_CHARS = 3  # occurrences apart from sequences that may be misread, from which a character is known
 #: Code points that stand for themselves; the others share the last symbols by block.
 RANGES = ((0x0, 0x250), (0x370, 0x530), (0x2000, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2150), (0x2200, 0x2300), (0x2500, 0x25C0), (0xFFFD, 0xFFFE))
 
@@ -43,7 +50,7 @@ class GarbleRule:
     over_case: float = 0.7  # gain that a reading byte for byte needs over the unit in lower case
     least_known: float = -11.0  # mean log frequency of pairs from which such a reading counts as evidence
     least_letters: int = 6  # characters of such evidence that a text needs
-    layers: int = 3  # decodings one over the other
+    layers: int = MOST_LAYERS  # decodings one over the other
 
 
 @lru_cache(maxsize=1)
@@ -59,6 +66,72 @@ def symbol_table() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def own_symbols() -> int:
+    """Symbols below stand for one code point each."""
+    return 1 + sum(b - a for a, b in RANGES)
+
+
+@lru_cache(maxsize=1)
+def _sequences() -> list[tuple[str, re.Pattern]]:
+    """Per encoding, what one character of UTF-8 looks like in it: a character of a lead byte, then those of continuation bytes."""
+    out = []
+    for encoding in THROUGH_UTF8:
+        shown = {}
+        for byte in range(0x80, 0x100):
+            try:
+                shown[byte] = bytes([byte]).decode(encoding)
+            except UnicodeDecodeError:
+                shown[byte] = chr(byte)
+        of = lambda a, b: "[" + "".join(re.escape(shown[x]) for x in range(a, b)) + "]"  # noqa: B023, E731
+        rest = of(0x80, 0xC0)
+        out.append((encoding, re.compile(f"{of(0xC2, 0xE0)}{rest}|{of(0xE0, 0xF0)}{rest}{{2}}|{of(0xF0, 0xF5)}{rest}{{3}}")))
+    return out
+
+
+def strict_readings(unit: str) -> list[list[tuple[int, int, str]]]:
+    """Per encoding that gives any: (start, end, character) of the unit's sequences that are strict UTF-8, read down to the last layer."""
+    out = []
+    for encoding, sequence in _sequences():
+        tokens = [(i, i + 1, c) for i, c in enumerate(unit)]
+        for _ in range(MOST_LAYERS):
+            now, at = [], 0
+            for m in sequence.finditer("".join(c for _, _, c in tokens)):
+                data = _to_bytes(m.group(), encoding)
+                try:
+                    read = data.decode("utf-8") if data else ""
+                except UnicodeDecodeError:
+                    continue
+                if len(read) == 1:
+                    now += tokens[at : m.start()] + [(tokens[m.start()][0], tokens[m.end() - 1][1], read)]
+                    at = m.end()
+            if not at:
+                break
+            tokens = now + tokens[at:]
+        # Controls and invisible characters prove nothing: they may have come in between later.
+        found = [x for x in tokens if x[1] - x[0] > 1 and not "\x80" <= x[2] <= "\x9f" and not IGNORABLE.match(x[2])]
+        if found and found not in out:
+            out.append(found)
+    return out
+
+
+class Suspects:
+    """Sequences of a unit that may be misread, with the symbol of what they may have been; unassigned and combining ones have none."""
+
+    def __init__(self):
+        self.cache: dict[str, list[tuple[int, int, int]]] = {}
+
+    def of(self, unit: str) -> list[tuple[int, int, int]]:
+        found = self.cache.get(unit)
+        if found is None:
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            read = max(strict_readings(unit), key=lambda r: sum(b - a for a, b, _ in r), default=[])
+            symbols = [(a, b, int(symbol_table()[ord(c)]), c) for a, b, c in read]
+            found = self.cache[unit] = [(a, b, s) for a, b, s, c in symbols if s < own_symbols() or unicodedata.category(c) == "Lo"]
+        return found
+
+
 def symbols_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols with a 0 around each text, code points, where each text begins)."""
     joined = "\x00" + "\x00".join(texts) + "\x00"
@@ -82,21 +155,48 @@ def portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """pair (first * SYMBOLS + second), n over all rows of the one text column; each task adds up its own before the shuffle."""
+    """pair (first * SYMBOLS + second), reading, n over all rows of the one text column; each task adds up its own before the shuffle.
+
+    reading is the symbol of what a sequence that is strict UTF-8 may have been, for the pairs within and beside it, else 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, suspects, misread = None, Suspects(), {}
         for b in batches:
             for _, own in portions([x for x in b.column(0).to_pylist() if x]):
-                symbols, _, _ = symbols_of(own)
-                counts = np.bincount(symbols[:-1].astype(np.int64) * SYMBOLS + symbols[1:], minlength=SYMBOLS * SYMBOLS)
+                symbols, _, base = symbols_of(own)
+                pairs = symbols[:-1].astype(np.int64) * SYMBOLS + symbols[1:]
+                counts = np.bincount(pairs, minlength=SYMBOLS * SYMBOLS)
+                reading = np.zeros(len(symbols) + 1, np.int64)
+                for text, start in zip(own, base.tolist()):
+                    if not text.isascii():
+                        for m in LONG_UNIT.finditer(text):
+                            for a, z, s in suspects.of(m.group()):
+                                reading[start + m.start() + a : start + m.start() + z] = s
+                beside = np.where(reading[:-2] > 0, reading[:-2], reading[1:-1])  # of the pair that begins at each symbol
+                at = np.flatnonzero(beside)
+                if len(at):
+                    np.subtract.at(counts, pairs[at], 1)
+                    for k, n in zip(*(x.tolist() for x in np.unique(pairs[at] * SYMBOLS + beside[at], return_counts=True))):
+                        misread[k] = misread.get(k, 0) + n
                 total = counts if total is None else total + counts
         if total is not None:
             pair = np.flatnonzero(total)
-            for at in range(0, len(pair), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 50_000]), pa.array(total[pair[at : at + 50_000]])], names=["pair", "n"])
+            keys = np.concatenate([pair * SYMBOLS, np.fromiter(misread.keys(), np.int64, len(misread))])
+            n = np.concatenate([total[pair], np.fromiter(misread.values(), np.int64, len(misread))])
+            for at in range(0, len(keys), 50_000):
+                k = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(k // SYMBOLS), pa.array(k % SYMBOLS), pa.array(n[at : at + 50_000])], names=["pair", "reading", "n"])
+
+    return texts.mapInArrow(run, "pair bigint, reading bigint, n bigint").groupBy("pair", "reading").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+def without_misread(pair: np.ndarray, reading: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, n) without the pairs of sequences whose reading is a character known elsewhere; the others are no misreadings."""
+    sure = np.bincount(pair[reading == 0] % SYMBOLS, n[reading == 0], SYMBOLS)
+    keep = (reading == 0) | (sure[reading] < LEAST_KNOWN_CHARS)
+    kept, of = np.unique(pair[keep], return_inverse=True)
+    return kept, np.bincount(of, n[keep], len(kept))
 
 
 class PairModel:
@@ -124,8 +224,15 @@ class PairModel:
         self.score = score
         self.log = {int(k): math.log(v / self.total) for k, v in zip(self.pair, self.n)}
         self.floor = math.log(0.3 / self.total)
+        self.known = second >= LEAST_KNOWN_CHARS
+        self.known[own_symbols() :] = False  # a block known says little of one character
         return self
 
+    def has_pair(self, a: str, b: str) -> bool:
+        """Whether the corpus has the pair; the end of a text is an empty string."""
+        s = [int(symbol_table()[ord(c)]) if c else 0 for c in (a, b)]
+        return s[0] * SYMBOLS + s[1] in self.log
+
     def mean_log(self, text: str) -> float:
         s = symbol_table()[[ord(c) for c in text]].tolist()
         return sum(self.log.get(a * SYMBOLS + b, self.floor) for a, b in zip(s, s[1:])) / max(1, len(s) - 1)
@@ -210,9 +317,32 @@ class Restorer:
                 self.cache.clear()
             # A soft hyphen may be half a letter, or have come in between later.
             bare = IGNORABLE.sub("", unit)
-            self.cache[key] = self._unit(before, unit, after) or (self._unit(before, bare, after) if bare != unit else None)
+            found = self._unit(before, unit, after) or (self._unit(before, bare, after) if bare != unit else None)
+            if found is None or len(found[0]) >= len(bare):
+                found = self._strict(before, unit, after) or (self._strict(before, bare, after) if bare != unit else None) or found
+            self.cache[key] = found
         return self.cache[key]
 
+    def _strict(self, before: str, unit: str, after: str) -> tuple[str, bool] | None:
+        """The unit with its sequences of strict UTF-8 read, where each gives a known character and the corpus does not know the sequence among its neighbours."""
+        if len(unit) < 2:
+            return None
+        best = None
+        for read in strict_readings(unit):
+            parts, at, length = [], 0, 0
+            for a, b, c in read:
+                left, right = unit[a - 1] if a else before, unit[b] if b < len(unit) else after
+                if not self.model.known[symbol_table()[ord(c)]]:
+                    continue
+                usual = self.model.has_pair(left, unit[a]) and self.model.has_pair(unit[b - 1], right)
+                if usual and self.model.mean_log(left + c + right) <= self.model.mean_log(left + unit[a:b] + right):
+                    continue
+                parts += [unit[at:a], c]
+                at, length = b, length + b - a
+            if at and (best is None or length > best[0]):
+                best = length, "".join(parts) + unit[at:]
+        return (best[1], True) if best else None
+
     def _unit(self, before: str, unit: str, after: str) -> tuple[str, bool] | None:
         now, layers = unit, 0
         while layers < self.rule.layers and now and not now.isascii():
@@ -304,6 +434,6 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, corpus: DataFra
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:
-    """Counts over all rows; what is gathered is bounded by the number of symbols, not by the corpus."""
+    """Counts over all rows; what is gathered is bounded by the number of symbols and of sequences, not by the corpus."""
     table = pair_counts(texts).toArrow()
-    return PairModel(table["pair"].to_numpy(), table["n"].to_numpy())
+    return PairModel(*without_misread(*(table[c].to_numpy() for c in ("pair", "reading", "n"))))

@@ -83,3 +83,19 @@ def test_table(spark, corpus):
     got = [(r.k, r.restored) for r in M.find_garbled(df, "k", "text").collect()]
     assert sorted(got) == [(5002, SENTENCES[1]), (5002, SENTENCES[1]), (5003, "�" * 50_000)]
     assert M.find_garbled(df.limit(0), "k", "text").count() == 0
+
+
+@pytest.mark.parametrize("times", [0, 300, 6000])
+def test_found_however_common(spark, corpus, times):
+    clean = corpus + [f"At {i % 90} °C the depth is {i} µm." for i in range(300)]
+    bad = [(9000, "At 24 Â°C, each pump", "At 24 °C, each pump"), (9001, "a depth of 3266 Âµm.", "a depth of 3266 µm."), (9002, "Die MÃ¼hle am KelÃ¼ster", "Die Mühle am Kelüster")]
+    rows = [(i, t) for i, t in enumerate(clean)] + [(i, b) for i, b, _ in bad]
+    more = [(20_000 + i, damage(clean[i % len(clean)], ("cp1252", "utf-8"))) for i in range(times)]
+    got = {r.k: r.restored for r in M.find_garbled(spark.createDataFrame(rows + more, "k bigint, text string"), "k", "text").collect()}
+    assert [(i, got.get(i)) for i, _, _ in bad] == [(i, good) for i, _, good in bad]
+    assert not [t for i, t in enumerate(clean) if i in got]
+
+
+def test_sequences_that_only_could_be_read_stay(restorer):
+    for unit in ("м²", "тии", "рил", "ﬁé", "\xa0é", "е’ѕ", "Â\xad"):
+        assert restorer._strict("1", unit, " ") is None
