@@ -2,8 +2,9 @@
 
 A first pass counts, per language, in how many documents each word occurs; words in a tenth of a language's
 documents or more are its function words (with a floor on the number of documents). The second pass reads each
-document whole, sorts its lines into sentences, code or logs, and the rest, and tests the rest by the share of
-the top words and of repeated word pairs, duplicate items, link text, separators and missing function words.
+document whole, sorts its lines into sentences of its language, code or logs, and the rest, and tests the rest by the
+share of the top words and of repeated word pairs, duplicate items, link text, separators and missing function words.
+Sentences and the rest together are tested for being mostly repetition, as stuffed keywords may hold function words.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])]+", re.I)
 MARKUP = re.compile(r"</?[a-z][^>]*>|\[/?url[^\]]*\]", re.I)
 HASHTAG = re.compile(r"#\w{3,}")
 SEPARATOR = re.compile(r"[;,|#•·]|\s[-–—/~*+>]+\s")
+ITEM_END = re.compile(r"[;,|\n.!?]| - ")
 #: A line of a log, a command, code or a measured part.
 LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\[?\d\d:\d\d:\d\d)")
 CODE = re.compile(r"^(?:\s{4,}|\t|\s*(?:\$ |>>> |[{}\[\]();]+\s*$|</?(?:pre|code|div|span)\b))|[{}]\s*$|^[^;]*;\s*$|\w\(.*\)|==|&&|::|->|=>|\\[a-zA-Z]+[ {_^(]|^\s*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GROUP BY|ORDER BY|HAVING|JOIN|LIMIT)\b")
@@ -48,6 +50,13 @@ class SpamLimits:
     least_hashtags: int = 5
     code_part: float = 0.3  # a paragraph with so many lines of code, logs or parts is none of ours
     spam_share: float = 0.5  # of the document's characters
+    whole_repeated: float = 0.5  # share of repeated word pairs, or of duplicate items, in the text of all lines
+    least_in_sentence: int = 3  # different function words of a full sentence
+    least_distinct: int = 5  # different function words that show a language other than the declared one
+
+
+#: Declared languages that name none.
+POOLS = ("", "und", "mul", "mis", "zxx")
 
 
 def language_key(lang: str | None) -> str:
@@ -72,7 +81,7 @@ def count_document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
 
-Functions = list[tuple[frozenset[str], float]]
+Functions = dict[str, tuple[frozenset[str], float]]
 
 
 def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLimits) -> Functions:
@@ -97,7 +106,7 @@ def pick_languages(rows: list) -> Functions:
         words[lang].add(word)
         mass[lang] += n
         whole[lang] = all_words
-    return [(frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words)]
+    return {k: (frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words)}
 
 
 def split_lines(text: str) -> list[tuple[str, bool, int]]:
@@ -118,9 +127,28 @@ def split_lines(text: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def sentence_score(words: list[str], functions: Functions) -> float:
+Lists = list[tuple[frozenset[str], float]]
+
+
+def sentence_score(words: list[str], lists: Lists) -> float:
     """Share of function words against what is usual, in the language that fits best."""
-    return max((sum(w in f for w in words) / len(words) / usual for f, usual in functions if usual), default=0.0) if words else 0.0
+    return max((sum(w in f for w in words) / len(words) / usual for f, usual in lists if usual), default=0.0) if words else 0.0
+
+
+def language_lists(words: list[str], lang: str | None, functions: Functions, limits: SpamLimits) -> Lists:
+    """The function words to score the lines by: those of the declared language; of all and the pools where none is declared or known.
+
+    If the text as a whole is not in the declared language, another one counts that it has several function words of.
+    """
+    key = language_key(lang)
+    if key in POOLS or key not in functions:
+        return list(functions.values())
+    own = [functions[key]]
+    if sentence_score(words, own) >= limits.sentence_part:
+        return own
+    seen = set(words)
+    others = [f for k, f in functions.items() if k not in POOLS and k != key and len(seen & f[0]) >= limits.least_distinct]
+    return own + [f for f in others if sentence_score(words, [f]) >= limits.sentence_part]
 
 
 def block_is_spam(lines: list[str], limits: SpamLimits) -> str | None:
@@ -153,15 +181,52 @@ def block_is_spam(lines: list[str], limits: SpamLimits) -> str | None:
     return None
 
 
+def mostly_repeated(text: str, words: list[str], limits: SpamLimits, more: int = 0, more_items: int = 0) -> str | None:
+    """The kind of spam that the text is if it is mostly repetition; more: words and items besides it that are none."""
+    n = len(words) + more
+    if n < limits.least_words or len(words) < 2:
+        return None
+    pairs = list(zip(words, words[1:]))
+    repeated = (len(pairs) - len(set(pairs))) / (n - 1)
+    varied = n < 4 * limits.least_words or (len(set(words)) + more) / n > limits.variety
+    separated = lambda: len(SEPARATOR.findall(text)) >= limits.separators * n
+    if repeated < limits.whole_repeated and (varied or not separated()):
+        items = [x.strip().lower() for x in ITEM_END.split(text) if not x.isspace() and WORD.search(x)]
+        if (len(items) - len(set(items))) / max(1, len(items) + more_items) < limits.whole_repeated:
+            return None
+    return "attributes" if separated() else "keywords"
+
+
+def whole_is_spam(lines: list[str], words: list[str], lists: Lists, limits: SpamLimits) -> str | None:
+    """The kind of spam that all lines besides code are, sentences or not, if they are mostly repetition.
+
+    Links are left out, and full sentences that come again count as ordinary text.
+    """
+    text = LINK.sub(" ", "\n".join(lines))
+    if mostly_repeated(text, words, limits) is None:
+        return None
+    seen, once, more, more_items = set(), [], 0, 0
+    for part in re.split(r"(?<=[.!?。！？])|\n", text):
+        words = words_of(part)
+        if len(words) >= limits.least_words and any(len(f.intersection(words)) >= limits.least_in_sentence for f, _ in lists):
+            if tuple(words) in seen:
+                more, more_items = more + len(words), more_items + sum(bool(WORD.search(x)) for x in ITEM_END.split(part))
+                continue
+            seen.add(tuple(words))
+        once.append(part)
+    text = "\n".join(once)
+    return mostly_repeated(text, words_of(text), limits, more, more_items)
+
+
 def is_technical(line: str) -> bool:
     return bool(LOG.search(line) or PART.search(line) or (CODE.search(line) and not LINK.search(line) and not HASHTAG.search(line)))
 
 
-def judge_document(text: str | None, functions: Functions, limits: SpamLimits) -> tuple[float, str | None]:
+def judge_document(text: str | None, lang: str | None, functions: Functions, limits: SpamLimits) -> tuple[float, str | None]:
     """(share of the characters that is spam, kind). Null, empty and blank texts have share 0."""
     if not text or text.isspace():
         return 0.0, None
-    rest, total = [], 0
+    every, total = [], 0
     lines = split_lines(text)
     at = 0
     while at < len(lines):  # by paragraph
@@ -172,27 +237,33 @@ def judge_document(text: str | None, functions: Functions, limits: SpamLimits) -
         total += sum(len(x) for x, _, _ in own)
         plain = [x for x, code, _ in own if not code and not is_technical(x)]
         if plain and len(own) - len(plain) < limits.code_part * len(own):
-            for line in plain:
-                words = words_of(line)
-                if len(words) < 3 or sentence_score(words, functions) < limits.sentence_part:
-                    rest.append(line)
+            every += plain
         at = end
+    words = [words_of(x) for x in every]
+    joined = [w for x in words for w in x]
+    lists = language_lists(joined, lang, functions, limits)
+    rest = [x for x, own in zip(every, words) if len(own) < 3 or sentence_score(own, lists) < limits.sentence_part]
     kind = block_is_spam(rest, limits) if rest else None
-    return (sum(map(len, rest)) / total, kind) if kind else (0.0, None)
+    share = sum(map(len, rest)) / total if kind else 0.0
+    if share <= limits.spam_share:
+        whole = whole_is_spam(every, joined, lists, limits)
+        if whole:
+            return sum(map(len, every)) / total, whole
+    return share, kind
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: SpamLimits = SpamLimits()) -> DataFrame:
     """id_col, spam_share, spam_kind (keywords, attributes, tags, links or null), is_spam.
 
     Null, empty and blank texts and an empty table give no spam. A null or odd language is judged by the
-    function words of all languages. Repeated rows are judged each. Other columns of docs are ignored.
+    function words of all languages, any other by its own. Repeated rows are judged each. Other columns of docs are ignored.
     """
     functions = function_words(docs, text_col, lang_col, limits)
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [judge_document(t, functions, limits) for t in b.column(1).to_pylist()]
+            found = [judge_document(t, lang, functions, limits) for t, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([k for _, k in found], pa.string())], names=["_id", "spam_share", "spam_kind"])
 
     out = narrow.mapInArrow(run, f"_id {narrow.schema['_id'].dataType.simpleString()}, spam_share double, spam_kind string")

@@ -57,3 +57,34 @@ def test_long_and_repeated_rows_and_empty_table(spark):
 @pytest.mark.parametrize("lang, want", [("EN", "en"), ("en-US", "en"), (" de_AT ", "de"), (None, ""), ("", "")])
 def test_language_key(lang, want):
     assert S.language_key(lang) == want
+
+
+FRENCH = "La pompe de la cave est vieille et elle ne tourne pas quand la vanne est fermée, donc il faut que nous ouvrions la vanne avant de faire un essai dans le champ."
+STUFFED = " | ".join(f"en chaussures {x}".strip() for x in ["prix", "gratuite", "promo", *[""] * 20, "livraison", *[""] * 10, "soldes"])
+OWN = ", ".join(f"{x} de la pompe" for x in ["prix", "promo", "vente", "achat"] * 10)
+
+
+def french_documents():
+    rnd = random.Random(3)
+    out = []
+    for i in range(400):
+        words = FRENCH.split()
+        rnd.shuffle(words)
+        out.append((2000 + i, " ".join(words), "fr"))
+    return out
+
+
+def test_function_words_of_other_languages_make_no_sentences(spark):
+    pool = [(3000 + i, f"en {w} on {v}", None) for i, (w, v) in enumerate(zip(FRENCH.split() * 3, PROSE.split() * 3))]
+    rows = [(1, STUFFED, "fr"), (2, STUFFED, "fr-FR"), (3, OWN, "fr"), (4, STUFFED, None), (5, FRENCH, "fr"), (6, FRENCH * 3, "en"), (7, PROSE * 2, "fr"), (8, FRENCH, None)]
+    df = spark.createDataFrame(documents() + french_documents() + pool + rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.is_spam for r in S.score_documents(df).collect()}
+    assert [got[i] for i in range(1, 6)] == [True] * 4 + [False] and not got[8]
+    assert not any(x for i, x in got.items() if i >= 2000)
+
+
+def test_wrongly_declared_language_is_no_spam():
+    words = lambda text: frozenset(S.words_of(text))
+    functions = {"en": (words("the in is and it does not run when so we have to"), 0.5), "fr": (words("la de est et elle ne pas quand donc il faut que nous avant"), 0.5)}
+    for text, lang in ((FRENCH, "en"), (PROSE, "fr")):
+        assert S.judge_document(text, lang, functions, S.SpamLimits()) == (0.0, None)
