@@ -1,7 +1,8 @@
 """Keyword-stuffed pages, link lists and product tag lists among posts.
 
 A first pass counts, per language, in how many documents each word occurs; words in a tenth of a language's
-documents or more are its function words (with a floor on the number of documents). The second pass reads each
+documents or more are its function words (with a floor on the number of documents). It also counts how repetitive, varied and separated a language's documents
+are; where a language usually lies near a limit, its limit is set off by the quartiles. The second pass reads each
 document whole, sorts its lines into sentences of its language, code or logs, and the rest, and tests the rest by the
 share of the top words and of repeated word pairs, duplicate items, link text, separators and missing function words.
 Sentences and the rest together are tested for being mostly repetition, as stuffed keywords may hold function words.
@@ -12,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ PART = re.compile(r"^\s*(?:[-*+]\s*)?\d+\s*(?:x|×|Stk\.?|pcs\.?)\s+\S.*\d\s*(?:
 
 @dataclass(frozen=True)
 class SpamLimits:
-    """Thresholds; shares are of words unless said otherwise."""
+    """Thresholds; shares are of words unless said otherwise. Those of MEASURES are the strictest, each language's are fitted."""
 
     function_df: float = 0.10  # a word in so many of a language's documents is a function word
     least_language: float = 0.002  # languages with a smaller share of the documents use the words of all others
@@ -43,7 +44,8 @@ class SpamLimits:
     top_words: float = 0.30  # share of the five commonest words
     repeated_pairs: float = 0.35  # share of word pairs that occur before in the block
     duplicate_items: float = 0.30
-    variety: float = 0.55  # distinct words by words
+    variety: float = 0.55  # distinct words by words, beside separators
+    plain_variety: float = 0.55  # the same without separators
     link_text: float = 0.30  # characters in links and link markup
     least_links: int = 3
     separators: float = 0.15  # separators by words
@@ -51,10 +53,17 @@ class SpamLimits:
     code_part: float = 0.3  # a paragraph with so many lines of code, logs or parts is none of ours
     spam_share: float = 0.5  # of the document's characters
     whole_repeated: float = 0.5  # share of repeated word pairs, or of duplicate items, in the text of all lines
+    least_fitted: int = 100  # documents that a language's limits are fitted on; with fewer, those of all documents hold
+    most_raised: float = 1.5  # limits rise to so many times the general ones at most, however much spam a language has
+    spread: float = 2.0  # a language's limit lies at least so many times (upper quartile - median) above its median
     least_in_sentence: int = 3  # different function words of a full sentence
     least_distinct: int = 5  # different function words that show a language other than the declared one
 
 
+#: Thresholds that are fitted per language; BINS steps of the share are counted.
+#: top_words is not: the commonest words of ordinary text are function words, which the tested lines lack.
+MEASURES = ("repeated_pairs", "duplicate_items", "plain_variety", "link_text", "separators")
+BINS = 50
 #: Declared languages that name none.
 POOLS = ("", "und", "mul", "mis", "zxx")
 
@@ -68,36 +77,85 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(LINK.sub(" ", text))]
 
 
-def count_document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: language, word, documents with the word; the empty word counts the documents."""
+def measures_of(text: str, words: list[str]) -> tuple[float, ...]:
+    """The MEASURES of a text, a higher one being more like spam (variety is taken from 1)."""
+    n = max(1, len(words))
+    pairs = list(zip(words, words[1:]))
+    items = [x.strip().lower() for x in ITEM_END.split(text) if x and not x.isspace()]
+    links = LINK.findall(text) if "://" in text or "www." in text.lower() else []
+    in_links = sum(map(len, links)) + (sum(map(len, MARKUP.findall(text))) if "<" in text or "[" in text else 0)
+    return (
+        1 - len(set(pairs)) / max(1, len(pairs)), 1 - len(set(items)) / max(1, len(items)),
+        1 - len(set(words)) / n, in_links / len(text), len(SEPARATOR.findall(text)) / n,
+    )
+
+
+def count_document_words(batches: Iterator[pa.RecordBatch], least_words: int = SpamLimits.least_words) -> Iterator[pa.RecordBatch]:
+    """Per batch: language, word, documents with the word; the empty word counts the documents, those with # the steps of each measure."""
     for b in batches:
         seen: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text and not text.isspace():
                 own = seen[language_key(lang)]
-                own.update({w for w in words_of(text) if len(w) <= 12})
+                words = words_of(text)
+                own.update({w for w in words if len(w) <= 12})
                 own[""] += 1
+                if len(words) >= least_words:
+                    own.update(f"#{i}:{min(BINS, int(x * BINS))}" for i, x in enumerate(measures_of(text, words)))
         rows = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
 
+def fit_limits(rows: list, limits: SpamLimits) -> dict[str, SpamLimits]:
+    """Limits of each language from (lang, step, n); under "*" those of all documents, for languages not among them.
+
+    Median and quartile are not moved much by the spam itself while it is less than a quarter of a language's documents;
+    beyond that, most_raised bounds them.
+    """
+    steps: dict[tuple[str, int], Counter] = defaultdict(Counter)
+    for lang, step, n in rows:
+        i, at = (int(x) for x in step[1:].split(":"))
+        for k in {lang, "*"}:
+            steps[k, i][at] += n
+    out = {}
+    for lang in {k for k, _ in steps} | {"*"}:
+        fitted = {}
+        for i, name in enumerate(MEASURES):
+            counted, whole = sorted(steps[lang, i].items()), sum(steps[lang, i].values())
+            if whole < limits.least_fitted:
+                break
+            half, upper = (next(at for k, (at, _) in enumerate(counted) if sum(n for _, n in counted[: k + 1]) >= q * whole) / BINS for q in (0.5, 0.75))
+            usual = half + limits.spread * (upper - half) + 1 / BINS
+            least = 1 - limits.plain_variety if name == "plain_variety" else getattr(limits, name)
+            limit = max(least, min(usual, limits.most_raised * least))
+            fitted[name] = 1 - limit if name == "plain_variety" else limit
+        whole = max(limits.whole_repeated, fitted.get("repeated_pairs", 0), fitted.get("duplicate_items", 0))
+        if fitted or lang == "*":
+            out[lang] = replace(limits, **fitted, whole_repeated=whole)
+    return out
+
+
 Functions = dict[str, tuple[frozenset[str], float]]
 
 
-def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLimits) -> Functions:
-    """(function words, their usual share of a document's distinct words) of each language, from all documents.
+def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLimits) -> tuple[Functions, dict[str, SpamLimits]]:
+    """(function words, their usual share of a document's distinct words) of each language, and its limits, from all documents.
 
     The result is small whatever the input: a language has at most (mean distinct words of a document) / function_df
-    of them, and at most 1 / least_language languages are kept.
+    of them, and at most 1 / least_language languages are kept, with at most BINS + 1 steps of each measure.
     """
-    counts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(count_document_words, "lang string, word string, n bigint")
+    counts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(lambda batches: count_document_words(batches, limits.least_words), "lang string, word string, n bigint")
     counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(F.col("word") != "", F.col("n"))).alias("all_words"))
+    step = F.col("word").startswith("#")
+    by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(~step & (F.col("word") != ""), F.col("n"))).alias("all_words"))
     # At most 1 / least_language languages pass, so they may be broadcast whatever the corpus.
     total = by_lang.agg(F.sum("docs")).scalar()
     by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_language * total))
-    often = counts.filter("word <> '' AND n >= 3").join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
-    return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect())
+    often = counts.filter("word <> '' AND n >= 3").filter(~step).join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
+    steps = counts.filter(step)
+    rare = steps.join(by_lang, "lang", "left_anti").groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "word", "n")
+    rows = steps.join(by_lang, "lang").select("lang", "word", "n").unionByName(rare).collect()
+    return pick_languages(often.select("lang", "word", "n", "docs", "all_words").collect()), fit_limits(rows, limits)
 
 
 def pick_languages(rows: list) -> Functions:
@@ -176,7 +234,7 @@ def block_is_spam(lines: list[str], limits: SpamLimits) -> str | None:
         return "attributes" if separators >= limits.separators else "keywords"
     if variety <= limits.variety and separators >= limits.separators:
         return "attributes"
-    if variety <= limits.variety and n >= 4 * limits.least_words:
+    if variety <= limits.plain_variety and n >= 4 * limits.least_words:
         return "keywords"
     return None
 
@@ -258,12 +316,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null, empty and blank texts and an empty table give no spam. A null or odd language is judged by the
     function words of all languages, any other by its own. Repeated rows are judged each. Other columns of docs are ignored.
     """
-    functions = function_words(docs, text_col, lang_col, limits)
+    functions, fitted = function_words(docs, text_col, lang_col, limits)
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [judge_document(t, lang, functions, limits) for t, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            found = [judge_document(t, lang, functions, fitted.get(language_key(lang), fitted["*"])) for t, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([k for _, k in found], pa.string())], names=["_id", "spam_share", "spam_kind"])
 
     out = narrow.mapInArrow(run, f"_id {narrow.schema['_id'].dataType.simpleString()}, spam_share double, spam_kind string")

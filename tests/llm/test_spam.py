@@ -88,3 +88,21 @@ def test_wrongly_declared_language_is_no_spam():
     functions = {"en": (words("the in is and it does not run when so we have to"), 0.5), "fr": (words("la de est et elle ne pas quand donc il faut que nous avant"), 0.5)}
     for text, lang in ((FRENCH, "en"), (PROSE, "fr")):
         assert S.judge_document(text, lang, functions, S.SpamLimits()) == (0.0, None)
+
+
+def test_limits_are_fitted_per_language(spark):
+    rnd = random.Random(5)
+
+    def post():  # each character is a word, and none is in many documents
+        pool = [chr(0x4E00 + 2 * x) + chr(0x4E01 + 2 * x) for x in rnd.sample(range(2000), 35)]
+        return "".join(rnd.choice(pool) for _ in range(90))
+
+    posts = [(4000 + i, post(), "ja") for i in range(300)]
+    # Pairs repeated as in the posts of one language, and much more than these.
+    rows = [(1, posts[0][1], "en"), (2, "犬走" * 40, "ja"), (3, PROSE, "en")]
+    df = spark.createDataFrame(documents() + posts + rows, "doc_id bigint, text string, lang string")
+    _, fitted = S.function_words(df, "text", "lang", S.SpamLimits())
+    assert fitted["en"].repeated_pairs < fitted["ja"].repeated_pairs and fitted["en"].plain_variety > fitted["ja"].plain_variety
+    got = {r.doc_id: r.is_spam for r in S.score_documents(df).collect()}
+    assert got[1] and got[2] and not got[3]
+    assert sum(got[i] for i, _, _ in posts) < 0.2 * len(posts)
