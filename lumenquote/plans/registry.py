@@ -251,6 +251,12 @@ def judge_contexts(spark, folder):
     return judge.sanitize(verify.judge_inputs(verify.citations(a, s).filter("method = 'exact'"), a, s)).select("answer_id", "id", "context")
 
 
+@query
+def judge_all_contexts(spark, folder):
+    """Contexts of all citations that a judge is asked about, whatever their method, sanitized; no SQL follows fuzzy offsets."""
+    return judge.sanitize(inputs(spark, folder)).select("answer_id", "id", "context")
+
+
 @query
 def judged_scores(spark, folder):
     return judged(spark, folder).select("answer_id", "line_no", "claim_id", "source_index", "class", *r6("confidence", "text_score", "score"))

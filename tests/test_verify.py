@@ -1,4 +1,5 @@
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from lumenquote.functions.json_recover import items_of
 from lumenquote.operators import gate as G
 from lumenquote.operators import judge as J
 from lumenquote.operators import verify as V
+from lumenquote.plans import registry
 from lumenquote.sources.jobs import read_jobs, write_verdicts
 
 ICE = "Water ice has a lower density than liquid water, so it floats on lakes in winter."
@@ -170,3 +172,23 @@ def test_nested_report(spark):
     r = {x.answer_id: x for x in V.nested_report(V.verify_answers(a, s, judge)).collect()}
     assert [c.claim_id for c in r[0].claims] == ["c1", "c2"] and [c["class"] for c in r[0].citations] == ["entailed", "error"] and r[0].summary.citation_count == 2
     assert [w.kind for w in r[0].warnings] == ["judge_count_mismatch"] and r[1].claims == [] and r[1].summary.citation_count == 0
+
+
+def test_contexts_of_all_methods(spark, tmp_path):
+    """Every method's context against a search by hand, from the query over tables."""
+    text = "Zero. " * 20 + "The old \uff30ump <b>ran</b> dry in May 1990 near the lake. Later the new turbine ran without any fault through the whole of the summer season." + " End." * 20
+    quotes = {"exact": "in May 1990", "normalized": "The old pump", "fuzzy": "Later the new turbine ran without any fault through the whole of the sumer season", "not_found": "quite another thing altogether here"}
+    body = " ".join(f"Claim {m}.[1]{{c{k}}}" for k, m in enumerate(quotes, 1))
+    answer = body + "\nEVI1\n" + "\n".join(f'c{k}|1|"{q}"' for k, q in enumerate(quotes.values(), 1)) + "\nEND_EVI1"
+    a = spark.createDataFrame([(1, answer, 9, None)], "answer_id bigint, answer string, context_window_chars int, received_at timestamp")
+    s = spark.createDataFrame([(1, 1, text, None)], "answer_id bigint, source_index int, text string, extra_texts array<string>")
+    a.write.parquet(str(tmp_path / "answers.parquet"))
+    s.write.parquet(str(tmp_path / "sources.parquet"))
+    found = {f"{r.claim_id}|1": r for r in V.citations(a.select("answer_id", "answer"), s).collect()}
+    assert [found[f"c{k}|1"].method for k in range(1, 5)] == list(quotes)
+    got = {r.id: r.context for r in registry.queries()["judge_all_contexts"](spark, str(tmp_path)).collect()}
+    want = {}
+    for k, r in found.items():
+        near = text[: 2 * 9] if r.start is None else text[max(0, r.start - 9) : r.end + 9]
+        want[k] = " ".join(re.sub(r"<[^>]*>", " ", near).split())[:1200]
+    assert got == want and "1990" in got["c1|1"] and "\uff30ump" in got["c2|1"] and "turbine" in got["c3|1"] and got["c4|1"] == "Zero. Zero. Zero."
