@@ -321,10 +321,20 @@ def correction_prompt(spark, folder):
     return verdicts(spark, folder).filter("verdict = 'revise'").select("answer_id", "instructions")
 
 
+def sanitized(text):
+    return collapse_whitespace(strip_html_tags(strip_control_chars(F.col(text))))
+
+
 @query
 def sanitized_texts(spark, folder):
-    text = collapse_whitespace(strip_html_tags(strip_control_chars(F.col("text"))))
-    return table(spark, folder, "documents").select("doc_id", F.substring(text, 1, judge.CAPS["context"]).alias("context"))
+    """Documents as a judge's context, with its cap."""
+    return table(spark, folder, "documents").select("doc_id", F.substring(sanitized("text"), 1, judge.CAPS["context"]).alias("context"))
+
+
+@query
+def sanitized_documents(spark, folder):
+    """The whole sanitized text of each document."""
+    return table(spark, folder, "documents").select("doc_id", sanitized("text").alias("text"))
 
 
 def queries() -> dict[str, Query]:

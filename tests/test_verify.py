@@ -192,3 +192,10 @@ def test_contexts_of_all_methods(spark, tmp_path):
         near = text[: 2 * 9] if r.start is None else text[max(0, r.start - 9) : r.end + 9]
         want[k] = " ".join(re.sub(r"<[^>]*>", " ", near).split())[:1200]
     assert got == want and "1990" in got["c1|1"] and "\uff30ump" in got["c2|1"] and "turbine" in got["c3|1"] and got["c4|1"] == "Zero. Zero. Zero."
+
+
+def test_sanitized_documents_are_whole(spark, tmp_path):
+    texts = ["<p>Long</p> text\x07 " * 500 + "the end", "short", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in registry.queries()["sanitized_documents"](spark, str(tmp_path)).collect()}
+    assert got == {0: "Long text " * 500 + "the end", 1: "short", 2: None, 3: ""}
