@@ -20,15 +20,15 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    words = lookalike.fit_vocabulary(_texts(spark, folder))
-    return lookalike.quotes_that_only_look_alike(_table(spark, folder, "evidence"), _table(spark, folder, "sources"), words)
+    vocabulary = lookalike.fit_vocabulary(_texts(spark, folder))
+    return lookalike.quotes_that_only_look_alike(_table(spark, folder, "evidence"), _table(spark, folder, "sources"), vocabulary)
 
 
 def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """rec_id and the canonical form of each source text and quote; resent rows once."""
-    words = lookalike.fit_vocabulary(_texts(spark, folder))
+    vocabulary = lookalike.fit_vocabulary(_texts(spark, folder))
     texts = _table(spark, folder, "sources").select("rec_id", "text").unionByName(_table(spark, folder, "evidence").select("rec_id", F.col("quote").alias("text")))
-    return lookalike.canonical_columns(texts.dropDuplicates(["rec_id"]), {"text": "canonical"}, words).select("rec_id", "canonical")
+    return lookalike.canonical_columns(texts.dropDuplicates(["rec_id"]), {"text": "canonical"}, vocabulary).select("rec_id", "canonical")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
