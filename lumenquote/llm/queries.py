@@ -33,8 +33,9 @@ def p1_canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     answers, evidence, sources = (_table(spark, folder, t) for t in ("answers", "evidence", "sources"))
-    a = truncation.cut_answers(answers).select(F.lit("answer").alias("field"), "answer_id", F.lit(0).alias("line_no"))
-    return a.unionByName(truncation.cut_quotes(evidence, sources, answers).select(F.lit("quote").alias("field"), "answer_id", "line_no"))
+    short = truncation.abbreviations(answers)
+    a = truncation.cut_answers(answers, short=short).select(F.lit("answer").alias("field"), "answer_id", F.lit(0).alias("line_no"))
+    return a.unionByName(truncation.cut_quotes(evidence, sources, answers, short=short).select(F.lit("quote").alias("field"), "answer_id", "line_no"))
 
 
 def p3_rates(spark: SparkSession, folder: str) -> DataFrame:

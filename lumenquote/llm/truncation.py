@@ -2,9 +2,11 @@
 
 Per source and column, histograms of the length in characters and in bytes are searched for spikes at the upper
 end: lengths at which far more unterminated values stand than at the lengths around. Values of a spike's length
-without terminal punctuation are cut. Cuts elsewhere show at the value itself: an opened appendix that never
-closes, a last line that is no sentence end and no usual closing line, or, for a quote, a break after which its
-source goes on inside the sentence.
+without terminal punctuation are cut, whatever their last line looks like. Cuts in transfer stand at no spike; these are
+an addition to the method, told by the value itself: an opened appendix that never closes, a last line that is no
+sentence end and no usual closing line, or, for a quote, a break after which its source goes on inside the sentence.
+A full stop after a word that usually goes on in small letters or digits (an abbreviation, learned from the answers)
+ends no sentence.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenquote.session import written
+
 # Fixed values of the answer format.
 APPENDIX_BEGIN, APPENDIX_END = "EVI1", "END_EVI1"
 
 BLANKS = r"[\s\p{Z}\x{FEFF}]"
 TERMINAL = r"""[.!?。！？]["'»”“’)\]]*$"""
-DOTS = r"(?:\.{2,}|…)$"
+DOTS = r"(?:(?<!\.)\.{2,}|…)$"
 MARKER = r"\{c[0-9]+\}$"
-#: A full stop that ends no sentence: an abbreviation after a bracket, an ordinal number after its article.
-INNER_STOP = r"\(\p{L}{1,3}\.$|\b(?:der|dem|den|des|am|vom|zum|im) [0-9]+\.$"
+# Words begin after what is none, so that long runs are read once.
+LAST_WORD = r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)\.$"
+STOPPED_WORD = r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+\.[\s\p{Z}]+[\p{L}\p{N}])"
 
 
 @dataclass(frozen=True)
@@ -30,16 +35,33 @@ class SpikeRule:
     around: int = 20  # lengths on either side that a spike is held against
     factor: float = 4.0  # times the mean number of unterminated values around
     least: int = 3  # unterminated values at the length
-    above: float = 1.0  # longer unterminated values, as a part of those at the length, are at most this
+    above: float = 4.0  # longer unterminated values, as a part of those at the length, are at most this
     usual_line: float = 0.02  # share among the unterminated last lines from which their form is a usual closing line
+    abbreviation: float = 0.9  # share of a word's full stops followed by small letters or digits from which it is an abbreviation
+    abbreviation_df: float = 0.001  # its stops by the number of answers, at least; so there are few, whatever the corpus
 
 
 def right_trim(c: Column) -> Column:
-    return F.regexp_replace(c, BLANKS + "+$", "")
+    return F.regexp_replace(c, f"(?<!{BLANKS}){BLANKS}+$", "")
+
+
+def is_terminated(c: Column, short: list[str]) -> Column:
+    """Whether the text ends a sentence; short: words whose full stop ends none."""
+    inner = F.regexp_extract(c, LAST_WORD, 1).isin(short) if short else F.lit(False)
+    return c.rlike(TERMINAL) & ~c.rlike(DOTS) & ~inner
 
 
-def is_terminated(c: Column) -> Column:
-    return c.rlike(TERMINAL) & ~c.rlike(DOTS) & ~c.rlike(INNER_STOP)
+def abbreviations(answers: DataFrame, rule: SpikeRule = SpikeRule()) -> list[str]:
+    """Words after whose full stop the answers go on in small letters or digits.
+
+    At most (full stops of an answer, on average) / abbreviation_df words can be so common, whatever the corpus.
+    """
+    stops = answers.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("answer"), F.lit("")), F.lit(STOPPED_WORD), F.lit(1))).alias("_m"))
+    inner = F.col("_m").rlike(r"[\p{Ll}\p{N}]$")
+    words = stops.groupBy(F.substring_index("_m", ".", 1).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(inner).alias("k"))
+    total = answers.agg(F.count(F.lit(1))).scalar()
+    found = words.filter((F.col("n") >= rule.abbreviation_df * total) & (F.col("n") >= 5) & (F.col("k") >= rule.abbreviation * F.col("n")))
+    return sorted(r.word for r in found.select("word").collect())
 
 
 def line_form(line: Column) -> Column:
@@ -71,12 +93,14 @@ def mark_spikes(values: DataFrame, spikes: DataFrame, source: str, length_chars:
     return out.withColumn("at_spike", F.coalesce(F.col("_chars"), F.col("_bytes"), F.lit(False))).drop("_chars", "_bytes")
 
 
-def cut_answers(answers: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
-    """answer_id, channel, reason of each cut answer: appendix, limit or break.
+def cut_answers(answers: DataFrame, rule: SpikeRule = SpikeRule(), short: list[str] | None = None) -> DataFrame:
+    """answer_id, channel, reason of each cut answer: limit (at a spike), appendix or break.
 
     Null, empty and blank answers are none. Resent rows are taken once. A finished answer may end without a full
-    stop: with a citation marker, a closed appendix, or a line of a form that many answers end with.
+    stop: with a citation marker, a closed appendix, or a line of a form that many answers end with; the last does not
+    save one at a spike. short: the abbreviations, by default those of the answers.
     """
+    short = abbreviations(answers, rule) if short is None else short
     a = answers.select("answer_id", "channel", F.col("answer").alias("_t")).filter(F.col("_t").isNotNull())
     a = a.withColumn("_r", right_trim(F.col("_t"))).filter(F.col("_r") != "")
     a = a.withColumn("_n", F.length("_t")).withColumn("_b", F.octet_length("_t"))
@@ -85,14 +109,14 @@ def cut_answers(answers: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
     end = F.array_max(F.transform(lines, lambda x, i: F.when(x == APPENDIX_END, i)))
     a = a.withColumn("_open", begin.isNotNull() & (end.isNull() | (end < begin))).withColumn("_closed", end.isNotNull() & ~F.col("_open"))
     last = F.substring_index("_r", "\n", -1)
-    ended = F.col("_closed") | is_terminated(F.col("_r")) | F.col("_r").rlike(MARKER)
-    # Only answers that may be cut go on; the rest needs no shuffle.
-    a = a.filter(F.col("_open") | ~ended).select("answer_id", "channel", "_n", "_b", "_open", line_form(last).alias("_form"), F.lit(True).alias("_u"))
-    a = a.dropDuplicates(["answer_id"])
-    usual = usual_lines(a.filter(~F.col("_open")), rule)
+    ended = F.col("_closed") | is_terminated(F.col("_r"), short) | F.col("_r").rlike(MARKER)
+    # Only answers that may be cut go on, without their texts; they are written once for the spikes, the usual lines and the result.
+    a = a.filter(F.col("_open") | ~ended).select("answer_id", "channel", "_n", "_b", "_open", line_form(last).alias("_form"))
+    a = written(a.dropDuplicates(["answer_id"]), "open_answers")
+    a = a.join(usual_lines(a.filter(~F.col("_open")), rule), "_form", "left")
+    a = a.withColumn("_u", F.col("_open") | F.col("_usual").isNull())  # finished answers make no spike
     marked = mark_spikes(a, length_spikes(a, "channel", "_n", "_b", "_u", rule), "channel", "_n", "_b")
-    marked = marked.join(usual, "_form", "left")
-    reason = F.when(F.col("_open"), "appendix").when(F.col("_usual").isNotNull(), None).when(F.col("at_spike"), "limit").otherwise("break")
+    reason = F.when(F.col("at_spike"), "limit").when(F.col("_open"), "appendix").when(F.col("_usual").isNull(), "break")
     return marked.select("answer_id", "channel", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
@@ -105,20 +129,21 @@ def usual_lines(values: DataFrame, rule: SpikeRule) -> DataFrame:
     return forms.filter(~F.col("_form").rlike(r"^[X0 ,.]*$")).select("_form", F.lit(True).alias("_usual"))
 
 
-def cut_quotes(evidence: DataFrame, sources: DataFrame, answers: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
+def cut_quotes(evidence: DataFrame, sources: DataFrame, answers: DataFrame, rule: SpikeRule = SpikeRule(), short: list[str] | None = None) -> DataFrame:
     """answer_id, line_no, channel, reason (limit or break) of each cut quote.
 
-    A quote that ends a sentence, or lacks only the full stop its source has at that place, is none; dots after a
-    break do not end it. Where the source does not hold the end of the quote, only a length at a spike tells.
+    An unterminated quote at a spike is cut, unless its source shows that it lacks only the full stop; one elsewhere if
+    its source goes on inside the sentence. Dots after a break do not end it.
     Null, empty and blank quotes are none. Resent rows are taken once; a quote without its answer has a null channel.
     """
+    short = abbreviations(answers, rule) if short is None else short
     e = evidence.select("answer_id", "line_no", "source_index", F.col("quote").alias("_q")).filter(F.col("_q").isNotNull())
-    e = e.withColumn("_r", right_trim(F.col("_q"))).filter((F.col("_r") != "") & ~is_terminated(F.col("_r")))
+    e = e.withColumn("_r", right_trim(F.col("_q"))).filter((F.col("_r") != "") & ~is_terminated(F.col("_r"), short))
     e = e.withColumn("_core", right_trim(F.regexp_replace("_r", DOTS, ""))).filter(F.col("_core") != "")
     e = e.withColumn("_n", F.length("_q")).withColumn("_b", F.octet_length("_q")).withColumn("_u", F.lit(True)).dropDuplicates(["answer_id", "line_no"])
     s = sources.select("answer_id", "source_index", F.concat(F.array(F.coalesce("text", F.lit(""))), F.coalesce("extra_texts", F.array())).alias("_fields"))
     c = answers.select("answer_id", "channel").dropDuplicates(["answer_id"])
-    e = e.join(c, "answer_id", "left")
+    e = written(e.join(c, "answer_id", "left").drop("_q"), "open_quotes")
     spikes = length_spikes(e, "channel", "_n", "_b", "_u", rule)
     joined = e.join(s, ["answer_id", "source_index"], "left")
 
@@ -134,7 +159,7 @@ def cut_quotes(evidence: DataFrame, sources: DataFrame, answers: DataFrame, rule
     def ends_sentence(field: Column, core: Column) -> Column:
         return F.contains(field, F.concat(core, F.lit("."))) | F.contains(field, F.concat(core, F.lit("!"))) | F.contains(field, F.concat(core, F.lit("?"))) | F.endswith(right_trim(field), core)
 
-    inner = F.col("_r").rlike(INNER_STOP)
+    inner = F.regexp_extract("_r", LAST_WORD, 1).isin(short) if short else F.lit(False)
     tail = F.substring(F.col("_core"), -24, 24)
     ascii_tail = F.substring(plain(F.col("_core")), -24, 24)
     fields = F.filter(F.coalesce("_fields", F.array()), lambda f: f.isNotNull())
@@ -146,8 +171,8 @@ def cut_quotes(evidence: DataFrame, sources: DataFrame, answers: DataFrame, rule
         F.first("channel").alias("channel"), F.first("_n").alias("_n"), F.first("_b").alias("_b"), F.min("_verdict").alias("_verdict")
     )
     marked = mark_spikes(found, spikes, "channel", "_n", "_b")
-    cut = F.coalesce(F.col("_verdict"), F.col("at_spike"))
-    return marked.filter(cut).select("answer_id", "line_no", "channel", F.when(F.col("at_spike"), "limit").otherwise("break").alias("reason"))
+    whole = F.coalesce(~F.col("_verdict"), F.lit(False))  # the source has its full stop here
+    return marked.filter((F.col("at_spike") & ~whole) | F.col("_verdict")).select("answer_id", "line_no", "channel", F.when(F.col("at_spike"), "limit").otherwise("break").alias("reason"))
 
 
 def cut_rates(answers: DataFrame, evidence: DataFrame, sources: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
@@ -156,7 +181,8 @@ def cut_rates(answers: DataFrame, evidence: DataFrame, sources: DataFrame, rule:
     quotes = evidence.select("answer_id", "line_no").dropDuplicates().join(channels, "answer_id", "left")
     whole = channels.groupBy("channel").agg(F.count(F.lit(1)).alias("n_values")).withColumn("field", F.lit("answer"))
     whole = whole.unionByName(quotes.groupBy("channel").agg(F.count(F.lit(1)).alias("n_values")).withColumn("field", F.lit("quote")))
-    cut = cut_answers(answers, rule).select("channel", F.lit("answer").alias("field")).unionByName(cut_quotes(evidence, sources, answers, rule).select("channel", F.lit("quote").alias("field")))
+    short = abbreviations(answers, rule)
+    cut = cut_answers(answers, rule, short).select("channel", F.lit("answer").alias("field")).unionByName(cut_quotes(evidence, sources, answers, rule, short).select("channel", F.lit("quote").alias("field")))
     cut = cut.groupBy("channel", "field").agg(F.count(F.lit(1)).alias("n_cut")).withColumnsRenamed({"channel": "_c", "field": "_f"})
     joined = whole.join(cut, whole["channel"].eqNullSafe(F.col("_c")) & (whole["field"] == F.col("_f")), "left")
     n_cut = F.coalesce("n_cut", F.lit(0))
