@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 # Fixed value: white space as the answer format means it, in a form that Java and RE2 both read.
 BLANK = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: Begins after what is no blank, so that a long run is read once.
+LAST_BLANKS = f"(?<!{BLANK}){BLANK}+$"
 CONTROL = r"[\x00-\x1F\x7F-\x9F]"
 TAG = r"<[^>]*>"
 CLAIM_MARKER = r"\{c[0-9]+\}"
 SOURCE_MARKER = r"\[[0-9]+\]"
 ELLIPSIS = "…"
-#: Stands for an escaped backslash while the other escapes are undone; texts must not hold it.
-SENTINEL = "\x01"
 
 
 def trim_blank(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(c, f"^{BLANK}+|{LAST_BLANKS}", "")
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"{BLANK}+$", "")
+    return F.regexp_replace(c, LAST_BLANKS, "")
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -48,8 +48,10 @@ def escape_quote(c: Column) -> Column:
 
 
 def unescape_quote(c: Column) -> Column:
-    held = F.replace(F.replace(c, F.lit("\\\\"), F.lit(SENTINEL)), F.lit("\\n"), F.lit("\n"))
-    return F.replace(F.regexp_replace(held, r"\\(.)", "$1"), F.lit(SENTINEL), F.lit("\\"))
+    """The inverse of escape_quote; a backslash before another character goes, one at the end stays."""
+    # Between escaped backslashes no other backslash is escaped, so each part can be read by itself.
+    parts = F.transform(F.split(c, r"\\\\", -1), lambda x: F.regexp_replace(F.replace(x, F.lit("\\n"), F.lit("\n")), r"\\(.)", "$1"))
+    return F.array_join(parts, "\\")
 
 
 def strip_claim_markers(c: Column) -> Column:

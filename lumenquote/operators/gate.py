@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lumenquote.functions.text import trim_blank, truncate
 from lumenquote.operators.judge import Judge, first_results, validate_results
-from lumenquote.operators.protocol import strip_appendix
-from lumenquote.operators.verify import apply_judge, citations, judge_inputs
+from lumenquote.operators.protocol import answer_events, event_evidence, event_warnings, message, strip_appendix
+from lumenquote.operators.verify import JUDGEABLE, apply_judge, citations, judge_inputs, summarize, verifier_warnings
+from lumenquote.session import written
 
 # Fixed values of the gate.
 MIN_SCORE, MIN_UNCITED_CHARS = 0.5, 40
@@ -32,70 +33,110 @@ def round_2(c: Column) -> Column:
 
 
 def gate_problems(cited: DataFrame, min_score: float | Column = MIN_SCORE) -> DataFrame:
-    """answer_id, line_no, claim_id, source_index, claim_text, type, method, text_score, class, confidence, score of each problem; scores to two places, the test on the full ones."""
-    c = cited if "class" in cited.columns else cited.withColumn("class", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double"))
+    """answer_id, line_no, claim_id, source_index, claim_text, type, method, text_score, class, confidence, reasons, score of each problem; scores to two places, the test on the full ones."""
+    c = cited if "class" in cited.columns else cited.withColumn("class", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("double")).withColumn("reasons", F.lit(None).cast("array<string>"))
     bad_class = F.coalesce(F.col("class").isin("contradicted", "overstated"), F.lit(False))
     low = F.coalesce(F.col("score") < min_score, F.lit(False))
     kind = F.when(F.col("method") == "not_found", "quote_not_in_source").when(F.col("class") == "contradicted", "contradicted_by_source").when(F.col("class") == "overstated", "overstated").otherwise("weakly_supported")
     rows = c.filter((F.col("method") == "not_found") | bad_class | low)
-    return rows.select("answer_id", "line_no", "claim_id", "source_index", "claim_text", kind.alias("type"), "method", round_2(F.col("text_score")).alias("text_score"), "class", round_2(F.col("confidence")).alias("confidence"), round_2(F.col("score")).alias("score"))
+    return rows.select("answer_id", "line_no", "claim_id", "source_index", "claim_text", kind.alias("type"), "method", round_2(F.col("text_score")).alias("text_score"), "class", round_2(F.col("confidence")).alias("confidence"), "reasons", round_2(F.col("score")).alias("score"))
 
 
-def uncited_sentences(answers: DataFrame, min_chars: int | str = MIN_UNCITED_CHARS) -> DataFrame:
-    """answer_id, line_no, sentence_no, sentence: sentences of the body that state something and cite nothing. min_chars may name a column of answers."""
+def _uncited(body: Column, least: Column) -> Column:
+    """Array of (line_no, sentence_no, sentence) of a body, within the row."""
+    lines = F.transform(F.split(body, "\n", -1), lambda x, i: F.struct(i.alias("line_no"), trim_blank(x).alias("l")))
+    lines = F.filter(lines, lambda x: (F.length(x["l"]) >= least) & ~x["l"].rlike(HEADING))
+
+    def states(s: Column) -> Column:
+        return (F.length(s) >= least) & ~F.endswith(s, F.lit("?")) & ~s.rlike(r"\[[0-9]+\]") & s.rlike("[A-Za-z]{3}")
+
+    def short(s: Column) -> Column:
+        return F.when(F.length(s) > MOST_SENTENCE, F.concat(F.substring(s, 1, MOST_SENTENCE - 3), F.lit("…"))).otherwise(s)
+
+    def of_line(x: Column) -> Column:
+        parts = F.transform(F.split(x["l"], SENTENCE_BREAK, -1), lambda s, i: F.struct(x["line_no"].alias("line_no"), i.alias("sentence_no"), trim_blank(s).alias("sentence")))
+        return F.filter(parts, lambda p: states(p["sentence"]))
+
+    found = F.flatten(F.transform(lines, of_line))
+    return F.transform(found, lambda p: F.struct(p["line_no"].alias("line_no"), p["sentence_no"].alias("sentence_no"), short(p["sentence"]).alias("sentence")))
+
+
+def answer_states(answers: DataFrame, min_chars: int | str = MIN_UNCITED_CHARS) -> DataFrame:
+    """answer_id, blank, uncited (array of line_no, sentence_no, sentence): what the gate needs of each answer, by one reading without a shuffle.
+
+    uncited are sentences of the body that state something and cite nothing. min_chars may name a column of answers.
+    """
     own = isinstance(min_chars, str)
-    bodies = strip_appendix(answers)
-    if own:
-        bodies = bodies.join(answers.select("answer_id", F.coalesce(min_chars, F.lit(MIN_UNCITED_CHARS)).alias("_min")), "answer_id")
-    bodies = bodies if own else bodies.withColumn("_min", F.lit(min_chars))
-    lines = bodies.select("_min", "answer_id", F.posexplode(F.split("body", "\n", -1)).alias("line_no", "_l")).withColumn("_l", trim_blank(F.col("_l")))
-    lines = lines.filter((F.col("_l") != "") & ~F.col("_l").rlike(HEADING))
-    rows = lines.select("_min", "answer_id", "line_no", F.posexplode(F.split("_l", SENTENCE_BREAK, -1)).alias("sentence_no", "_s")).withColumn("_s", trim_blank(F.col("_s")))
-    rows = rows.filter((F.length("_s") >= F.col("_min")) & ~F.endswith("_s", F.lit("?")) & ~F.col("_s").rlike(r"\[[0-9]+\]") & F.col("_s").rlike("[A-Za-z]{3}"))
-    short = F.when(F.length("_s") > MOST_SENTENCE, F.concat(F.substring("_s", 1, MOST_SENTENCE - 3), F.lit("…"))).otherwise(F.col("_s"))
-    return rows.select("answer_id", "line_no", "sentence_no", short.alias("sentence"))
-
-
-def correction_lines(problems: DataFrame, uncited: DataFrame) -> DataFrame:
-    """answer_id, part, ord, line: one line of instructions per problem and uncited sentence."""
+    least = F.coalesce(F.col(min_chars), F.lit(MIN_UNCITED_CHARS)) if own else F.lit(min_chars)
+    bodies = strip_appendix(answers, keep=("answer", *([min_chars] if own else [])))
+    blank = trim_blank(F.coalesce(F.col("answer").cast("string"), F.lit(""))) == ""
+    return bodies.select("answer_id", blank.alias("blank"), _uncited(F.col("body"), least).alias("uncited"))
+
+
+def uncited_sentences(answers: DataFrame, min_chars: int | str = MIN_UNCITED_CHARS) -> DataFrame:
+    """answer_id, line_no, sentence_no, sentence: the uncited sentences as rows."""
+    return answer_states(answers, min_chars).select("answer_id", F.explode("uncited").alias("_u")).select("answer_id", "_u.*")
+
+
+def problem_line(type_: Column, claim_id: Column, claim_text: Column) -> Column:
     advice = F.lit("")
     for k, v in ADVICE.items():
-        advice = F.when(F.col("type") == k, v).otherwise(advice)
-    p = problems.select("answer_id", F.lit(0).alias("part"), F.col("line_no").cast("bigint").alias("ord"), F.concat(F.lit("- Claim "), F.col("claim_id"), F.lit(' ("'), truncate(F.col("claim_text"), MOST_CLAIM), F.lit('"): '), advice, F.lit(".")).alias("line"))
-    u = uncited.select("answer_id", F.lit(1).alias("part"), (F.col("line_no").cast("bigint") * 100_000 + F.col("sentence_no")).alias("ord"), F.concat(F.lit('- No citation: "'), truncate(F.col("sentence"), MOST_CLAIM), F.lit(f'"; {UNCITED_ADVICE}.')).alias("line"))
-    return p.unionByName(u)
+        advice = F.when(type_ == k, v).otherwise(advice)
+    return F.concat(F.lit("- Claim "), claim_id, F.lit(' ("'), truncate(claim_text, MOST_CLAIM), F.lit('"): '), advice, F.lit("."))
 
 
-def gate_verdicts(answers: DataFrame, problems: DataFrame, uncited: DataFrame) -> DataFrame:
-    """answer_id, n_problems, n_uncited, verdict, exit_code, instructions (null on pass); blank answers are errors."""
-    lines = correction_lines(problems, uncited).groupBy("answer_id").agg(
-        F.count_if(F.col("part") == 0).alias("_p"), F.count_if(F.col("part") == 1).alias("_u"), F.array_sort(F.collect_list(F.struct("part", "ord", "line"))).alias("_l")
-    )
-    blank = trim_blank(F.coalesce(F.col("answer").cast("string"), F.lit(""))) == ""
-    j = answers.select("answer_id", blank.alias("_blank")).join(lines, "answer_id", "left")
-    verdict = F.when(F.col("_blank"), "error").when(F.col("_l").isNull(), "pass").otherwise("revise")
-    text = F.concat(F.lit(HEAD + "\n"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n" + FOOT))
+def uncited_line(sentence: Column) -> Column:
+    return F.concat(F.lit('- No citation: "'), truncate(sentence, MOST_CLAIM), F.lit(f'"; {UNCITED_ADVICE}.'))
+
+
+def gate_verdicts(answers: DataFrame, problems: DataFrame, min_chars: int | str = MIN_UNCITED_CHARS) -> DataFrame:
+    """answer_id, n_problems, n_uncited, verdict, exit_code, instructions (null on pass), problems, uncited; blank answers are errors.
+
+    problems and uncited are arrays in the order of the answer. answers are unique by answer_id.
+    """
+    fields = [c for c in ("claim_id", "source_index", "claim_text", "type", "method", "text_score", "class", "confidence", "reasons", "score") if c in problems.columns]
+    listed = problems.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct(*fields).alias("p")))).alias("_p"))
+    j = answer_states(answers, min_chars).join(listed, "answer_id", "left")
+    found, uncited = F.coalesce(F.transform("_p", lambda x: x["p"]), F.array()), F.col("uncited")
+    j = j.select("answer_id", "blank", found.alias("problems"), F.transform(uncited, lambda x: x["sentence"]).alias("uncited"))
+    verdict = F.when(F.col("blank"), "error").when((F.size("problems") == 0) & (F.size("uncited") == 0), "pass").otherwise("revise")
+    lines = F.concat(F.transform("problems", lambda x: problem_line(x["type"], x["claim_id"], x["claim_text"])), F.transform("uncited", uncited_line))
+    text = F.concat(F.lit(HEAD + "\n"), F.array_join(lines, "\n"), F.lit("\n" + FOOT))
     return j.select(
-        "answer_id", F.coalesce("_p", F.lit(0)).alias("n_problems"), F.coalesce("_u", F.lit(0)).alias("n_uncited"), verdict.alias("verdict"),
-        F.when(verdict == "pass", 0).when(verdict == "revise", 2).otherwise(1).alias("exit_code"), F.when(verdict == "revise", text).alias("instructions"),
+        "answer_id", F.size("problems").alias("n_problems"), F.size("uncited").alias("n_uncited"), verdict.alias("verdict"),
+        F.when(verdict == "pass", 0).when(verdict == "revise", 2).otherwise(1).alias("exit_code"), F.when(verdict == "revise", text).alias("instructions"), "problems", "uncited",
     )
 
 
 def gate_jobs(answers: DataFrame, sources: DataFrame, judge: Judge | None = None) -> DataFrame:
-    """Verdicts of jobs as sources.jobs reads them: each with its own thresholds where it names any, and without judge where it says so.
+    """Verdicts of jobs as sources.jobs reads them, with summary and warnings: each with its own thresholds where it names any, and without judge where it says so.
 
-    answers: answer_id, answer and, where wanted, min_score, min_uncited_chars and judge.
+    answers: answer_id, answer and, where wanted, min_score, min_uncited_chars and judge. Citations are located once
+    and each item is judged once.
     """
     for c, kind in (("min_score", "double"), ("min_uncited_chars", "int"), ("judge", "boolean")):
         if c not in answers.columns:
             answers = answers.withColumn(c, F.lit(None).cast(kind))
-    cited = citations(answers.select("answer_id", "answer"), sources)
+    texts = answers.select("answer_id", "answer")
+    cited = written(citations(texts, sources), "citations")
+    asked = answers.filter(F.coalesce("judge", F.lit(True))).select("answer_id")
+    none = {"class": "string", "confidence": "double", "reasons": "array<string>"}
+    inputs = results = judged = None
+    plain = cited
     if judge is not None:
-        asked = answers.filter(F.coalesce("judge", F.lit(True))).select("answer_id")
-        judged = cited.join(asked, "answer_id", "left_semi")
-        results = first_results(validate_results(judge.judge(judge_inputs(judged, answers, sources))))
-        plain = cited.join(asked, "answer_id", "left_anti")
-        none = {"class": "string", "confidence": "double", "reasons": "array<string>"}
-        cited = apply_judge(judged, results).unionByName(plain.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]))
-    limited = cited.join(answers.select("answer_id", F.coalesce("min_score", F.lit(MIN_SCORE)).alias("_least")), "answer_id")
-    return gate_verdicts(answers, gate_problems(limited, F.col("_least")), uncited_sentences(answers, "min_uncited_chars"))
+        judged, plain = cited.join(asked, "answer_id", "left_semi"), cited.join(asked, "answer_id", "left_anti")
+        results = written(judge.judge(judge_inputs(judged, answers, sources)), "judged")
+        inputs = judged.filter(JUDGEABLE).select("answer_id")
+        whole = apply_judge(judged, first_results(validate_results(results)))
+    plain = plain.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    whole = whole.unionByName(plain) if judge is not None else plain
+    least = answers.select("answer_id", F.coalesce("min_score", F.lit(MIN_SCORE)).alias("_least"))
+    verdicts = gate_verdicts(answers, gate_problems(whole.join(least, "answer_id"), F.col("_least")), "min_uncited_chars")
+    events = answer_events(texts)
+    said = event_warnings(events).unionByName(verifier_warnings(texts, sources, judged, inputs, results, event_evidence(events)))
+    said = said.withColumn("m", message(F.col("kind"), F.col("claim_id"), F.col("source_index"), F.col("detail")))
+    said = said.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "m"))).alias("_w"))
+    summary = summarize(answers, whole)
+    summary = summary.select("answer_id", F.struct(*[c for c in summary.columns if c != "answer_id"]).alias("summary"))
+    out = verdicts.join(summary, "answer_id", "left").join(said, "answer_id", "left")
+    return out.select(*verdicts.columns, "summary", F.coalesce(F.transform("_w", lambda w: w["m"]), F.array().cast("array<string>")).alias("warnings"))

@@ -10,7 +10,9 @@ import math
 import time
 import urllib.error
 import urllib.request
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -22,10 +24,12 @@ from lumenquote import schemas
 from lumenquote.functions.json_recover import items_of
 from lumenquote.functions.text import collapse_whitespace, strip_control_chars, strip_html_tags
 from lumenquote.schemas import ENTAILMENT_CLASSES
+from lumenquote.session import ship_package
 
 # Fixed values of the judge's contract.
 CAPS = {"id": 80, "claim": 700, "quote": 700, "context": 1200}
 MOST_REASONS, REASON_CHARS = 2, 200
+DEFAULT_MODEL, DEFAULT_URL = "judge", "http://localhost:8080/v1"
 
 
 class Judge(Protocol):
@@ -73,22 +77,48 @@ class LookupJudge:
 
 @dataclass
 class CallableJudge:
-    """A function from a list of inputs (dicts with id, claim, quote, context) to a list of results, called per batch."""
+    """A function from a list of inputs (dicts with id, claim, quote, context) to a list of results, called per batch.
+
+    Up to `concurrent` batches of a task are under way at a time. If `aborted` says so (asked before every batch), no
+    further batch is sent and the query fails with Aborted.
+    """
 
     call: Callable[[list[dict]], list[dict]]
     batch_size: int = 12
+    concurrent: int = 8
+    aborted: Callable[[], bool] | None = None
 
     def judge(self, items: DataFrame) -> DataFrame:
-        call, size = self.call, self.batch_size
+        call, size, concurrent, aborted = self.call, self.batch_size, self.concurrent, self.aborted
+        ship_package(items.sparkSession)
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            if aborted is not None and aborted():
+                raise Aborted("judging was aborted")
+            return judge_batch(call, part)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for k in range(0, len(frame), size):
-                    yield judge_batch(call, frame.iloc[k : k + size])
+            parts = (frame.iloc[k : k + size] for frame in frames for k in range(0, len(frame), size))
+            with ThreadPoolExecutor(concurrent) as pool:
+                waiting: deque = deque()
+                try:
+                    for part in parts:
+                        waiting.append(pool.submit(one, part))
+                        if len(waiting) >= 2 * concurrent:
+                            yield waiting.popleft().result()
+                    while waiting:
+                        yield waiting.popleft().result()
+                finally:  # after a failure nothing more is sent
+                    for w in waiting:
+                        w.cancel()
 
         return sanitize(items).mapInPandas(run, schemas.JUDGE_RESULT)
 
 
+class Aborted(Exception):
+    """The caller wants no more judging; unlike other failures it is no result."""
+
+
 def judge_batch(call: Callable[[list[dict]], list[dict]], part: pd.DataFrame) -> pd.DataFrame:
     """Results of one batch in its order: the first valid one of each id, else an error; if the call fails, errors with its message."""
     # Ids are unique within an answer only, so they are sent with their answer.
@@ -99,6 +129,8 @@ def judge_batch(call: Callable[[list[dict]], list[dict]], part: pd.DataFrame) ->
             if isinstance(x, dict) and isinstance(x.get("id"), str) and x["id"] and x["id"] not in got:
                 got[x["id"]] = x
         rows = [_checked(got[x["id"]]) if x["id"] in got else ("error", None, ["missing_item"]) for x in asked]
+    except Aborted:
+        raise
     except Exception as e:  # noqa: BLE001 - a failed batch must not fail the job
         rows = [("error", None, [str(e)[:REASON_CHARS] or type(e).__name__])] * len(asked)
     out = part[["answer_id", "id"]].copy()
@@ -144,13 +176,18 @@ RULES = [
 
 @dataclass
 class ChatJudge:
-    """A judge behind a chat-completions endpoint; transport and sleep can be replaced. Extra tries only for network errors, 429 and 5xx."""
+    """A judge behind a chat-completions endpoint; transport and sleep can be replaced.
+
+    Extra tries for 429, 5xx and every failure without a status (network, time, unreadable answers), not for other statuses.
+    """
 
     model: str
-    base_url: str = "http://localhost:8080/v1"
+    base_url: str = DEFAULT_URL
     api_key: str | None = None
     headers: dict[str, str] = field(default_factory=dict)
     batch_size: int = 12
+    concurrent: int = 8
+    aborted: Callable[[], bool] | None = None
     timeout_s: float = 45.0
     max_retries: int = 2
     backoff_s: float = 0.5
@@ -171,17 +208,23 @@ class ChatJudge:
                 answer = self.transport(f"{self.base_url}/chat/completions", headers, self.body(items), self.timeout_s)
                 choices = answer.get("choices") or [{}]
                 return items_of((choices[0].get("message") or {}).get("content") or "")
-            except TransportError as e:
-                if attempt == self.max_retries or not (e.status is None or e.status == 429 or e.status >= 500):
-                    raise
+            except Exception as e:  # noqa: BLE001 - sorted by status
+                status = getattr(e, "status", None)
+                stopped = isinstance(e, Aborted) or (self.aborted is not None and self.aborted())
+                if stopped or attempt == self.max_retries or not (status is None or status == 429 or status >= 500):
+                    raise Aborted("judging was aborted") if stopped else e
         return []
 
     def judge(self, items: DataFrame) -> DataFrame:
-        return CallableJudge(self.ask, self.batch_size).judge(items)
-
+        return CallableJudge(self.ask, self.batch_size, self.concurrent, self.aborted).judge(items)
 
-def key_from_environment(env: dict[str, str], names: tuple[str, ...] = ("LUMENQUOTE_JUDGE_KEY", "LUMENQUOTE_API_KEY")) -> str | None:
-    """The first key that is set; without one there is no judge."""
-    return next((env[n] for n in names if env.get(n)), None)
 
+def judge_from_environment(env: dict[str, str]) -> ChatJudge | None:
+    """The judge that the environment names, None without a key: then only texts are matched.
 
+    LUMENQUOTE_JUDGE_KEY or LUMENQUOTE_API_KEY, LUMENQUOTE_JUDGE_MODEL and LUMENQUOTE_JUDGE_URL.
+    """
+    key = next((env[n] for n in ("LUMENQUOTE_JUDGE_KEY", "LUMENQUOTE_API_KEY") if env.get(n)), None)
+    if key is None:
+        return None
+    return ChatJudge(env.get("LUMENQUOTE_JUDGE_MODEL") or DEFAULT_MODEL, (env.get("LUMENQUOTE_JUDGE_URL") or DEFAULT_URL).rstrip("/"), key)

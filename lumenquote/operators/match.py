@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from math import floor
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lumenquote.functions.normalize import normal_text, normalize_for_match
 from lumenquote.functions.text import trim_blank
+from lumenquote.session import map_batches
 
 # Fixed values of the matching rule.
 LEAST_WINDOW, LEAST_STEP, MOST_STEP, GOOD_ENOUGH, BEST_FUZZY = 40, 10, 80, 0.995, 0.99
@@ -56,13 +58,17 @@ def _grams(text: str) -> np.ndarray:
     return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else np.zeros(0, np.int64)
 
 
+# Quotes of one source follow each other, so what depends on its text alone is made once.
+_normal_once, _placed_once, _grams_once = (lru_cache(maxsize=16)(f) for f in (normal_text, normalize_for_match, _grams))
+
+
 class _Scan:
     """Trigrams of one quote against one text; windows are differences of running counts."""
 
     def __init__(self, quote: str, text: str):
         self.kinds, self.want = np.unique(_grams(quote), return_counts=True)
         self.quote_total, self.length = len(quote) - 2, len(text)
-        grams = _grams(text)
+        grams = _grams_once(text)
         at = np.searchsorted(self.kinds, grams)
         at[at == len(self.kinds)] = 0
         self.kind = np.where(self.kinds[at] == grams, at, -1) if len(self.kinds) and len(grams) else np.full(len(grams), -1)
@@ -134,7 +140,7 @@ def match_quote_against_text(quote: str, text: str, options: MatchOptions = Matc
     at = text.find(q)
     if at >= 0:
         return QuoteMatch("exact", 1.0, at, at + len(q), field)
-    nq, nt = normal_text(q), normal_text(text)
+    nq, nt = normal_text(q), _normal_once(text)
     if not nq or not nt:
         return QuoteMatch()
     at, score, width, method = nt.find(nq), 1.0, len(nq), "normalized"
@@ -143,7 +149,7 @@ def match_quote_against_text(quote: str, text: str, options: MatchOptions = Matc
         score, method = max(0.0, min(BEST_FUZZY, dice * min(1.0, len(nq) / options.short_quote_length))), "fuzzy"
         if at < 0 or score < options.fuzzy_threshold:
             return QuoteMatch("not_found", score, None, None, field)
-    _, origin = normalize_for_match(text)
+    _, origin = _placed_once(text)
     return QuoteMatch(method, score, int(origin[at]), int(origin[min(at + width - 1, len(origin) - 1)]) + 1, field)
 
 
@@ -196,7 +202,7 @@ def match_quotes(pairs: DataFrame, quote: str = "quote", text: str = "text", ext
                 new = [pa.array([getattr(m, name) for m in found], kind) for name, kind in (("method", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("field", pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], names=[*keys, "method", "score", "start", "end", "field"])
 
-    return staged.mapInArrow(run, schema)
+    return map_batches(staged, run, schema)
 
 
 def trigrams(c: Column) -> Column:
@@ -218,4 +224,4 @@ def dice_pairs(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*x.columns[: len(keys)], pa.array(dice, pa.float64())], names=[*keys, "dice"])
 
     named = pairs.select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    return named.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema[: len(keys)]) + ", dice double")
+    return map_batches(named, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema[: len(keys)]) + ", dice double")

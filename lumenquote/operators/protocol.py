@@ -6,8 +6,6 @@ functions within the row or by exploding it, so it needs no shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +16,6 @@ APPENDIX_START, APPENDIX_END = "EVI1", "END_EVI1"
 EVIDENCE_LINE = r'^(c[0-9]+)\|([0-9]+)\|"([\s\S]*)"$'
 CITATION_GROUP = r"((?:\[[0-9]+\])+)$"
 DETAIL_CHARS = 80
-#: Places of a warning are put into one number, by this factor.
-ORDER = 100_000
 
 #: What each kind of warning says; filled with its claim, source and detail.
 MESSAGES = {
@@ -56,9 +52,9 @@ def _with_lines(answers: DataFrame) -> DataFrame:
     return found.withColumn("_end", F.when(F.col("_start").isNotNull(), F.col("_end")))
 
 
-def strip_appendix(answers: DataFrame) -> DataFrame:
-    """answer_id, body: the answer without its appendix and trailing blanks; without an appendix the answer unchanged."""
-    return _with_lines(answers).select("answer_id", _body().alias("body"))
+def strip_appendix(answers: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """answer_id, body: the answer without its appendix and trailing blanks; without an appendix the answer unchanged. keep names further columns."""
+    return _with_lines(answers).select("answer_id", *keep, _body().alias("body"))
 
 
 def _body() -> Column:
@@ -173,74 +169,104 @@ def missing_evidence(evidence: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def _typed(df: DataFrame, phase: int, kind: str, order: list[str], claim: bool = True, source: bool = False, detail: str | None = None) -> DataFrame:
-    at = reduce(lambda a, b: a * F.lit(ORDER) + b, [F.col(c).cast("bigint") for c in order])
     return df.select(
-        "answer_id", F.lit(phase).alias("phase"), at.alias("ord"), F.lit(kind).alias("kind"),
+        "answer_id", F.lit(phase).alias("phase"), F.array(*[F.col(c).cast("bigint") for c in order]).alias("ord"), F.lit(kind).alias("kind"),
         (F.col("claim_id") if claim else F.lit(None).cast("string")).alias("claim_id"),
         (F.col("source_index") if source else F.lit(None)).cast("bigint").alias("source_index"),
         (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"),
     )
 
 
-def answer_events(answers: DataFrame) -> DataFrame:
-    """answer_id, type, line_no, seg_no, claim_id, source_index, cites, detail of all that the parser sees, from one reading.
+def answer_events(answers: DataFrame, with_text: bool = False) -> DataFrame:
+    """answer_id, type, line_no, seg_no, claim_id, source_index, cites, text, detail of all that the parser sees, from one reading.
 
-    type: evidence, malformed_line or invalid_index for appendix lines, claim for claim markers (with their cites).
+    type: evidence, malformed_line or invalid_index for appendix lines, claim for claim markers (with their cites). text
+    is the quote or the claim's text. with_text adds clean_text, on one further row of null type for each answer.
     """
     tagged = F.concat(
-        F.transform(F.split(_body(), "\n", -1), lambda x, i: F.struct(F.lit(True).alias("body"), i.alias("line_no"), x.alias("line"))),
-        F.coalesce(F.transform(F.slice("_lines", F.col("_start") + 2, F.col("_end") - F.col("_start") - 1), lambda x, i: F.struct(F.lit(False).alias("body"), (i + 1).alias("line_no"), x.alias("line"))), F.array()),
+        F.transform(F.split("_b", "\n", -1), lambda x, i: F.struct(F.lit(True).alias("body"), i.alias("line_no"), x.alias("line"))),
+        F.coalesce(F.transform(F.slice("_lines", F.col("_start") + 2, F.col("_end") - F.col("_start") - 1), lambda x, i: F.struct(F.lit(False).alias("body"), (i + 1).alias("line_no"), trim_blank(x).alias("line"))), F.array()),
     )
-    lines = _with_lines(answers).select("answer_id", F.explode(tagged).alias("_t")).select("answer_id", "_t.*")
-    lines = lines.withColumn("line", F.when(F.col("body"), F.col("line")).otherwise(trim_blank(F.col("line")))).filter(F.when(F.col("body"), F.contains("line", F.lit("{c"))).otherwise(F.col("line") != ""))
+    used = F.filter(tagged, lambda x: F.when(x["body"], F.contains(x["line"], F.lit("{c")) & x["line"].rlike(CLAIM_MARKER)).otherwise(x["line"] != ""))
+    if with_text:
+        used = F.concat(F.array(F.struct(F.lit(None).cast("boolean").alias("body"), F.lit(-1).alias("line_no"), strip_claim_markers(F.col("_b")).alias("line"))), used)
+    lines = _with_lines(answers).withColumn("_b", _body()).select("answer_id", F.explode(used).alias("_t")).select("answer_id", "_t.*")
     ids = F.regexp_extract_all("line", F.lit(r"\{c([0-9]+)\}"), F.lit(1))
     segments = F.arrays_zip(ids.alias("id"), F.slice(F.split("line", CLAIM_MARKER, -1), 1, F.size(ids)).alias("text"))
     one = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("text")))
-    rows = lines.select("answer_id", "body", "line_no", "line", F.posexplode(F.when(F.col("body"), segments).otherwise(one)).alias("seg_no", "_z"))
-    ok = F.col("line").rlike(EVIDENCE_LINE)
-    index = F.when(~F.col("body") & ok, F.coalesce(F.regexp_extract("line", EVIDENCE_LINE, 2).try_cast("bigint"), F.lit(2**63 - 1)))
-    kind = F.when(F.col("body"), "claim").when(~ok, "malformed_line").when(F.col("_i") < 1, "invalid_index").otherwise("evidence")
+    # A line of the body is not carried along with each of its markers.
+    lines = lines.select("answer_id", "body", "line_no", F.when(~F.col("body"), F.col("line")).alias("line"), F.when(F.col("body").isNull(), F.col("line")).alias("clean_text"), F.when(F.col("body"), segments).otherwise(one).alias("_s"))
+    rows = lines.select("answer_id", "body", "line_no", "line", "clean_text", F.posexplode("_s").alias("seg_no", "_z"))
+    ok = F.coalesce(F.col("line").rlike(EVIDENCE_LINE), F.lit(False))
+    index = F.when(ok, F.coalesce(F.regexp_extract("line", EVIDENCE_LINE, 2).try_cast("bigint"), F.lit(2**63 - 1)))
+    kind = F.when(F.col("body"), "claim").when(~F.col("body"), F.when(~ok, "malformed_line").when(F.col("_i") < 1, "invalid_index").otherwise("evidence"))
     claim = F.when(F.col("body"), F.concat(F.lit("c"), F.col("_z.id"))).when(ok, F.regexp_extract("line", EVIDENCE_LINE, 1))
+    text = F.when(F.col("body"), clean_claim_text(F.col("_z.text"))).when(ok, unescape_quote(F.regexp_extract("line", EVIDENCE_LINE, 3)))
     return rows.withColumn("_i", index).select(
         "answer_id", kind.alias("type"), "line_no", "seg_no", claim.alias("claim_id"), F.col("_i").alias("source_index"),
-        F.when(F.col("body"), group_indexes(F.regexp_extract(F.col("_z.text"), CITATION_GROUP, 1))).alias("cites"), F.when(~F.col("body"), truncate(F.col("line"), DETAIL_CHARS)).alias("detail"),
+        F.when(F.col("body"), group_indexes(F.regexp_extract(F.col("_z.text"), CITATION_GROUP, 1))).alias("cites"), text.alias("text"), truncate(F.col("line"), DETAIL_CHARS).alias("detail"),
+        *(["clean_text"] if with_text else []),
     )
 
 
-def parser_warnings(answers: DataFrame) -> DataFrame:
-    """answer_id, phase, ord, kind, claim_id, source_index, detail: all that the parser has to say, orderable by phase and ord.
+def ranked_events(events: DataFrame) -> DataFrame:
+    """events with _rank: 1 for the first claim of an id and the first quote for a claim and source."""
+    return events.withColumn("_rank", F.row_number().over(Window.partitionBy("answer_id", "type", "claim_id", "source_index").orderBy("line_no", "seg_no")))
 
-    Answers are read once; both windows keep to the partitioning by answer_id, so only rows of events are sorted.
-    """
-    events = answer_events(answers)
-    again = F.row_number().over(Window.partitionBy("answer_id", "type", "claim_id", "source_index").orderBy("line_no", "seg_no"))
-    events = events.withColumn("_rank", again)
+
+def event_claims(events: DataFrame) -> DataFrame:
+    """As extract_claims, from answer_events."""
+    first = ranked_events(events.filter("type = 'claim'")).filter("_rank = 1")
+    return first.select("answer_id", "line_no", "seg_no", "claim_id", F.col("text").alias("claim_text"), F.col("cites").alias("source_indexes"))
+
+
+def event_evidence(events: DataFrame) -> DataFrame:
+    """First evidence with claim_text, the text of its claim ('' if there is none), from answer_events, without a join."""
+    ranked = ranked_events(events)
+    claim = F.max(F.when((F.col("type") == "claim") & (F.col("_rank") == 1), F.col("text"))).over(Window.partitionBy("answer_id", "claim_id"))
+    first = ranked.withColumn("_claim", claim).filter("type = 'evidence' AND _rank = 1")
+    return first.select("answer_id", "line_no", "claim_id", "source_index", F.col("text").alias("quote"), F.coalesce("_claim", F.lit("")).alias("claim_text"))
+
+
+def _with_warnings(events: DataFrame) -> DataFrame:
+    """Ranked events with _found, the array of their warnings, and _once, false on the further rows that a claim has for its cites."""
+    events = ranked_events(events)
     # Each first claim becomes one row per source it cites; the others stay one row, told by a null place.
     cites = F.when((F.col("type") == "claim") & (F.col("_rank") == 1), F.col("cites"))
     rows = events.select("*", F.posexplode_outer(cites).alias("cite_no", "_cited")).withColumn("source_index", F.coalesce("_cited", "source_index"))
     pair = Window.partitionBy("answer_id", "claim_id", "source_index")
-    is_cite, is_quote = F.col("_cited").isNotNull(), F.col("type") == "evidence"
+    is_cite, is_quote = F.col("_cited").isNotNull(), F.coalesce(F.col("type") == "evidence", F.lit(False))
     rows = rows.withColumn("_has_cite", F.max(is_cite).over(pair)).withColumn("_has_quote", F.max(is_quote).over(pair))
-    line, seg = F.col("line_no").cast("bigint"), F.col("seg_no").cast("bigint")
+    line, seg, zero, one = F.col("line_no").cast("bigint"), F.col("seg_no").cast("bigint"), F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     once = F.coalesce(F.col("cite_no"), F.lit(0)) == 0
-    is_claim, marker = F.col("type") == "claim", (line * ORDER + seg) * ORDER
+    is_claim = F.col("type") == "claim"
 
-    def warn(when: Column, phase: int, kind: Column | str, at: Column, claim: bool = True, source: bool = False, detail: bool = False) -> Column:
+    def warn(when: Column, phase: int, kind: Column | str, at: tuple[Column, ...], claim: bool = True, source: bool = False, detail: bool = False) -> Column:
         none = F.lit(None).cast("string")
         return F.when(when, F.struct(
-            F.lit(phase).alias("phase"), at.alias("ord"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (F.col("claim_id") if claim else none).alias("claim_id"),
+            F.lit(phase).alias("phase"), F.array(*at).alias("ord"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), (F.col("claim_id") if claim else none).alias("claim_id"),
             (F.col("source_index") if source else F.lit(None).cast("bigint")).alias("source_index"), (F.col("detail") if detail else none).alias("detail"),
         ))
 
     found = F.array_compact(F.array(
-        warn(F.col("type").isin("malformed_line", "invalid_index"), 1, F.col("type"), line, claim=False, detail=True),
-        warn(is_claim & once & (F.size("cites") == 0), 2, "nonadjacent_group", marker),
-        warn(is_claim & (F.col("_rank") > 1), 2, "duplicate_claim", marker + 1),
-        warn(is_quote & (F.col("_rank") > 1), 3, "duplicate_evidence", line, source=True),
-        warn(is_quote & (F.col("_rank") == 1) & ~F.col("_has_cite"), 3, "orphan_evidence", line, source=True),
-        warn(is_cite & ~F.col("_has_quote"), 4, "missing_evidence", (line * ORDER + seg) * ORDER + F.col("cite_no"), source=True),
+        warn(F.col("type").isin("malformed_line", "invalid_index"), 1, F.col("type"), (line,), claim=False, detail=True),
+        warn(is_claim & once & (F.size("cites") == 0), 2, "nonadjacent_group", (line, seg, zero)),
+        warn(is_claim & (F.col("_rank") > 1), 2, "duplicate_claim", (line, seg, one)),
+        warn(is_quote & (F.col("_rank") > 1), 3, "duplicate_evidence", (line,), source=True),
+        warn(is_quote & (F.col("_rank") == 1) & ~F.col("_has_cite"), 3, "orphan_evidence", (line,), source=True),
+        warn(is_cite & ~F.col("_has_quote"), 4, "missing_evidence", (line, seg, F.col("cite_no").cast("bigint")), source=True),
     ))
-    return rows.select("answer_id", F.explode(found).alias("_w")).select("answer_id", "_w.*")
+    return rows.withColumn("_found", found).withColumn("_once", once)
+
+
+def event_warnings(events: DataFrame) -> DataFrame:
+    """answer_id, phase, ord, kind, claim_id, source_index, detail: all that the parser has to say, in order by phase and ord (an array of places)."""
+    return _with_warnings(events).select("answer_id", F.explode("_found").alias("_w")).select("answer_id", "_w.*")
+
+
+def parser_warnings(answers: DataFrame) -> DataFrame:
+    """Warnings of answers. They are read once; both windows keep to the partitioning by answer_id, so only rows of events are sorted."""
+    return event_warnings(answer_events(answers))
 
 
 def message(kind: Column, claim: Column, source: Column, detail: Column) -> Column:
@@ -251,16 +277,21 @@ def message(kind: Column, claim: Column, source: Column, detail: Column) -> Colu
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """One row per answer: clean_text, claims, evidence and warnings as arrays in the order of the answer."""
-    evidence = first_evidence(parse_evidence(answers)).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "claim_id", "source_index", "quote"))).alias("evidence"))
-    claims = extract_claims(answers).groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "seg_no", "claim_id", "claim_text", "source_indexes"))).alias("claims"))
-    w = parser_warnings(answers).select("answer_id", "phase", "ord", message(F.col("kind"), F.col("claim_id"), F.col("source_index"), F.col("detail")).alias("message"))
-    w = w.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "message"))).alias("_w"))
-    out = clean_text(answers).join(claims, "answer_id", "left").join(evidence, "answer_id", "left").join(w, "answer_id", "left")
-    empty = F.array()
+    """One row per answer: clean_text, claims, evidence and warnings as arrays in the order of the answer.
+
+    Answers are read once; what follows keeps to the partitioning by answer_id.
+    """
+    rows = _with_warnings(answer_events(answers, with_text=True))
+    said = F.transform("_found", lambda w: F.struct(w["phase"].alias("phase"), w["ord"].alias("ord"), message(w["kind"], w["claim_id"], w["source_index"], w["detail"]).alias("message")))
+    first = F.col("_once") & (F.col("_rank") == 1)
+    claim = F.when(first & (F.col("type") == "claim"), F.struct("line_no", "seg_no", "claim_id", F.col("text").alias("claim_text"), F.col("cites").alias("source_indexes")))
+    quote = F.when(first & (F.col("type") == "evidence"), F.struct("line_no", "claim_id", "source_index", F.col("text").alias("quote")))
+    out = rows.groupBy("answer_id").agg(
+        F.max("clean_text").alias("clean_text"), F.array_sort(F.collect_list(claim)).alias("claims"), F.array_sort(F.collect_list(quote)).alias("evidence"), F.array_sort(F.flatten(F.collect_list(said))).alias("_w")
+    )
     return out.select(
         "answer_id", "clean_text",
-        F.coalesce(F.transform("claims", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["claim_text"].alias("claim_text"), x["source_indexes"].alias("source_indexes"))), empty).alias("claims"),
-        F.coalesce(F.transform("evidence", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["source_index"].alias("source_index"), x["quote"].alias("quote"))), empty).alias("evidence"),
-        F.coalesce(F.transform("_w", lambda x: x["message"]), empty).alias("warnings"),
+        F.transform("claims", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["claim_text"].alias("claim_text"), x["source_indexes"].alias("source_indexes"))).alias("claims"),
+        F.transform("evidence", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["source_index"].alias("source_index"), x["quote"].alias("quote"))).alias("evidence"),
+        F.transform("_w", lambda x: x["message"]).alias("warnings"),
     )

@@ -17,6 +17,8 @@ from pyarrow import csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenquote.session import map_batches
+
 # Fixed values of the record layout.
 CHANNELS = ("web", "api", "mobile", "mail", "batch", "kiosk")
 FIELDS = {
@@ -220,7 +222,7 @@ def parse_records(raw: DataFrame, id_col: str = "raw_id", kind_col: str = "kind"
     raw are ignored, whatever their names.
     """
     named = raw.select(F.col(id_col).cast("bigint").alias("raw_id"), F.col(kind_col).cast("string").alias("kind"), F.col(line_col).cast("string").alias("line"))
-    return named.mapInArrow(_parse, OUTPUT)
+    return map_batches(named, _parse, OUTPUT)
 
 
 def split_records(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from lumenquote.operators import judge as J
 from lumenquote.operators import protocol as P
 from lumenquote.operators.match import MatchOptions, match_quotes
+from lumenquote.session import written
 
 DEFAULT_CONTEXT = 420
+#: Citations that a judge is asked about.
+JUDGEABLE = "claim_text <> '' AND quote <> ''"
+
+
+def _located(evidence: DataFrame, sources: DataFrame, options: MatchOptions) -> DataFrame:
+    s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"), "text", "extra_texts")
+    joined = evidence.join(s, ["answer_id", "source_index"]).select(*evidence.columns, "text", "extra_texts")
+    return match_quotes(joined, options=options).dropDuplicates(["answer_id", "claim_id", "source_index"])
 
 
 def located_evidence(answers: DataFrame, sources: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
@@ -20,23 +29,20 @@ def located_evidence(answers: DataFrame, sources: DataFrame, options: MatchOptio
     Evidence is unique by (answer_id, claim_id, source_index); the join is by (answer_id, source_index). Resent
     sources fall together after the matching, when the texts are gone, so texts are moved once.
     """
-    evidence = P.first_evidence(P.parse_evidence(answers))
-    s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"), "text", "extra_texts")
-    joined = evidence.join(s, ["answer_id", "source_index"]).select("answer_id", "line_no", "claim_id", "source_index", "quote", "text", "extra_texts")
-    return match_quotes(joined, options=options).dropDuplicates(["answer_id", "claim_id", "source_index"])
+    return _located(P.first_evidence(P.parse_evidence(answers)), sources, options)
 
 
-def missing_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """First evidence that cites a source nobody gave."""
+def missing_sources(answers: DataFrame | None, sources: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """First evidence that cites a source nobody gave. evidence: that of the answers, if it has been parsed."""
     s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"))
-    return P.first_evidence(P.parse_evidence(answers)).join(s, ["answer_id", "source_index"], "left_anti").select("answer_id", "line_no", "claim_id", "source_index", "quote")
+    first = P.first_evidence(P.parse_evidence(answers)) if evidence is None else evidence
+    return first.join(s, ["answer_id", "source_index"], "left_anti").select("answer_id", "line_no", "claim_id", "source_index", "quote")
 
 
 def citations(answers: DataFrame, sources: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
-    """One row per citation: the match, the claim's text ('' if there is none) and the score from the text alone."""
-    claims = P.extract_claims(answers).select("answer_id", "claim_id", "claim_text")
-    located = located_evidence(answers, sources, options).withColumnRenamed("score", "text_score")
-    return located.join(claims, ["answer_id", "claim_id"], "left").withColumn("claim_text", F.coalesce("claim_text", F.lit(""))).withColumn("score", F.col("text_score"))
+    """One row per citation: the match, the claim's text ('' if there is none) and the score from the text alone. Answers are read once."""
+    located = _located(P.event_evidence(P.answer_events(answers)), sources, options)
+    return located.withColumnRenamed("score", "text_score").withColumn("score", F.col("text_score"))
 
 
 def context_window(text: Column, start: Column, end: Column, field: Column, width: Column) -> Column:
@@ -49,7 +55,7 @@ def judge_inputs(cited: DataFrame, answers: DataFrame, sources: DataFrame) -> Da
     """answer_id, id, claim, quote, context of the citations that have both a claim and a quote; the width is the answer's own, else the default."""
     width = answers.select("answer_id", F.coalesce("context_window_chars", F.lit(DEFAULT_CONTEXT)).alias("_w")) if "context_window_chars" in answers.columns else answers.select("answer_id", F.lit(DEFAULT_CONTEXT).alias("_w"))
     s = sources.select("answer_id", F.col("source_index").cast("bigint").alias("source_index"), "text")
-    rows = cited.filter("claim_text <> '' AND quote <> ''").join(width, "answer_id").join(s, ["answer_id", "source_index"])
+    rows = cited.filter(JUDGEABLE).join(width, "answer_id").join(s, ["answer_id", "source_index"])
     context = context_window(F.col("text"), F.col("start"), F.col("end"), F.col("field"), F.col("_w"))
     return rows.select("answer_id", F.concat_ws("|", "claim_id", F.col("source_index").cast("string")).alias("id"), F.col("claim_text").alias("claim"), "quote", context.alias("context")).dropDuplicates(["answer_id", "id"])
 
@@ -60,7 +66,7 @@ def apply_judge(cited: DataFrame, results: DataFrame) -> DataFrame:
     results are valid and unique by (answer_id, id). A citation that could be judged but has no result counts as an
     error; one that could not keeps its text score.
     """
-    judgeable = (F.col("claim_text") != "") & (F.col("quote") != "")
+    judgeable = F.expr(JUDGEABLE)
     c = cited.withColumn("id", F.concat_ws("|", "claim_id", F.col("source_index").cast("string")))
     r = results.select("answer_id", "id", F.col("class").alias("_c"), F.col("confidence").alias("_f"), F.col("reasons").alias("_r"), F.lit(True).alias("_hit"))
     j = c.join(r, ["answer_id", "id"], "left")
@@ -86,9 +92,9 @@ def summarize(answers: DataFrame, cited: DataFrame) -> DataFrame:
     return out.select("answer_id", F.coalesce("_n", F.lit(0)).alias("citation_count"), "verbatim_rate", "entailed_rate", "mean_score", "min_score")
 
 
-def verifier_warnings(answers: DataFrame, sources: DataFrame, cited: DataFrame | None = None, inputs: DataFrame | None = None, results: DataFrame | None = None) -> DataFrame:
-    """Warnings of phases 5 to 7; the last two only with a judge's inputs and raw results."""
-    parts = [P._typed(missing_sources(answers, sources), 5, "source_not_provided", ["line_no"], source=True)]
+def verifier_warnings(answers: DataFrame | None, sources: DataFrame, cited: DataFrame | None = None, inputs: DataFrame | None = None, results: DataFrame | None = None, evidence: DataFrame | None = None) -> DataFrame:
+    """Warnings of phases 5 to 7; the last two only with a judge's inputs and raw results. evidence: that of the answers, if it has been parsed."""
+    parts = [P._typed(missing_sources(answers, sources, evidence), 5, "source_not_provided", ["line_no"], source=True)]
     if inputs is not None and results is not None:
         asked = inputs.groupBy("answer_id").agg(F.count(F.lit(1)).alias("_in"))
         given = results.groupBy("answer_id").agg(F.count(F.lit(1)).alias("_out"))
@@ -101,15 +107,21 @@ def verifier_warnings(answers: DataFrame, sources: DataFrame, cited: DataFrame |
 
 
 def verify_answers(answers: DataFrame, sources: DataFrame, judge: J.Judge | None = None, options: MatchOptions = MatchOptions()) -> dict[str, DataFrame]:
-    """The report as tables: clean_text, claims, citations, warnings and summary. answers are unique by answer_id."""
-    cited = citations(answers, sources, options)
+    """The report as tables: clean_text, claims, citations, warnings and summary. answers are unique by answer_id.
+
+    Citations, and the judge's results if there is one, are written once to the shared folder, so that every quote is
+    located and every item judged once, however many of the tables are used.
+    """
+    cited = written(citations(answers, sources, options), "citations")
     inputs = results = None
     if judge is not None:
         inputs = judge_inputs(cited, answers, sources)
-        results = judge.judge(inputs)
+        results = written(judge.judge(inputs), "judged")
+        inputs = cited.filter(JUDGEABLE).select("answer_id")
         cited = apply_judge(cited, J.first_results(J.validate_results(results)))
-    warnings = P.parser_warnings(answers).unionByName(verifier_warnings(answers, sources, cited if judge is not None else None, inputs, results))
-    return {"clean_text": P.clean_text(answers), "claims": P.extract_claims(answers), "citations": cited, "warnings": warnings, "summary": summarize(answers, cited)}
+    events = written(P.answer_events(answers), "events")
+    warnings = P.event_warnings(events).unionByName(verifier_warnings(answers, sources, cited if judge is not None else None, inputs, results, P.event_evidence(events)))
+    return {"clean_text": P.clean_text(answers), "claims": P.event_claims(events), "citations": cited, "warnings": warnings, "summary": summarize(answers, cited)}
 
 
 def nested_report(tables: dict[str, DataFrame]) -> DataFrame:

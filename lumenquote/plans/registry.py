@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenquote.functions.json_recover import recover_items
-from lumenquote.functions.normalize import normal_text
+from lumenquote.functions.normalize import normal_text, normalize_for_match
 from lumenquote.functions.text import collapse_whitespace, strip_control_chars, strip_html_tags
 from lumenquote.operators import gate, judge, match, protocol, verify
 from lumenquote.operators.rejects import parse_records
 from lumenquote.plans import oracles
+from lumenquote.schemas import ENTAILMENT_CLASSES
+from lumenquote.session import map_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -48,6 +50,11 @@ def judge_table(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "judge_results").select("answer_id", "id", F.col("entailment_class").alias("class"), "confidence", "reasons", "judged_at")
 
 
+def first_judged(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per item, the earliest judged, as a judge gives it."""
+    return judge.first_results(judge_table(spark, folder))
+
+
 def judged(spark: SparkSession, folder: str) -> DataFrame:
     results = judge.first_results(judge.validate_results(judge_table(spark, folder)))
     return verify.apply_judge(cited(spark, folder), results)
@@ -124,18 +131,18 @@ def serialize_roundtrip(spark, folder):
 
 @query
 def evidence_dedupe(spark, folder):
-    return protocol.first_evidence(protocol.parse_evidence(answers(spark, folder))).drop("quote")
+    return protocol.first_evidence(protocol.parse_evidence(answers(spark, folder)))
 
 
 @query
 def duplicate_evidence(spark, folder):
-    return protocol.duplicate_evidence(protocol.parse_evidence(answers(spark, folder))).drop("quote")
+    return protocol.duplicate_evidence(protocol.parse_evidence(answers(spark, folder)))
 
 
 @query
 def orphan_evidence(spark, folder):
     a = answers(spark, folder)
-    return protocol.orphan_evidence(protocol.parse_evidence(a), protocol.extract_claims(a)).select("answer_id", "line_no", "claim_id", "source_index")
+    return protocol.orphan_evidence(protocol.parse_evidence(a), protocol.extract_claims(a)).select("answer_id", "line_no", "claim_id", "source_index", "quote")
 
 
 @query
@@ -146,17 +153,18 @@ def missing_evidence(spark, folder):
 
 @query
 def missing_sources(spark, folder):
-    return verify.missing_sources(answers(spark, folder), sources(spark, folder)).drop("quote")
+    return verify.missing_sources(answers(spark, folder), sources(spark, folder))
 
 
 def all_warnings(spark, folder):
-    a = answers(spark, folder)
-    return protocol.parser_warnings(a).unionByName(verify.verifier_warnings(a, sources(spark, folder)))
+    events = protocol.answer_events(answers(spark, folder))
+    return protocol.event_warnings(events).unionByName(verify.verifier_warnings(None, sources(spark, folder), evidence=protocol.event_evidence(events)))
 
 
 @query
 def warnings(spark, folder):
-    return all_warnings(spark, folder).select("answer_id", "phase", "kind", F.when(F.col("phase") == 4, F.lit(-1)).otherwise(F.col("ord")).alias("ord"))
+    said = all_warnings(spark, folder)
+    return said.select("answer_id", "phase", "kind", F.array_join(F.col("ord").cast("array<string>"), ".").alias("place"), "claim_id", "source_index", "detail")
 
 
 @query
@@ -164,10 +172,15 @@ def warnings_by_kind(spark, folder):
     return all_warnings(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("answer_id").alias("n_answers"))
 
 
+def listed(array: str, *fields: str) -> Column:
+    """An array of structs as one text, a line per element."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws("|", *[F.array_join(x[f].cast("array<string>"), ",") if f == "source_indexes" else x[f].cast("string") for f in fields])), "\n").alias(array)
+
+
 @query
 def parsed_answers(spark, folder):
     p = protocol.parse_answers(answers(spark, folder))
-    return p.select("answer_id", F.length("clean_text").alias("n_chars"), F.size("claims").alias("n_claims"), F.size("evidence").alias("n_evidence"), F.size("warnings").alias("n_warnings"))
+    return p.select("answer_id", "clean_text", listed("claims", "claim_id", "claim_text", "source_indexes"), listed("evidence", "claim_id", "source_index", "quote"), F.array_join("warnings", "\n").alias("warnings"))
 
 
 @query
@@ -177,12 +190,12 @@ def exact_match(spark, folder):
 
 @query
 def normalized_match(spark, folder):
-    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method = 'normalized'").select("answer_id", "line_no", "field")
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method = 'normalized'").select("answer_id", "line_no", "start", "end", "field")
 
 
 @query
 def fuzzy_match(spark, folder):
-    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method IN ('fuzzy', 'not_found')").select("answer_id", "line_no", "method", *r6("score"), "field")
+    return verify.located_evidence(answers(spark, folder), sources(spark, folder)).filter("method IN ('fuzzy', 'not_found')").select("answer_id", "line_no", "method", *r6("score"), "start", "end", "field")
 
 
 @query
@@ -196,6 +209,19 @@ def match_method_histogram(spark, folder):
     return located.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("field") != "text").alias("n_extra"))
 
 
+@query
+def normal_offsets(spark, folder):
+    """Normal form of each quote, with the places that its characters have in the quote."""
+
+    def run(batches):
+        for b in batches:
+            found = [(None, None) if x is None else normalize_for_match(x) for x in b.column(1).to_pylist()]
+            places = [None if at is None else ",".join(map(str, at.tolist())) for _, at in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.string()), pa.array(places, pa.string())], names=["rec_id", "normal", "places"])
+
+    return map_batches(quotes(spark, folder).select("rec_id", "quote"), run, "rec_id bigint, normal string, places string")
+
+
 @query
 def normalized_quotes(spark, folder):
     """Normal form of each quote of the evidence table."""
@@ -204,27 +230,29 @@ def normalized_quotes(spark, folder):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else normal_text(x) for x in b.column(1).to_pylist()], pa.string())], names=["rec_id", "normal"])
 
-    return quotes(spark, folder).select("rec_id", "quote").mapInArrow(run, "rec_id bigint, normal string")
+    return map_batches(quotes(spark, folder).select("rec_id", "quote"), run, "rec_id bigint, normal string")
 
 
 @query
 def verification_report(spark, folder):
-    """Sizes of the parts of each answer's nested report, with the judge's results."""
+    """Each answer's nested report with the judge's results; the lists as texts."""
     a, s = answers(spark, folder), sources(spark, folder)
-    r = verify.nested_report(verify.verify_answers(a, s, judge.LookupJudge(judge_table(spark, folder).dropDuplicates(["answer_id", "id", "class", "confidence"]))))
-    return r.select("answer_id", F.length("clean_text").alias("n_chars"), F.size("claims").alias("n_claims"), F.size("citations").alias("n_citations"), F.round("summary.mean_score", 6).alias("mean_score"))
+    r = verify.nested_report(verify.verify_answers(a, s, judge.LookupJudge(first_judged(spark, folder))))
+    return r.select(
+        "answer_id", "clean_text", listed("claims", "claim_id", "claim_text", "source_indexes"), listed("citations", "claim_id", "source_index", "method", "class", "quote"),
+        F.array_join(F.transform("warnings", lambda w: w["kind"]), "\n").alias("warnings"), "summary.citation_count", *[F.round(f"summary.{c}", 6).alias(c) for c in ("verbatim_rate", "entailed_rate", "mean_score", "min_score")],
+    )
 
 
 @query
 def trigram_counts(spark, folder):
-    return match.gram_table(quotes(spark, folder), [], "quote")
+    return match.gram_table(quotes(spark, folder), ["rec_id"], "quote")
 
 
 @query
 def dice_pairs(spark, folder):
-    e = quotes(spark, folder).filter(F.length("quote") >= 3)
-    s = sources(spark, folder).filter(F.length("text") >= 3).select("answer_id", "source_index", "text")
-    pairs = e.join(s, ["answer_id", "source_index"])
+    """Dice of each quote and the text it cites; 0 where one has no trigram, null and empty texts included."""
+    pairs = quotes(spark, folder).join(sources(spark, folder).select("answer_id", "source_index", "text"), ["answer_id", "source_index"])
     return match.dice_pairs(pairs, ["answer_id", "line_no"], "quote", "text").select("answer_id", "line_no", *r6("dice")).distinct()
 
 
@@ -241,25 +269,29 @@ def inputs(spark, folder):
 
 @query
 def judge_inputs(spark, folder):
-    return judge.sanitize(inputs(spark, folder)).drop("context")
+    """What a judge is asked, contexts of all citations included."""
+    return judge.sanitize(inputs(spark, folder))
 
 
 @query
-def judge_contexts(spark, folder):
-    """Contexts of literal quotes, sanitized."""
-    a, s = answers(spark, folder), sources(spark, folder)
-    return judge.sanitize(verify.judge_inputs(verify.citations(a, s).filter("method = 'exact'"), a, s)).select("answer_id", "id", "context")
+def callable_judge(spark, folder):
+    """Results of a judge that is a function: it goes by lengths, leaves some items out, adds some and calls some classes by unknown names."""
 
+    def call(items):
+        out = [{"id": "c0|0", "class": "entailed", "confidence": 1.0}]
+        for x in items:
+            n = len(x["claim"])
+            if n % 7:
+                out.append({"id": x["id"], "class": (*ENTAILMENT_CLASSES, "maybe")[n % 6], "confidence": n / 100 if n % 5 else None, "reasons": ["  by \n length ", str(n), "third"]})
+        return out
 
-@query
-def judge_all_contexts(spark, folder):
-    """Contexts of all citations that a judge is asked about, whatever their method, sanitized; no SQL follows fuzzy offsets."""
-    return judge.sanitize(inputs(spark, folder)).select("answer_id", "id", "context")
+    found = judge.CallableJudge(call).judge(inputs(spark, folder))
+    return found.select("answer_id", "id", "class", *r6("confidence"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @query
 def judged_scores(spark, folder):
-    return judged(spark, folder).select("answer_id", "line_no", "claim_id", "source_index", "class", *r6("confidence", "text_score", "score"))
+    return judged(spark, folder).select("answer_id", "line_no", "claim_id", "source_index", "class", *r6("confidence", "text_score", "score"), F.array_join("reasons", "|").alias("reasons"))
 
 
 @query
@@ -271,10 +303,8 @@ def judged_summary(spark, folder):
 @query
 def judge_warnings(spark, folder):
     a, s = answers(spark, folder), sources(spark, folder)
-    c = verify.citations(a, s)
-    asked = verify.judge_inputs(c, a, s)
-    given = judge.LookupJudge(judge_table(spark, folder).dropDuplicates(["answer_id", "id"])).judge(asked)
-    return verify.verifier_warnings(a, s, c, asked, given).filter("phase >= 6").select("kind", "answer_id", "claim_id")
+    r = verify.verify_answers(a, s, judge.LookupJudge(first_judged(spark, folder)))
+    return r["warnings"].filter("phase >= 6").select("kind", "answer_id", "claim_id", "detail")
 
 
 @query
@@ -292,8 +322,8 @@ def json_recovery(spark, folder):
         .otherwise(F.concat(F.lit("["), F.col("items"), F.lit("]")))
     )
     found = per.select("answer_id", recover_items()(content).alias("found"))
-    ids = F.array_sort(F.transform("found", lambda x: F.get_json_object(x, "$.id")))
-    return found.select("answer_id", F.size("found").alias("n_items"), F.array_join(ids, ",").alias("ids"))
+    items = F.array_sort(F.transform("found", lambda x: F.concat_ws(" ", F.get_json_object(x, "$.id"), F.coalesce(F.get_json_object(x, "$.class"), F.lit("-")), F.coalesce(F.round(F.get_json_object(x, "$.confidence").cast("double") * 1000).cast("bigint").cast("string"), F.lit("-")), F.coalesce(F.get_json_object(x, "$.reasons[0]"), F.lit("-")))))
+    return found.select("answer_id", F.size("found").alias("n_items"), F.array_join(items, "\n").alias("items"))
 
 
 @query
@@ -303,17 +333,25 @@ def uncited_sentences(spark, folder):
 
 @query
 def gate_problems(spark, folder):
-    return gate.gate_problems(judged(spark, folder))
+    return gate.gate_problems(judged(spark, folder)).drop("reasons")
 
 
 def verdicts(spark, folder):
-    a = answers(spark, folder)
-    return gate.gate_verdicts(a, gate.gate_problems(judged(spark, folder)), gate.uncited_sentences(a))
+    return gate.gate_verdicts(answers(spark, folder), gate.gate_problems(judged(spark, folder)))
 
 
 @query
 def gate_verdicts(spark, folder):
-    return verdicts(spark, folder).drop("instructions")
+    return verdicts(spark, folder).drop("instructions", "problems", "uncited")
+
+
+@query
+def gate_jobs(spark, folder):
+    """The answers as jobs, each with its own thresholds or none, a third of them without judge."""
+    k = F.col("answer_id") % 3
+    a = answers(spark, folder).withColumn("min_score", F.when(k > 0, k * 0.45)).withColumn("min_uncited_chars", F.when(k != 1, (k * 35 + 20).cast("int"))).withColumn("judge", F.when(k == 2, False))
+    v = gate.gate_jobs(a, sources(spark, folder), judge.LookupJudge(first_judged(spark, folder)))
+    return v.select("answer_id", "verdict", "exit_code", listed("problems", "claim_id", "source_index", "type"), F.array_join("uncited", "\n").alias("uncited"), "summary.citation_count", F.round("summary.mean_score", 6).alias("mean_score"), F.size("warnings").alias("n_warnings"))
 
 
 @query
@@ -325,12 +363,6 @@ def sanitized(text):
     return collapse_whitespace(strip_html_tags(strip_control_chars(F.col(text))))
 
 
-@query
-def sanitized_texts(spark, folder):
-    """Documents as a judge's context, with its cap."""
-    return table(spark, folder, "documents").select("doc_id", F.substring(sanitized("text"), 1, judge.CAPS["context"]).alias("context"))
-
-
 @query
 def sanitized_documents(spark, folder):
     """The whole sanitized text of each document."""

@@ -1,16 +1,9 @@
 """Row types of the data model; one answer of the library API is one row here."""
 
-SOURCES = "answer_id bigint, source_index int, id string, title string, url string, text string, extra_texts array<string>"
-EVIDENCE = "answer_id bigint, line_no int, claim_id string, source_index bigint, quote string"
-CLAIMS = "answer_id bigint, claim_pos int, claim_id string, claim_text string, source_indexes array<bigint>"
-QUOTE_MATCH = "struct<method:string,score:double,start:int,end:int,field:string>"
-JUDGE_INPUT = "answer_id bigint, id string, claim string, quote string, context string"
 JUDGE_RESULT = "answer_id bigint, id string, class string, confidence double, reasons array<string>"
-WARNINGS = "answer_id bigint, phase int, ord bigint, kind string, claim_id string, source_index bigint, detail string"
 GATE_JOB = (
     "answer string, sources array<struct<id:string,title:string,url:string,text:string,extraTexts:array<string>>>, "
     "options struct<judge:boolean,thresholds:struct<minScore:double,minUncitedChars:int>>"
 )
 
-MATCH_METHODS = ("exact", "normalized", "fuzzy", "not_found")
 ENTAILMENT_CLASSES = ("entailed", "partially_entailed", "overstated", "insufficient", "contradicted")

@@ -68,7 +68,7 @@ def test_missing_orphan_and_duplicate_evidence(spark):
 
 def test_serialized_quotes_come_back(spark):
     rnd = random.Random(3)
-    quotes = ["".join(rnd.choice('ab"\\\n n|’é') for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    quotes = ["".join(rnd.choice('ab"\\\n n|’é\x01') for _ in range(rnd.randint(0, 30))) for _ in range(300)]
     e = spark.createDataFrame([(i // 7, i % 7 + 1, f"c{i}", 1, q) for i, q in enumerate(quotes)], "answer_id bigint, line_no int, claim_id string, source_index bigint, quote string")
     again = P.parse_evidence(P.serialize_appendix(e).withColumnRenamed("appendix", "answer"))
     assert {(r.claim_id, r.quote) for r in again.collect()} == {(f"c{i}", q) for i, q in enumerate(quotes)}
@@ -91,3 +91,24 @@ def test_empty_table(spark):
 def test_instructions_name_their_limits():
     text = citation_instructions(7, 3, (50, 90), 33)
     assert all(x in text for x in ("7 claims", "3 sources", "50 to 90", "under 33", "EVI1", "END_EVI1"))
+
+
+def test_all_rules_are_told():
+    text = citation_instructions()
+    assert all(x in text for x in ("exactly one", "no appendix", "Nothing follows END_EVI1", "code fence", "never invent", "number"))
+
+
+def test_places_of_many_markers_keep_their_order(spark):
+    line = " ".join(f"x {{c{i}}}" for i in range(1, 100_003))
+    a = answers(spark, line + "\nlast {c1}")
+    w = P.parser_warnings(a).orderBy("phase", "ord").collect()
+    assert [x.claim_id for x in w] == [f"c{i}" for i in range(1, 100_003)] + ["c1", "c1"] and w[-1].kind == "duplicate_claim"
+
+
+def test_claims_and_evidence_from_events(spark):
+    a = answers(spark, BODY, None, "x[1]{c1} {cat} y[1]{c1}\nEVI1\nc1|1|\"q\"\nc1|1|\"r\"\nEND_EVI1")
+    events = P.answer_events(a)
+    assert rows(P.event_claims(events), "answer_id", "seg_no") == rows(P.extract_claims(a), "answer_id", "seg_no")
+    assert rows(P.event_evidence(events).drop("claim_text"), "answer_id", "line_no") == rows(P.first_evidence(P.parse_evidence(a)), "answer_id", "line_no")
+    assert [r.claim_text for r in P.event_evidence(events).orderBy("answer_id", "line_no").collect()] == ["Ice floats on water."] * 2 + ["Steam rises.", "x"]
+    assert [r.clean_text for r in P.parse_answers(a).orderBy("answer_id").collect()] == [r.clean_text for r in P.clean_text(a).orderBy("answer_id").collect()]

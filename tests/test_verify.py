@@ -1,5 +1,6 @@
 import json
 import re
+import time
 
 import pandas as pd
 import pytest
@@ -10,7 +11,7 @@ from lumenquote.operators import gate as G
 from lumenquote.operators import judge as J
 from lumenquote.operators import verify as V
 from lumenquote.plans import registry
-from lumenquote.sources.jobs import read_jobs, write_verdicts
+from lumenquote.sources.jobs import job_verdicts, read_jobs, write_verdicts
 
 ICE = "Water ice has a lower density than liquid water, so it floats on lakes in winter."
 STEAM = "Steam is the gas phase of water and it rises through colder air above a kettle."
@@ -117,13 +118,17 @@ def test_json_recovery(text, want):
 
 
 def test_environment():
-    assert J.key_from_environment({}) is None and J.key_from_environment({"LUMENQUOTE_API_KEY": "k"}) == "k"
+    assert J.judge_from_environment({}) is None and J.judge_from_environment({"LUMENQUOTE_JUDGE_MODEL": "m"}) is None
+    judge = J.judge_from_environment({"LUMENQUOTE_API_KEY": "k"})
+    assert (judge.api_key, judge.model, judge.base_url) == ("k", J.DEFAULT_MODEL, J.DEFAULT_URL)
+    judge = J.judge_from_environment({"LUMENQUOTE_JUDGE_KEY": "a", "LUMENQUOTE_API_KEY": "b", "LUMENQUOTE_JUDGE_MODEL": "m", "LUMENQUOTE_JUDGE_URL": "http://x/v1/"})
+    assert (judge.api_key, judge.model, judge.base_url) == ("a", "m", "http://x/v1")
 
 
 def verdicts(spark, texts, judge=None):
     a, s = tables(spark, *texts)
     report = V.verify_answers(a, s, judge)
-    return {r.answer_id: r for r in G.gate_verdicts(a, G.gate_problems(report["citations"]), G.uncited_sentences(a)).collect()}
+    return {r.answer_id: r for r in G.gate_verdicts(a, G.gate_problems(report["citations"])).collect()}
 
 
 def test_gate(spark):
@@ -148,14 +153,30 @@ def test_uncited_sentences_and_what_is_passed_over(spark):
 
 
 def test_jobs_as_json(spark, tmp_path):
-    jobs = [{"answer": ANSWER, "sources": [{"text": ICE}, {"text": STEAM, "extraTexts": ["x"]}], "options": {"thresholds": {"minScore": 0.7}}}, {"answer": " ", "sources": []}]
-    (tmp_path / "jobs.json").write_text("\n".join([*map(json.dumps, jobs), "no json", ""]))
+    jobs = [
+        {"answer": ANSWER, "sources": [{"text": ICE}, {"text": STEAM, "extraTexts": ["x"]}], "options": {"thresholds": {"minScore": 0.7}}},
+        {"answer": UNCITED + ". Odd[1] {c1}", "sources": [{"text": ICE}]},
+        {"answer": ANSWER, "sources": [{"text": STEAM}], "options": {"judge": False}}, {"answer": " ", "sources": []},
+    ]
+    (tmp_path / "jobs.json").write_text("\n".join([*map(json.dumps, jobs + jobs[:2]), "no json", ""]))
     a, s, rejects = read_jobs(spark, str(tmp_path / "jobs.json"))
-    assert (a.count(), s.count(), rejects.count()) == (1, 2, 2) and a.first().min_score == 0.7
-    report = V.verify_answers(a.select("answer_id", "answer"), s)
-    v = G.gate_verdicts(a, G.gate_problems(report["citations"]), G.uncited_sentences(a))
-    write_verdicts(v, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).first().verdict == "pass"
+    assert (a.count(), s.count(), rejects.count()) == (3, 4, 2) and a.filter("min_score = 0.7").count() == 1
+    judge = J.CallableJudge(lambda items: [{"id": x["id"], "class": "entailed", "confidence": 0.6, "reasons": ["r"]} for x in items])
+    write_verdicts(job_verdicts(spark, str(tmp_path / "jobs.json"), judge), str(tmp_path / "out"))
+    got = [json.loads(x) for f in (tmp_path / "out").glob("*.json") for x in f.read_text().splitlines()]
+    assert len(got) == 5 and sorted((x["verdict"], x["exitCode"]) for x in got) == [("error", 1)] * 2 + [("revise", 2)] * 3
+    weak = next(x for x in got if x["summary"] and x["summary"]["citationCount"] == 2)
+    assert weak["problems"][0] == {"claimId": "c1", "sourceIndex": 1, "claimText": "Ice floats.", "type": "weakly_supported", "textMatch": {"method": "exact", "score": 1.0}, "entailment": {"class": "entailed", "confidence": 0.6, "reasons": ["r"]}, "score": 0.6}
+    assert len(weak["problems"]) == 2 and weak["uncited"] == [] and weak["warnings"] == [] and weak["summary"]["meanScore"] == 0.6 and "c2" in weak["instructionsForModel"]
+    odd = next(x for x in got if x["uncited"])
+    assert odd["uncited"] == [UNCITED + "."] and len(odd["warnings"]) == 1 and odd["problems"] == []
+    plain = next(x for x in got if x["summary"] and x["summary"]["citationCount"] == 1)
+    assert plain["problems"][0]["entailment"] is None and plain["problems"][0]["type"] == "quote_not_in_source" and len(plain["warnings"]) == 1
+    assert [x["instructionsForModel"] for x in got if x["verdict"] == "error"] == [None, None]
+
+
+def test_jobs_with_their_own_thresholds(spark):
+    a, s = tables(spark, ANSWER)
     judge = J.CallableJudge(lambda items: [{"id": x["id"], "class": "entailed", "confidence": 0.6, "reasons": []} for x in items])
     for change, want in (({"min_score": 0.7}, 2), ({"min_score": 0.5}, 0), ({"min_score": 0.7, "judge": False}, 0), ({"min_score": None}, 0)):
         own = a
@@ -164,6 +185,63 @@ def test_jobs_as_json(spark, tmp_path):
         assert G.gate_jobs(own, s, judge).first().exit_code == want
     long = a.withColumn("answer", F.lit(UNCITED + ".")).withColumn("min_uncited_chars", F.lit(200))
     assert G.gate_jobs(long, s).first().verdict == "pass" and G.gate_jobs(long.drop("min_uncited_chars"), s).first().verdict == "revise"
+    assert G.gate_jobs(a.limit(0), s).count() == 0
+
+
+def test_every_item_is_judged_once(spark, tmp_path):
+    def call(items):
+        for x in items:
+            with open(tmp_path / "asked", "a") as f:
+                f.write(x["id"] + "\n")
+        return [{"id": x["id"], "class": "entailed", "confidence": 0.9} for x in items]
+
+    a, s = tables(spark, *[ANSWER] * 9, "nothing")
+    report = V.verify_answers(a, s, J.CallableJudge(call, 4))
+    assert V.nested_report(report).count() == 10 and report["warnings"].count() == 0 and report["summary"].filter("min_score = 0.9").count() == 9
+    asked = (tmp_path / "asked").read_text().split()
+    assert len(asked) == len(set(asked)) == 18
+    G.gate_jobs(a, s, J.CallableJudge(call, 4)).collect()
+    assert len((tmp_path / "asked").read_text().split()) == 36
+
+
+def judge_items(spark, n):
+    return spark.createDataFrame([(i, "c1|1", "claim", "q", "x") for i in range(n)], "answer_id bigint, id string, claim string, quote string, context string").coalesce(1)
+
+
+def test_batches_run_at_the_same_time(spark):
+    def call(items):
+        time.sleep(0.5)
+        return [{"id": x["id"], "class": "entailed", "confidence": 0.5} for x in items]
+
+    began = time.perf_counter()
+    got = [r.answer_id for r in J.CallableJudge(call, 1, concurrent=8).judge(judge_items(spark, 24)).collect()]
+    assert got == list(range(24)) and time.perf_counter() - began < 9  # one after the other: 12 s at least
+
+
+def test_abort(spark, tmp_path):
+    def call(items):
+        (tmp_path / "stop").touch()
+        return []
+
+    judge = J.CallableJudge(call, 1, concurrent=1, aborted=(tmp_path / "stop").exists)
+    with pytest.raises(Exception, match="aborted"):
+        judge.judge(judge_items(spark, 50)).collect()
+    chat = J.ChatJudge("m", transport=lambda *x: 1 / 0, sleep=lambda s: None, aborted=lambda: True)
+    with pytest.raises(J.Aborted):
+        chat.ask([{"id": "a"}])
+
+
+@pytest.mark.parametrize("failure, tries", [(TimeoutError("late"), 3), (ValueError("no json"), 3), (ConnectionError("gone"), 3), (J.TransportError(404, "none"), 1)])
+def test_failures_without_a_status_are_tried_again(failure, tries):
+    seen = []
+
+    def transport(*x):
+        seen.append(x)
+        raise failure
+
+    with pytest.raises(type(failure)):
+        J.ChatJudge("m", transport=transport, sleep=lambda s: None).ask([{"id": "a"}])
+    assert len(seen) == tries
 
 
 def test_nested_report(spark):
@@ -186,7 +264,7 @@ def test_contexts_of_all_methods(spark, tmp_path):
     s.write.parquet(str(tmp_path / "sources.parquet"))
     found = {f"{r.claim_id}|1": r for r in V.citations(a.select("answer_id", "answer"), s).collect()}
     assert [found[f"c{k}|1"].method for k in range(1, 5)] == list(quotes)
-    got = {r.id: r.context for r in registry.queries()["judge_all_contexts"](spark, str(tmp_path)).collect()}
+    got = {r.id: r.context for r in registry.queries()["judge_inputs"](spark, str(tmp_path)).collect()}
     want = {}
     for k, r in found.items():
         near = text[: 2 * 9] if r.start is None else text[max(0, r.start - 9) : r.end + 9]
