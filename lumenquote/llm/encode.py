@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenquote.session import map_batches
+
 # Classes of code points. An apostrophe that may open a contraction has one letter (A1) or two (A2) after it.
 # BLANK is U+0020, WHITE any other white space; *_LAST is the last of its run with something after it in the same text.
 LETTER, NUMBER, OTHER, A1, A2, BLANK, BLANK_LAST, WHITE, WHITE_LAST, BEGIN = range(10)
@@ -286,7 +288,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         names.append("starts")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = narrow.mapInArrow(run, schema)
+    out = map_batches(narrow, run, schema)
     for i, c in enumerate((id_col, *keep)):
         out = out.withColumnRenamed(f"_c{i}", c)
     return out

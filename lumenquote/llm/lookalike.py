@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquote.session import written
+from lumenquote.session import map_batches, written
 
 # Letters of other scripts and the Latin letter they look like.
 CYRILLIC_ALIKE = "АВЕЅІЈКМНОРСТУХԌԚԜаеорсухіјѕһԁԛԝӀ"
@@ -274,7 +274,7 @@ def fit_vocabulary(texts: DataFrame, every: bool = False) -> DataFrame:
     Counted over all rows, whatever their number and length. Looks that all rows spell alike need no entry, as nothing
     is to be chosen; `every` keeps them too, for bounds above 0. The table is written once to the shared folder.
     """
-    counts = texts.mapInArrow(count_spellings, "look string, word string, clean boolean, n bigint").groupBy("look", "word", "clean").agg(F.sum("n").alias("n"))
+    counts = map_batches(texts, count_spellings, "look string, word string, clean boolean, n bigint").groupBy("look", "word", "clean").agg(F.sum("n").alias("n"))
     best = F.min(F.when(F.col("clean"), F.struct((-F.col("n")).alias("less"), "word")))
     looks = counts.groupBy("look").agg(best.alias("best"), F.count(F.lit(1)).alias("spellings")).filter("best IS NOT NULL")
     looks = looks if every else looks.filter("spellings > 1")
@@ -323,7 +323,7 @@ def canonical_columns(df: DataFrame, columns: dict[str, str], vocabulary: DataFr
         return run
 
     for key, shared in vocabulary_parts(vocabulary, size):
-        named = named.mapInArrow(step(key, shared), schema)
+        named = map_batches(named, step(key, shared), schema)
     return named.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)], *[F.col(f"_n{k}").alias(n) for k, n in enumerate(columns.values())])
 
 
@@ -358,4 +358,4 @@ def quotes_that_only_look_alike(evidence: DataFrame, sources: DataFrame, vocabul
                 keep.append(holds_alike(form, *canon.cut(quote)))
             yield b.select(["answer_id", "line_no"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(same, f"answer_id {types['answer_id']}, line_no {types['line_no']}").distinct()
+    return map_batches(pairs, same, f"answer_id {types['answer_id']}, line_no {types['line_no']}").distinct()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenquote.session import map_batches
+
 SYMBOLS = 2048
 BATCH_CHARS = 2_000_000
 
@@ -188,7 +190,7 @@ def pair_counts(texts: DataFrame) -> DataFrame:
                 k = keys[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(k // SYMBOLS), pa.array(k % SYMBOLS), pa.array(n[at : at + 50_000])], names=["pair", "reading", "n"])
 
-    return texts.mapInArrow(run, "pair bigint, reading bigint, n bigint").groupBy("pair", "reading").agg(F.sum("n").alias("n"))
+    return map_batches(texts, run, "pair bigint, reading bigint, n bigint").groupBy("pair", "reading").agg(F.sum("n").alias("n"))
 
 
 def without_misread(pair: np.ndarray, reading: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -430,7 +432,7 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, corpus: DataFra
                 if ids:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(restored, pa.string()), pa.array(lost, pa.int32())], names=["_id", "restored", "n_lost"])
 
-    return narrow.mapInArrow(run, f"_id {narrow.schema['_id'].dataType.simpleString()}, restored string, n_lost int").withColumnRenamed("_id", id_col)
+    return map_batches(narrow, run, f"_id {narrow.schema['_id'].dataType.simpleString()}, restored string, n_lost int").withColumnRenamed("_id", id_col)
 
 
 def fit_pairs(texts: DataFrame) -> PairModel:

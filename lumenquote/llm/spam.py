@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenquote.session import written
+from lumenquote.session import map_batches, written
 
 WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uac00-\ud7af]|[^\W\d_]+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"'\])]+", re.I)
@@ -144,7 +144,7 @@ def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLi
     The result is small whatever the input: a language has at most (mean distinct words of a document) / function_df
     of them, and at most 1 / least_language languages are kept, with at most BINS + 1 steps of each measure.
     """
-    counts = docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(lambda batches: count_document_words(batches, limits.least_words), "lang string, word string, n bigint")
+    counts = map_batches(docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), lambda batches: count_document_words(batches, limits.least_words), "lang string, word string, n bigint")
     counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     step = F.col("word").startswith("#")
     by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(~step & (F.col("word") != ""), F.col("n"))).alias("all_words"))
@@ -324,5 +324,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [judge_document(t, lang, functions, fitted.get(language_key(lang), fitted["*"])) for t, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([k for _, k in found], pa.string())], names=["_id", "spam_share", "spam_kind"])
 
-    out = narrow.mapInArrow(run, f"_id {narrow.schema['_id'].dataType.simpleString()}, spam_share double, spam_kind string")
+    out = map_batches(narrow, run, f"_id {narrow.schema['_id'].dataType.simpleString()}, spam_share double, spam_kind string")
     return out.withColumn("is_spam", F.col("spam_share") > limits.spam_share).withColumnRenamed("_id", id_col)

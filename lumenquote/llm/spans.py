@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lumenquote.session import written
+from lumenquote.session import map_batches, written
 
 LEAST = 160
 ROUNDS = 4
@@ -244,7 +244,7 @@ def name_records(records: DataFrame, least: int = LEAST) -> DataFrame:
                     names=["name", "rec", "grp", "field", "lo", "hi"],
                 )
 
-    return records.mapInArrow(run, "name bigint, rec bigint, grp bigint, field int, lo int, hi int")
+    return map_batches(records, run, "name bigint, rec bigint, grp bigint, field int, lo int, hi int")
 
 
 def _portions(texts: pa.Array, least: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
@@ -334,7 +334,7 @@ def _windows(occurrences: DataFrame, least: int) -> DataFrame:
                     names=["name", "one", "two", "after", "offset", "rec", "grp", "field", "start"],
                 )
 
-    return occurrences.select("name", "rec", "grp", "field", "lo", "hi", "at", "slice").mapInArrow(
+    return map_batches(occurrences.select("name", "rec", "grp", "field", "lo", "hi", "at", "slice"),
         run, "name bigint, one bigint, two bigint, after bigint, offset int, rec bigint, grp bigint, field int, start int"
     )
 
@@ -357,7 +357,7 @@ def shared_pairs(records: DataFrame, least: int = LEAST, hot: int = HOT) -> Data
             right = [common_length(*x) >= least for x in zip(*(c.to_pylist() for c in (batch.column("slice_a"), batch.column("lo_a"), batch.column("hi_a"), batch.column("slice_b"), batch.column("lo_b"), batch.column("hi_b"))))]
             yield batch.select(["rec_a", "rec_b"]).filter(pa.array(right, pa.bool_()))
 
-    found = tried.mapInArrow(verify, "rec_a bigint, rec_b bigint")
+    found = map_batches(tried, verify, "rec_a bigint, rec_b bigint")
     many = _windows(occurrences.filter(F.col("n") > hot), least).dropDuplicates(["name", "one", "two", "offset", "rec", "grp"])
     key = ["name", "one", "two", "offset"]
     x = many.select(*key, F.col("after").alias("after_a"), F.col("rec").alias("rec_a"), F.col("grp").alias("grp_a"))
@@ -388,7 +388,7 @@ def shared_stretches(records: DataFrame, least: int = LEAST, hot: int = HOT) ->
                     out += [(rec_a, field_a, at_a + lo_a - left, at_a + hi_a + right), (rec_b, field_b, at_b + lo_b - left, at_b + hi_b + right)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["rec", "field", "start", "stop"])
 
-    found = tried.mapInArrow(measure, "rec bigint, field int, start int, stop int")
+    found = map_batches(tried, measure, "rec bigint, field int, start int, stop int")
     windows = _windows(occurrences.filter(F.col("n") > hot), least).select("one", "two", "rec", "grp", "field", "start")
     both = windows.groupBy("one", "two").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1")).filter("_g0 < _g1").select("one", "two")
     exact = windows.join(both, ["one", "two"]).select("rec", "field", "start", (F.col("start") + least).alias("stop"))
