@@ -38,7 +38,7 @@ class SpamLimits:
     """Thresholds; shares are of words unless said otherwise. Those of MEASURES are the strictest, each language's are fitted."""
 
     function_df: float = 0.10  # a word in so many of a language's documents is a function word
-    least_language: float = 0.002  # languages with a smaller share of the documents use the words of all others
+    least_docs: int = 30  # a language with fewer documents uses the words of all others
     sentence_part: float = 0.6  # a line with less than this part of its language's usual function share is no sentence
     least_words: int = 8
     top_words: float = 0.30  # share of the five commonest words
@@ -58,6 +58,7 @@ class SpamLimits:
     spread: float = 2.0  # a language's limit lies at least so many times (upper quartile - median) above its median
     least_in_sentence: int = 3  # different function words of a full sentence
     least_distinct: int = 5  # different function words that show a language other than the declared one
+    most_languages: int = 4  # a text is scored by so many languages at most: those it has most function words of
 
 
 #: Thresholds that are fitted per language; BINS steps of the share are counted.
@@ -66,15 +67,18 @@ MEASURES = ("repeated_pairs", "duplicate_items", "plain_variety", "link_text", "
 BINS = 50
 #: Declared languages that name none.
 POOLS = ("", "und", "mul", "mis", "zxx")
+LANGUAGE = re.compile("[a-z]{2,3}")
+COUNTED_WORDS = 300_000
 
 
 def language_key(lang: str | None) -> str:
-    """Declared language in lower case without region; empty where unknown."""
-    return re.split(r"[-_]", (lang or "").strip().lower())[0]
+    """Declared language in lower case without region; empty where unknown. No more than 26 ** 2 + 26 ** 3 + 1 keys exist."""
+    key = re.split(r"[-_]", (lang or "").strip().lower())[0]
+    return key if LANGUAGE.fullmatch(key) else ""
 
 
 def words_of(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(LINK.sub(" ", text))]
+    return WORD.findall((LINK.sub(" ", text) if "://" in text or "www." in text.lower() else text).lower())
 
 
 def measures_of(text: str, words: list[str]) -> tuple[float, ...]:
@@ -91,19 +95,29 @@ def measures_of(text: str, words: list[str]) -> tuple[float, ...]:
 
 
 def count_document_words(batches: Iterator[pa.RecordBatch], least_words: int = SpamLimits.least_words) -> Iterator[pa.RecordBatch]:
-    """Per batch: language, word, documents with the word; the empty word counts the documents, those with # the steps of each measure."""
+    """Language, word, documents with the word; the empty word counts the documents, those with # the steps of each measure.
+
+    Each task adds up its own before the shuffle.
+    """
+    seen: dict[str, Counter] = defaultdict(Counter)
+
+    def rows() -> pa.RecordBatch:
+        found = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string()), pa.array([r[2] for r in found], pa.int64())], names=["lang", "word", "n"])
+
     for b in batches:
-        seen: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if text and not text.isspace():
                 own = seen[language_key(lang)]
                 words = words_of(text)
-                own.update({w for w in words if len(w) <= 12})
+                own.update(set(words))
                 own[""] += 1
                 if len(words) >= least_words:
                     own.update(f"#{i}:{min(BINS, int(x * BINS))}" for i, x in enumerate(measures_of(text, words)))
-        rows = [(lang, w, n) for lang, own in seen.items() for w, n in own.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+        if sum(map(len, seen.values())) > COUNTED_WORDS:
+            yield rows()
+    yield rows()
 
 
 def fit_limits(rows: list, limits: SpamLimits) -> dict[str, SpamLimits]:
@@ -135,22 +149,39 @@ def fit_limits(rows: list, limits: SpamLimits) -> dict[str, SpamLimits]:
     return out
 
 
-Functions = dict[str, tuple[frozenset[str], float]]
+class Functions(dict):
+    """(function words, their usual share of a document's distinct words) by language; `languages` by function word."""
+
+    def __init__(self, words: dict[str, tuple[frozenset[str], float]]):
+        super().__init__(words)
+        self.languages: dict[str, list[str]] = defaultdict(list)
+        for lang, (own, _) in words.items():
+            for w in own:
+                self.languages[w].append(lang)
+
+    def __reduce__(self):
+        return Functions, (dict(self),)
+
+    def closest(self, words: set[str], most: int, least: int = 1) -> list[tuple[frozenset[str], float]]:
+        """Those of the languages that the text has most different function words of, at least `least`; ties by name.
+
+        What this costs goes by the words that languages share, not by the number of languages.
+        """
+        hits = Counter(lang for w in words for lang in self.languages.get(w, ()))
+        return [self[k] for k, n in sorted(hits.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
 
 
 def function_words(docs: DataFrame, text_col: str, lang_col: str, limits: SpamLimits) -> tuple[Functions, dict[str, SpamLimits]]:
-    """(function words, their usual share of a document's distinct words) of each language, and its limits, from all documents.
+    """(function words and their usual share by language, the limits of each language), from all documents.
 
-    The result is small whatever the input: a language has at most (mean distinct words of a document) / function_df
-    of them, and at most 1 / least_language languages are kept, with at most BINS + 1 steps of each measure.
+    The result is small whatever the input: there are at most 26 ** 2 + 26 ** 3 + 1 language keys, and a language has at
+    most (mean distinct words of a document) / function_df function words and BINS + 1 steps of each measure.
     """
     counts = map_batches(docs.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")), lambda batches: count_document_words(batches, limits.least_words), "lang string, word string, n bigint")
     counts = written(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     step = F.col("word").startswith("#")
     by_lang = counts.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs"), F.sum(F.when(~step & (F.col("word") != ""), F.col("n"))).alias("all_words"))
-    # At most 1 / least_language languages pass, so they may be broadcast whatever the corpus.
-    total = by_lang.agg(F.sum("docs")).scalar()
-    by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_language * total))
+    by_lang = F.broadcast(by_lang.filter(F.col("docs") >= limits.least_docs))  # one row a language key
     often = counts.filter("word <> '' AND n >= 3").filter(~step).join(by_lang, "lang").filter(F.col("n") >= limits.function_df * F.col("docs"))
     steps = counts.filter(step)
     rare = steps.join(by_lang, "lang", "left_anti").groupBy("word").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "word", "n")
@@ -164,7 +195,7 @@ def pick_languages(rows: list) -> Functions:
         words[lang].add(word)
         mass[lang] += n
         whole[lang] = all_words
-    return {k: (frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words)}
+    return Functions({k: (frozenset(words[k]), mass[k] / whole[k]) for k in sorted(words)})
 
 
 def split_lines(text: str) -> list[tuple[str, bool, int]]:
@@ -190,22 +221,21 @@ Lists = list[tuple[frozenset[str], float]]
 
 def sentence_score(words: list[str], lists: Lists) -> float:
     """Share of function words against what is usual, in the language that fits best."""
-    return max((sum(w in f for w in words) / len(words) / usual for f, usual in lists if usual), default=0.0) if words else 0.0
+    return max((sum(map(f.__contains__, words)) / len(words) / usual for f, usual in lists if usual), default=0.0) if words else 0.0
 
 
 def language_lists(words: list[str], lang: str | None, functions: Functions, limits: SpamLimits) -> Lists:
-    """The function words to score the lines by: those of the declared language; of all and the pools where none is declared or known.
+    """The function words to score the lines by: those of the declared language; where none is declared or known, of the languages closest to the text.
 
     If the text as a whole is not in the declared language, another one counts that it has several function words of.
     """
     key = language_key(lang)
     if key in POOLS or key not in functions:
-        return list(functions.values())
+        return functions.closest(set(words), limits.most_languages)
     own = [functions[key]]
     if sentence_score(words, own) >= limits.sentence_part:
         return own
-    seen = set(words)
-    others = [f for k, f in functions.items() if k not in POOLS and k != key and len(seen & f[0]) >= limits.least_distinct]
+    others = [f for f in functions.closest(set(words), limits.most_languages, limits.least_distinct) if f is not own[0] and not any(f is functions.get(k) for k in POOLS)]
     return own + [f for f in others if sentence_score(words, [f]) >= limits.sentence_part]
 
 
@@ -317,9 +347,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     function words of all languages, any other by its own. Repeated rows are judged each. Other columns of docs are ignored.
     """
     functions, fitted = function_words(docs, text_col, lang_col, limits)
+    shared = docs.sparkSession.sparkContext.broadcast((functions, fitted))
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions, fitted = shared.value
         for b in batches:
             found = [judge_document(t, lang, functions, fitted.get(language_key(lang), fitted["*"])) for t, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([k for _, k in found], pa.string())], names=["_id", "spam_share", "spam_kind"])

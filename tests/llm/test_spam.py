@@ -85,7 +85,7 @@ def test_function_words_of_other_languages_make_no_sentences(spark):
 
 def test_wrongly_declared_language_is_no_spam():
     words = lambda text: frozenset(S.words_of(text))
-    functions = {"en": (words("the in is and it does not run when so we have to"), 0.5), "fr": (words("la de est et elle ne pas quand donc il faut que nous avant"), 0.5)}
+    functions = S.Functions({"en": (words("the in is and it does not run when so we have to"), 0.5), "fr": (words("la de est et elle ne pas quand donc il faut que nous avant"), 0.5)})
     for text, lang in ((FRENCH, "en"), (PROSE, "fr")):
         assert S.judge_document(text, lang, functions, S.SpamLimits()) == (0.0, None)
 
@@ -106,3 +106,23 @@ def test_limits_are_fitted_per_language(spark):
     got = {r.doc_id: r.is_spam for r in S.score_documents(df).collect()}
     assert got[1] and got[2] and not got[3]
     assert sum(got[i] for i, _, _ in posts) < 0.2 * len(posts)
+
+
+def test_languages_without_a_code_are_one():
+    assert [S.language_key(x) for x in ("en", "EN-us", " pt_BR ", "und", "english", "x", "", None, "de1")] == ["en", "en", "pt", "und", "", "", "", "", ""]
+
+
+def test_undeclared_texts_are_scored_by_the_closest_languages():
+    """The work goes by the words shared, not by the number of languages."""
+    many = {f"{a}{b}": (frozenset(f"{a}{b}{i}" for i in range(20)), 0.5) for a in "abcdefghij" for b in "abcdefghij"}
+    own = frozenset("the in is and it does not run when so we have to".split())
+    functions = S.Functions(many | {"en": (own, 0.5)})
+    text = set("the pump in the cellar is old and it does not run aa1 ab1".split())
+    assert functions.closest(text, 2)[0] == (own, 0.5) and len(functions.closest(text, 2)) == 2 and functions.closest(text, 9, 5) == [(own, 0.5)]
+    assert S.language_lists(sorted(text), None, functions, S.SpamLimits())[0] == (own, 0.5) and functions.closest({"zzz"}, 3) == []
+
+
+def test_long_function_words_and_small_languages(spark):
+    rows = [(f"verhältnismäßigkeit {i} jedoch", "de-AT") for i in range(40)] + [("few words", "fr")] * 5
+    functions, limits = S.function_words(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", S.SpamLimits())
+    assert set(functions) == {"de"} and functions["de"][0] == {"verhältnismäßigkeit", "jedoch"} and set(limits) == {"*"}
