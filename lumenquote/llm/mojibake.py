@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,6 +33,11 @@ BATCH_CHARS = 2_000_000
 # Fixed values: (encoding that misread the bytes, encoding that was meant).
 THROUGH_UTF8 = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp866", "koi8-r", "cp1250", "cp1253", "iso8859-15")
 SINGLE_BYTE = (("cp1252", "cp1251"), ("latin-1", "cp1251"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"))
+#: Many-byte encodings of East Asia: as what was meant, read by a single-byte one, and as what UTF-8 was read by.
+EAST_ASIAN = ("euc_jp", "gb18030", "big5", "euc_kr", "shift_jis")
+WESTERN = ("latin-1", "cp1252")
+EAST_ASIAN_LETTERS = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]{2}")
+#: What no encoding means: C1 controls and what stands for bytes that could not be read.
 REPLACED_RUN = re.compile(r"[\x80-\x9f\ufffd]+")
 IGNORABLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 UNIT = re.compile(r"[^\x00-\x7f]+")
@@ -51,7 +57,8 @@ class GarbleRule:
     gain: float = 1.5  # least gain in mean log frequency of pairs by a mapping
     over_case: float = 0.7  # gain that a reading byte for byte needs over the unit in lower case
     least_known: float = -11.0  # mean log frequency of pairs from which such a reading counts as evidence
-    least_letters: int = 6  # characters of such evidence that a text needs
+    least_letters: int = 5  # characters of such evidence that a text needs
+    lost: float = 1.0  # least score of a pair with a character that no encoding means, however common it is
     layers: int = MOST_LAYERS  # decodings one over the other
 
 
@@ -223,9 +230,14 @@ class PairModel:
         plain[: 1 + 0x80] = True
         grid = score.reshape(SYMBOLS, SYMBOLS)
         grid[np.ix_(plain, plain)] = -rule.calm
+        lost = [int(symbol_table()[c]) for c in (*range(0x80, 0xA0), 0xFFFD)]
+        grid[lost, :] = np.maximum(grid[lost, :], rule.lost)
+        grid[:, lost] = np.maximum(grid[:, lost], rule.lost)
         self.score = score
-        self.log = {int(k): math.log(v / self.total) for k, v in zip(self.pair, self.n)}
         self.floor = math.log(0.3 / self.total)
+        log = np.full(SYMBOLS * SYMBOLS, self.floor, np.float32)
+        log[self.pair] = np.log(p)
+        self.log = memoryview(log)  # quicker to read one by one than an array, and no larger, however many pairs occur
         self.known = second >= LEAST_KNOWN_CHARS
         self.known[own_symbols() :] = False  # a block known says little of one character
         return self
@@ -233,11 +245,12 @@ class PairModel:
     def has_pair(self, a: str, b: str) -> bool:
         """Whether the corpus has the pair; the end of a text is an empty string."""
         s = [int(symbol_table()[ord(c)]) if c else 0 for c in (a, b)]
-        return s[0] * SYMBOLS + s[1] in self.log
+        return self.log[s[0] * SYMBOLS + s[1]] > self.floor + 0.5
 
     def mean_log(self, text: str) -> float:
         s = symbol_table()[[ord(c) for c in text]].tolist()
-        return sum(self.log.get(a * SYMBOLS + b, self.floor) for a, b in zip(s, s[1:])) / max(1, len(s) - 1)
+        log = self.log
+        return sum(log[a * SYMBOLS + b] for a, b in zip(s, s[1:])) / max(1, len(s) - 1)
 
 
 def segments(scores: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -304,6 +317,15 @@ def inverse_readings(unit: str) -> list[str]:
                 out.append(data.decode(meant))
             except UnicodeDecodeError:
                 pass
+    if len(unit) >= 4:  # two characters of two bytes at least
+        for east in EAST_ASIAN:
+            for misread, meant in [*((w, east) for w in WESTERN), (east, "utf-8")]:
+                try:
+                    read = unit.encode(misread).decode(meant)
+                except UnicodeError:
+                    continue
+                if misread == east or EAST_ASIAN_LETTERS.search(read):
+                    out.append(read)
     return [x for x in dict.fromkeys(out) if x != unit]
 
 
@@ -367,12 +389,14 @@ class Restorer:
         known = self.model.mean_log(before + now + after)
         if known < max(self.model.mean_log(before + unit.lower() + after), self.model.mean_log(before + unit.capitalize() + after)) + self.rule.over_case:
             return None
-        return now, len(now) >= 3 and self.model.mean_log(now) > self.rule.least_known
+        # A short word may be rare; it is evidence if nothing in the corpus is like the unit.
+        far = len(now) >= self.rule.least_letters and known >= self.model.mean_log(before + unit + after) + 2 * self.rule.gain
+        return now, len(now) >= 3 and (far or self.model.mean_log(now) > self.rule.least_known)
 
     def text(self, text: str, scores: np.ndarray) -> tuple[bool, str, int]:
         """(affected, text as far as restored, runs that stay garbled). scores: of the pairs that end in each character and after the last."""
-        lost = len(REPLACED_RUN.findall(text))
         runs = segments(scores, self.rule.segment)
+        lost = lost_runs(text, runs)
         changes, r, sure, letters = [], 0, False, 0
         for m in UNIT.finditer(text) if runs else ():
             while r < len(runs) and runs[r][1] < m.start():
@@ -399,6 +423,27 @@ class Restorer:
         return True, whole, len(REPLACED_RUN.findall(whole))
 
 
+def lost_runs(text: str, runs: list[tuple[int, int]]) -> int:
+    """Runs of characters that no encoding means inside the improbable segments."""
+    n = r = 0
+    for m in REPLACED_RUN.finditer(text) if runs else ():
+        while r < len(runs) and runs[r][1] < m.start():
+            r += 1
+        n += r < len(runs) and runs[r][0] <= m.end()
+    return n
+
+
+_RESTORERS: dict[str, Restorer] = {}
+
+
+def _restorer(key: str, pair: np.ndarray, n: np.ndarray, rule: GarbleRule) -> Restorer:
+    """One per model and worker process, whatever the number of tasks."""
+    if key not in _RESTORERS:
+        _RESTORERS.clear()
+        _RESTORERS[key] = Restorer(PairModel(pair, n).prepare(rule), rule)
+    return _RESTORERS[key]
+
+
 def find_garbled(records: DataFrame, id_col: str, text_col: str, corpus: DataFrame | None = None, model: PairModel | None = None, rule: GarbleRule = GarbleRule()) -> DataFrame:
     """id_col, restored (the text as far as it can be restored), n_lost (runs that stay garbled) of each affected row.
 
@@ -408,14 +453,13 @@ def find_garbled(records: DataFrame, id_col: str, text_col: str, corpus: DataFra
     spark = records.sparkSession
     if model is None:
         model = fit_pairs(corpus if corpus is not None else records.select(F.col(text_col).cast("string")))
-    shared = spark.sparkContext.broadcast((model.pair, model.n))
+    shared, key = spark.sparkContext.broadcast((model.pair, model.n)), uuid.uuid4().hex
     narrow = records.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # A text of plain characters alone cannot have been misread.
     narrow = narrow.filter(F.col("_text").rlike(r"[^\x{0}-\x{7F}]"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, n = shared.value
-        restorer = Restorer(PairModel(pair, n).prepare(rule), rule)
+        restorer = _restorer(key, *shared.value, rule)
         score = restorer.model.score
         for whole in batches:
             for k, texts in portions(whole.column(1).to_pylist()):

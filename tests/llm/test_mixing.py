@@ -31,7 +31,8 @@ def test_shares_repeats_and_caps(spark, tokens, targets):
     by = Counter()
     for r in mixed:
         by[r.source] += r.n_tokens
-    shares, whole = X.plan_shares(tokens, targets)
+    plan, whole = X.plan_shares(tokens, targets)
+    shares = plan.collect()
     assert whole == total
     for s in shares:
         assert abs(by[s.source] - s.aim) <= 180, s
@@ -55,12 +56,23 @@ def test_every_stretch_is_mixed(tokens, targets):
         assert abs(a - share * done) < 6 * 512
 
 
+def plan_of(spark, aims):
+    return spark.createDataFrame(list(aims.items()), "source string, aim double")
+
+
 def test_slots_are_ranked_without_gaps(spark):
-    shares = [X.Share("p", 0.5, 1, 10, 1, 70_000.0 * 4096, 1), X.Share("q", 0.5, 1, 10, 1, 30_000.0 * 4096, 1)]
-    slots, n = X.schedule(spark, shares)
+    slots, n = X.schedule(plan_of(spark, {"p": 70_000.0 * 4096, "q": 30_000.0 * 4096, "none": 0.0}))
     got = slots.groupBy("source").agg({"rank": "max", "slot": "count"}).collect()
     assert {r.source: r["max(rank)"] + 1 for r in got} == {r.source: r["count(slot)"] for r in got} and sum(r["count(slot)"] for r in got) == n
-    assert all(r["count(slot)"] >= {"p": 70_000, "q": 30_000}[r.source] for r in got)
+    assert {r.source for r in got} == {"p", "q"} and all(r["count(slot)"] >= {"p": 70_000, "q": 30_000}[r.source] for r in got)
+
+
+def test_many_targets(spark):
+    """More sources than cells of the least number; each gets its slots."""
+    aims = {f"s{i}": 4096.0 * (1 + i % 5) for i in range(12_000)}
+    slots, n = X.schedule(plan_of(spark, aims))
+    got = {r.source: r["count"] for r in slots.groupBy("source").count().collect()}
+    assert sum(got.values()) == n and all(got.get(k, 0) >= v // 4096 for k, v in aims.items())
 
 
 def test_golden_points_keep_precision(spark):

@@ -99,3 +99,47 @@ def test_found_however_common(spark, corpus, times):
 def test_sequences_that_only_could_be_read_stay(restorer):
     for unit in ("м²", "тии", "рил", "ﬁé", "\xa0é", "е’ѕ", "Â\xad"):
         assert restorer._strict("1", unit, " ") is None
+
+
+def test_lost_characters_count_inside_segments(restorer):
+    assert M.lost_runs("a\x92b \ufffd\ufffd", [(0, 3), (4, 7)]) == 2 and M.lost_runs("a\x92b \ufffd", [(4, 6)]) == 1 and M.lost_runs("a\x92b", []) == 0
+    hit, new, lost = read(restorer, "La cl\ufffdture l\ufffdg\ufffdre")
+    assert hit and lost == 3 and new == "La cl\ufffdture l\ufffdg\ufffdre"
+
+
+def test_lost_characters_count_however_common(corpus):
+    many = [x.replace("é", "\ufffd") for x in corpus]
+    symbols, _, _ = M.symbols_of(many)
+    pair, n = np.unique(symbols[:-1].astype(np.int64) * M.SYMBOLS + symbols[1:], return_counts=True)
+    own = M.Restorer(M.PairModel(pair, n).prepare(M.GarbleRule()), M.GarbleRule())
+    for text in many[:200]:
+        assert read(own, text)[0] == ("\ufffd" in text)
+
+
+@pytest.mark.parametrize("text, misread, meant", [("測量記録の数値", "latin-1", "euc_jp"), ("东侧水泵的记录", "latin-1", "gb18030"), ("남쪽 수문의 기록", "latin-1", "euc_kr"), ("東側水泵的記錄", "latin-1", "big5"), ("Прежде старый насос", "gb18030", "utf-8")])
+def test_east_asian_readings(text, misread, meant):
+    for unit in M.UNIT.findall(text):
+        if len(unit) >= 2:
+            try:
+                shown = unit.encode(meant).decode(misread)
+            except UnicodeError:
+                continue
+            assert len(shown) < 4 or unit in M.inverse_readings(shown)
+
+
+def test_planted_misreadings_are_found(spark, corpus):
+    """A tenth of the texts is misread in whole or in part; what comes out is held against that."""
+    rnd = random.Random(8)
+    ways = [("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp437", "utf-8"), ("mac_roman", "utf-8")]
+    rows, planted = [], set()
+    for i, text in enumerate(corpus):
+        if i % 10 == 0:
+            half = text.find(" ", rnd.randrange(len(text) // 2))
+            bad = text[:half] + damage(text[half:], rnd.choice(ways))
+            if bad != text:
+                planted.add(i)
+            text = bad
+        rows.append((i, text))
+    found = M.find_garbled(spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    got = {r.id for r in found.select("id").collect()}
+    assert len(got & planted) >= 0.97 * len(planted) and len(got - planted) <= 0.01 * len(got) and len(planted) > 250
