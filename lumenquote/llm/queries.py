@@ -65,6 +65,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return spans.shared_pairs(_span_records(spark, folder))
 
 
+def p5_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of p5_found as links to representatives, in a form that stays linear where many records share a passage."""
+    return spans.shared_links(_span_records(spark, folder)).withColumnsRenamed({"rec": "rec_id", "rep": "rep_id"})
+
+
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
     extra = F.aggregate(F.coalesce("extra_texts", F.array()), F.lit(0), lambda n, x: n + F.coalesce(F.length(x), F.lit(0)))
     totals = _table(spark, folder, "sources").select(F.col("rec_id").alias("rec"), (F.coalesce(F.length("text"), F.lit(0)) + extra).alias("n_chars"))
@@ -95,8 +100,22 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_rates, p4_found, p4_restored, p5_found, p5_shares, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_canonical, p3_found, p3_rates, p4_found, p4_restored, p5_found, p5_links, p5_shares, p6_ids, p7_mix, p7_shares, p8_found, p8_scores)}
+
+
+# Every window of 160 characters of every field, those that more than one answer has, and what follows from them.
+WINDOWS = """WITH f AS (
+  SELECT DISTINCT rec_id AS rec, answer_id AS grp, 0 AS field, text AS t FROM sources UNION ALL SELECT DISTINCT rec_id, answer_id, 0, quote FROM evidence
+  UNION ALL SELECT rec, grp, unnest(range(1, len(x) + 1)), unnest(x) FROM (SELECT DISTINCT rec_id AS rec, answer_id AS grp, extra_texts AS x FROM sources)
+), w AS (SELECT rec, grp, field, i, substr(t, i, 160) AS x FROM (SELECT *, unnest(range(1, length(t) - 158)) AS i FROM f WHERE length(t) >= 160)
+), g AS (SELECT x FROM w GROUP BY x HAVING min(grp) < max(grp)
+), s AS (SELECT w.* FROM w JOIN g ON w.x = g.x)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": f"{WINDOWS} SELECT DISTINCT a.rec AS rec_a, b.rec AS rec_b FROM (SELECT DISTINCT rec, grp, x FROM s) a JOIN (SELECT DISTINCT rec, grp, x FROM s) b ON a.x = b.x WHERE a.rec < b.rec AND a.grp <> b.grp",
+        "p5_shares": f"""{WINDOWS}, n AS (SELECT rec, max(grp) AS grp, sum(coalesce(length(t), 0))::BIGINT AS n_chars FROM f GROUP BY rec
+), c AS (SELECT rec, sum(least(160, i - coalesce(b, i - 160)))::BIGINT AS shared_chars FROM (SELECT rec, i, lag(i) OVER (PARTITION BY rec, field ORDER BY i) AS b FROM s) GROUP BY rec
+) SELECT n.rec AS rec_id, n_chars::INTEGER AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN n_chars > 0 THEN coalesce(shared_chars, 0) / n_chars::DOUBLE END AS shared_share FROM n LEFT JOIN c ON n.rec = c.rec""",
+    }

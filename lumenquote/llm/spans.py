@@ -32,6 +32,8 @@ BATCH_POINTS = 1_000_000
 CAPS = (16, 24, 36, 52)
 #: A name in more occurrences than this is resolved by exact windows instead of by pairs.
 HOT = 64
+#: Characters of a text that are moved for an occurrence in it.
+PIECE = 4096
 
 _P, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31, _ONE = np.uint64(30), np.uint64(27), np.uint64(31), np.uint64(1)
@@ -270,21 +272,32 @@ def _portions(texts: pa.Array, least: int) -> Iterator[tuple[list[str], np.ndarr
         at = stop
 
 
-def shared_occurrences(records: DataFrame, least: int = LEAST) -> DataFrame:
+def text_pieces(records: DataFrame, least: int = LEAST, step: int = PIECE) -> DataFrame:
+    """rec, field, piece, text: the fields cut into pieces that begin every `step` characters and overlap, so that what lies
+    within twice the least length from a begin in a piece lies in that piece."""
+    texts = records.select("rec", F.explode("texts").alias("_x")).select("rec", F.col("_x.field").alias("field"), F.col("_x.text").alias("_text"))
+    last = F.floor((F.length("_text") - 1) / step)
+    return texts.select("rec", "field", "_text", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")).select(
+        "rec", "field", F.col("piece").cast("int").alias("piece"), F.substring(F.col("_text"), (F.col("piece") * step + 1).cast("int"), F.lit(step + 2 * least)).alias("text")
+    )
+
+
+def shared_occurrences(records: DataFrame, least: int = LEAST, step: int = PIECE) -> DataFrame:
     """name, n, rec, grp, field, lo, hi and the slice of text around it that any common window lies in (at: where it begins).
 
     Names are written once to the shared folder: counting them (with partial aggregation) and fetching the
-    occurrences of those that more than one group has are two reads of it. A hot name is split by the skew join.
+    occurrences of those that more than one group has are two reads of it. A hot name is split by the skew join. Slices
+    come from overlapping pieces of the texts, so what an occurrence costs does not depend on the length of its text.
     """
     names = written(name_records(records, least), "names")
     counts = names.groupBy("name").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1"), F.count(F.lit(1)).alias("n")).filter("_g0 < _g1").select("name", "n")
     occurrences = names.join(counts, "name").dropDuplicates(["name", "rec", "field", "lo"])
-    texts = records.select("rec", F.explode("texts").alias("_x")).select("rec", F.col("_x.field").alias("field"), F.col("_x.text").alias("_text"))
-    held = occurrences.join(texts, ["rec", "field"])
     begin = F.greatest(F.col("hi") - least, F.lit(0))
-    end = F.least(F.col("lo") + least, F.length("_text"))
-    held = held.withColumn("slice", F.substring(F.col("_text"), begin + 1, end - begin)).withColumn("at", begin)
-    return held.select("name", "n", "rec", "grp", "field", (F.col("lo") - F.col("at")).alias("lo"), (F.col("hi") - F.col("at")).alias("hi"), "at", "slice").dropDuplicates(["name", "rec", "field", "at", "lo"])
+    occurrences = occurrences.withColumn("at", begin).withColumn("piece", F.floor(F.col("at") / step).cast("int"))
+    held = occurrences.join(text_pieces(records, least, step), ["rec", "field", "piece"])
+    inside = F.col("at") - F.col("piece") * step
+    slice_ = F.substring(F.col("text"), inside + 1, F.col("lo") + least - F.col("at"))
+    return held.select("name", "n", "rec", "grp", "field", (F.col("lo") - F.col("at")).alias("lo"), (F.col("hi") - F.col("at")).alias("hi"), "at", slice_.alias("slice")).dropDuplicates(["name", "rec", "field", "at", "lo"])
 
 
 def common_length(a: str, a_lo: int, a_hi: int, b: str, b_lo: int, b_hi: int) -> int:
@@ -313,60 +326,77 @@ def _prefix(x: str, y: str) -> int:
     return lo
 
 
-def _windows(occurrences: DataFrame, least: int) -> DataFrame:
-    """one, two (names of a window), after (first name of the next window around the same name), rec, grp, field, start."""
+def _windows(occurrences: DataFrame, least: int, with_text: bool = False) -> DataFrame:
+    """one, two (names of a window), offset (of the name in it), rec, grp, field, start; with_text: also name, text and after, the character behind it if the next window is one around the name too."""
+    columns = "one bigint, two bigint, offset int, rec bigint, grp bigint, field int, start int" + (", name bigint, text string, after string" if with_text else "")
+    names = [c.split(" ")[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 b = whole.slice(k, 2000)
                 name, rec, grp, field, lo, hi, at, text = (b.column(i) for i in range(8))
-                one, two, row, start = window_names(text.to_pylist(), lo.to_pylist(), hi.to_pylist(), least)
+                texts = text.to_pylist()
+                one, two, row, start = window_names(texts, lo.to_pylist(), hi.to_pylist(), least)
                 if not len(one):
                     continue
-                same = np.append(row[1:] == row[:-1], False)
-                after = pa.array(np.append(one[1:], 0), mask=~same)
                 rows = pa.array(row)
-                begin = np.asarray(at)[row] + start
-                offset = np.asarray(lo)[row] - start
-                yield pa.RecordBatch.from_arrays(
-                    [name.take(rows), pa.array(one), pa.array(two), after, pa.array(offset.astype(np.int32)), rec.take(rows), grp.take(rows), field.take(rows), pa.array(begin.astype(np.int32))],
-                    names=["name", "one", "two", "after", "offset", "rec", "grp", "field", "start"],
-                )
+                out = [pa.array(one), pa.array(two), pa.array((np.asarray(lo)[row] - start).astype(np.int32)), rec.take(rows), grp.take(rows), field.take(rows), pa.array((np.asarray(at)[row] + start).astype(np.int32))]
+                if with_text:
+                    same = np.append(row[1:] == row[:-1], False).tolist()
+                    places = list(zip(row.tolist(), start.tolist()))
+                    out += [name.take(rows), pa.array([texts[i][x : x + least] for i, x in places], pa.string()), pa.array([texts[i][x + least] if s else None for (i, x), s in zip(places, same)], pa.string())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return map_batches(occurrences.select("name", "rec", "grp", "field", "lo", "hi", "at", "slice"),
-        run, "name bigint, one bigint, two bigint, after bigint, offset int, rec bigint, grp bigint, field int, start int"
-    )
+    return map_batches(occurrences.select("name", "rec", "grp", "field", "lo", "hi", "at", "slice"), run, columns)
 
 
-def shared_pairs(records: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """rec_a < rec_b of different groups that have an identical span of at least the least length within one field of each.
-
-    records comes from long_fields. Resent records (same rec and grp) count once. Pairs of a name with up to `hot`
-    occurrences are verified on the text around it; a name with more goes through exact windows of the least
-    length, joined by equality, so that only true pairs are formed. Nothing is capped.
-    """
-    occurrences = written(shared_occurrences(records, least), "occurrences")
-    few = occurrences.filter(F.col("n") <= hot)
-    a = few.select("name", *[F.col(c).alias(f"{c}_a") for c in ("rec", "grp", "lo", "hi", "slice")])
-    b = few.select("name", *[F.col(c).alias(f"{c}_b") for c in ("rec", "grp", "lo", "hi", "slice")])
+def _verified(few: DataFrame, least: int) -> DataFrame:
+    """rec_a < rec_b of different groups whose texts around a common name agree over the least length; repeated."""
+    columns = ("rec", "grp", "lo", "hi", "slice")
+    a, b = (few.select("name", *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
     tried = a.join(b, "name").filter("rec_a < rec_b AND grp_a <> grp_b").select("rec_a", "rec_b", "slice_a", "lo_a", "hi_a", "slice_b", "lo_b", "hi_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right = [common_length(*x) >= least for x in zip(*(c.to_pylist() for c in (batch.column("slice_a"), batch.column("lo_a"), batch.column("hi_a"), batch.column("slice_b"), batch.column("lo_b"), batch.column("hi_b"))))]
+            right = [common_length(*x) >= least for x in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield batch.select(["rec_a", "rec_b"]).filter(pa.array(right, pa.bool_()))
 
-    found = map_batches(tried, verify, "rec_a bigint, rec_b bigint")
-    many = _windows(occurrences.filter(F.col("n") > hot), least).dropDuplicates(["name", "one", "two", "offset", "rec", "grp"])
-    key = ["name", "one", "two", "offset"]
-    x = many.select(*key, F.col("after").alias("after_a"), F.col("rec").alias("rec_a"), F.col("grp").alias("grp_a"))
-    y = many.select(*key, F.col("after").alias("after_b"), F.col("rec").alias("rec_b"), F.col("grp").alias("grp_b"))
+    return map_batches(tried, verify, "rec_a bigint, rec_b bigint")
+
+
+def shared_pairs(records: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """rec_a < rec_b of different groups that have an identical span of at least the least length within one field of each.
+
+    records comes from long_fields. Resent records (same rec and grp) count once. Pairs of a name with up to `hot`
+    occurrences are verified on the text around it; a name with more goes through its windows of the least
+    length, joined by equality of their text, so that only true pairs are formed. Nothing is capped.
+    """
+    occurrences = written(shared_occurrences(records, least), "occurrences")
+    found = _verified(occurrences.filter(F.col("n") <= hot), least)
+    many = _windows(occurrences.filter(F.col("n") > hot), least, with_text=True).dropDuplicates(["name", "one", "two", "offset", "rec", "grp"])
+    key = ["name", "offset", "text"]
+    x, y = (many.select(*key, *[F.col(c).alias(f"{c}_{side}") for c in ("after", "rec", "grp")]) for side in "ab")
     # Of the windows that two records have in common around a name only the last makes the pair.
     last = "rec_a < rec_b AND grp_a <> grp_b AND NOT coalesce(after_a = after_b, false)"
     return found.unionByName(x.join(y, key).filter(last).select("rec_a", "rec_b")).distinct()
 
 
+def shared_links(records: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """rec, rep, n_records: the pairs of shared_pairs in a form that grows with the records, not with the square of a passage's.
+
+    A pair of a name with up to `hot` occurrences is a link from its larger to its smaller record (n_records 2). Of
+    a name with more, every record that has a window is linked to the least record that has it (rep may be rec itself, or one of its
+    own group), with the number of records of the largest such class; any two of a class are a pair if of different groups.
+    """
+    occurrences = written(shared_occurrences(records, least), "occurrences")
+    few = _verified(occurrences.filter(F.col("n") <= hot), least).select(F.col("rec_b").alias("rec"), F.col("rec_a").alias("rep"), F.lit(2).cast("bigint").alias("n_records"))
+    windows = _windows(occurrences.filter(F.col("n") > hot), least).select("one", "two", "rec", "grp").distinct()
+    classes = windows.groupBy("one", "two").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1"), F.min("rec").alias("rep"), F.count(F.lit(1)).alias("n_records")).filter("_g0 < _g1")
+    many = windows.join(classes.select("one", "two", "rep", "n_records"), ["one", "two"]).select("rec", "rep", "n_records")
+    return few.unionByName(many).groupBy("rec", "rep").agg(F.max("n_records").alias("n_records"))
+
+
 def shared_stretches(records: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
     """rec, field, start, stop: stretches of at least the least length that a record of another group has too; together they hold every shared window.
 

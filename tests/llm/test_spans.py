@@ -124,3 +124,58 @@ def test_texts_beyond_a_portion(spark, monkeypatch):
 def test_null_keys_have_no_partners(spark):
     df = table(spark, [(1, 1, ["z" * 200]), (2, 2, ["z" * 200]), (None, 3, ["z" * 200]), (4, None, ["z" * 200])])
     assert [tuple(r) for r in S.shared_pairs(df).collect()] == [(1, 2)]
+
+
+def test_slices_do_not_depend_on_the_pieces(spark):
+    df = table(spark, corpus(17) + [(700, 950, ["".join(random.Random(3).choice("abc ") for _ in range(3000)) * 2])] + [(701, 951, ["".join(random.Random(3).choice("abc ") for _ in range(3000))])])
+    got = [sorted(map(tuple, S.shared_occurrences(df, step=step).select("name", "rec", "field", "lo", "hi", "at", "slice").collect())) for step in (170, 4096, 10**6)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50 and all(len(x[6]) >= LEAST or x[5] == 0 for x in got[0])
+
+
+def test_a_long_record_is_cut_before_the_join(spark):
+    """A record of two million characters that shares thousands of passages: each occurrence moves one piece of it."""
+    rnd = random.Random(2)
+    passages = [" ".join(str(rnd.randrange(10**6)) for _ in range(40)) for _ in range(3000)]
+    long = " | ".join(p + " " + str(rnd.randrange(10**9)) * 50 for p in passages)
+    records = [(0, 0, [long])] + [(1 + i, 1 + i, [p]) for i, p in enumerate(passages)]
+    assert S.shared_pairs(table(spark, records)).count() == 3000
+
+
+@pytest.mark.parametrize("hot", [64, 1])
+def test_links_stand_for_all_pairs(spark, hot):
+    records = corpus(19)
+    links = {(r.rec, r.rep) for r in S.shared_links(table(spark, records), hot=hot).collect()}
+    pairs = brute(records)
+
+    def classes(edges):
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {x: find(x) for x in list(root)}
+
+    # The same records are linked, and what a pair joins lies in one class.
+    assert {x for p in pairs for x in p} == {x for p in links for x in p}
+    of = classes(links)
+    assert all(of[a] == of[b] for a, b in pairs) and len(links) <= 2 * len(pairs) + len(of)
+
+
+def test_links_grow_with_the_records(spark):
+    """Six thousand records with one passage, some with a digit more in common: eighteen million pairs, a few links a record."""
+    span = "the same long passage of boilerplate " * 6
+    df = table(spark, [(i, i, [f"{i} {span} {i}"]) for i in range(6000)])
+    got = S.shared_links(df).collect()
+    assert len(got) < 10 * 6000 and {r.rec for r in got if r.rep == 0 and r.n_records == 6000} == set(range(6000))
+
+
+def test_windows_of_hot_names_are_joined_on_their_text(spark, monkeypatch):
+    """Were all windows named alike, no false pair would be formed."""
+    rows = [(1, 1, 5, 10, "ab", "x" * 170), (1, 2, 5, 10, "cd", "y" * 170)]
+    df = spark.createDataFrame([(n, rec, rec, 0, lo, hi, 0, t) for n, rec, lo, hi, _, t in rows], "name bigint, rec bigint, grp bigint, field int, lo int, hi int, at int, slice string")
+    w = S._windows(df, LEAST, with_text=True).collect()
+    assert {(r.rec, r.text) for r in w} == {(1, "x" * 160), (2, "y" * 160)} and {r.after for r in w if r.rec == 1} == {"x", None}
