@@ -25,9 +25,9 @@ BLANKS = r"[\s\p{Z}\x{FEFF}]"
 TERMINAL = r"""[.!?。！？]["'»”“’)\]]*$"""
 DOTS = r"(?:(?<!\.)\.{2,}|…)$"
 MARKER = r"\{c[0-9]+\}$"
-# Words begin after what is none, so that long runs are read once.
+# A word begins after what is none, so that long runs are read once.
 LAST_WORD = r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)\.$"
-STOPPED_WORD = r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+\.[\s\p{Z}]+[\p{L}\p{N}])"
+BEFORE_STOP = r"(?<![\p{L}\p{N}])([\p{L}\p{N}]+)$"
 
 
 @dataclass(frozen=True)
@@ -56,9 +56,10 @@ def abbreviations(answers: DataFrame, rule: SpikeRule = SpikeRule()) -> list[str
 
     At most (full stops of an answer, on average) / abbreviation_df words can be so common, whatever the corpus.
     """
-    stops = answers.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("answer"), F.lit("")), F.lit(STOPPED_WORD), F.lit(1))).alias("_m"))
-    inner = F.col("_m").rlike(r"[\p{Ll}\p{N}]$")
-    words = stops.groupBy(F.substring_index("_m", ".", 1).alias("word")).agg(F.count(F.lit(1)).alias("n"), F.count_if(inner).alias("k"))
+    parts = answers.select(F.split(F.coalesce(F.col("answer"), F.lit("")), r"\.[\s\p{Z}]+", -1).alias("_p"))
+    stops = parts.select(F.explode(F.transform(F.slice("_p", 1, F.size("_p") - 1), lambda x, i: F.struct(F.regexp_extract(x, BEFORE_STOP, 1).alias("word"), F.substring(F.get("_p", i + 1), 1, 1).alias("next")))).alias("_s"))
+    stops = stops.select("_s.*").filter((F.col("word") != "") & F.col("next").rlike(r"[\p{L}\p{N}]"))
+    words = stops.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("next").rlike(r"[\p{Ll}\p{N}]")).alias("k"))
     total = answers.agg(F.count(F.lit(1))).scalar()
     found = words.filter((F.col("n") >= rule.abbreviation_df * total) & (F.col("n") >= 5) & (F.col("k") >= rule.abbreviation * F.col("n")))
     return sorted(r.word for r in found.select("word").collect())
@@ -66,7 +67,7 @@ def abbreviations(answers: DataFrame, rule: SpikeRule = SpikeRule()) -> list[str
 
 def line_form(line: Column) -> Column:
     """The line with numbers as 0 and capitalised words as X."""
-    return F.regexp_replace(F.regexp_replace(F.trim(line), r"[0-9]+", "0"), r"\b\p{Lu}[\p{L}\p{M}]+", "X")
+    return F.regexp_replace(F.regexp_replace(F.trim(line), r"[0-9]+", "0"), r"(^|[^\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]+", "$1X")
 
 
 def length_spikes(values: DataFrame, source: str, length_chars: str, length_bytes: str, unterminated: str, rule: SpikeRule = SpikeRule()) -> DataFrame:
@@ -122,7 +123,7 @@ def cut_answers(answers: DataFrame, rule: SpikeRule = SpikeRule(), short: list[s
 
 def usual_lines(values: DataFrame, rule: SpikeRule) -> DataFrame:
     """_form of the closing lines that many values of many lengths share (at most 1 / usual_line of them); a lone masked word is none."""
-    forms = values.groupBy("_form").agg(F.count(F.lit(1)).alias("_k"), F.approx_count_distinct("_n").alias("_d"))
+    forms = values.groupBy("_form").agg(F.count(F.lit(1)).alias("_k"), F.count_distinct("_n").alias("_d"))
     forms = forms.filter(F.col("_d") >= F.least(F.lit(10), F.col("_k") / 2))  # else they are cut alike
     total = values.agg(F.count(F.lit(1)))
     forms = forms.filter((F.col("_k") >= rule.usual_line * total.scalar()) & (F.col("_k") >= 2))
