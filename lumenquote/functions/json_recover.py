@@ -3,60 +3,49 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _balanced(text: str, at: int) -> int:
-    """End (exclusive) of the bracketed value that begins at `at`, -1 if it is not closed. Brackets of the other kind or in strings do not count."""
-    depth, quoted, i = 0, False, at
-    opening, closing = text[at], "}" if text[at] == "{" else "]"
-    while i < len(text):
-        c = text[i]
-        if quoted:
-            if c == "\\":
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-        elif c == opening:
-            depth += 1
-        elif c == closing:
-            depth -= 1
-            if depth == 0:
-                return i + 1
-        i += 1
-    return -1
+#: Whole strings, the last one perhaps cut off, and brackets.
+MARK = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}\[\]]', re.DOTALL)
+CLOSING = {"{": "}", "[": "]"}
+
+
+def balanced(text: str, opening: str, at: int = 0) -> Iterator[str]:
+    """Bracketed values one after the other from `at` on, up to one that is not closed. Brackets of the other kind or in strings do not count."""
+    while (at := text.find(opening, at)) >= 0:
+        depth, end = 0, -1
+        for m in MARK.finditer(text, at):
+            depth += (m.group() == opening) - (m.group() == CLOSING[opening])
+            if not depth:
+                end = m.end()
+                break
+        if end < 0:
+            return
+        yield text[at:end]
+        at = end
 
 
 def all_objects(text: str) -> list[str]:
-    """Every balanced {...} in sequence, up to one that is not closed."""
-    out, at = [], text.find("{")
-    while at >= 0 and (end := _balanced(text, at)) > 0:
-        out.append(text[at:end])
-        at = text.find("{", end)
-    return out
+    """Every balanced {...} in sequence."""
+    return list(balanced(text, "{"))
 
 
 def first_object(text: str) -> str | None:
     """The first balanced {...}, None if the first brace is never closed."""
-    at = text.find("{")
-    end = _balanced(text, at) if at >= 0 else -1
-    return text[at:end] if end > 0 else None
+    return next(balanced(text, "{"), None)
 
 
 def array_by_key(text: str, key: str) -> str | None:
     """The [...] after the first "key", or all that follows its bracket if it is not closed."""
     named = text.find(f'"{key}"')
     at = text.find("[", named) if named >= 0 else -1
-    if at < 0:
-        return None
-    end = _balanced(text, at)
-    return text[at:end] if end > 0 else text[at:]
+    return next(balanced(text, "[", at), text[at:]) if at >= 0 else None
 
 
 def items_of(content: str | None, key: str = "items") -> list:

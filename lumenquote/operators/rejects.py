@@ -1,6 +1,6 @@
 """Loading of delimited records whose faulty rows come out apart, each with the reason.
 
-Blocks of records go through a columnar CSV parse. A block that cannot be parsed as a whole is halved
+Records with odd quoting are held out by a columnar test. Blocks of the others go through a columnar CSV parse. A block that cannot be parsed as a whole is halved
 until the faulty records stand alone; records whose columns do not give back their own line, or hold an
 invalid value, are picked out by a mask. Only those are read by the strict, record-wise scanner.
 """
@@ -122,6 +122,12 @@ def diagnose(kind: str | None, line: str) -> tuple[str | None, dict]:
     return None, value
 
 
+def _plainly_quoted(lines: pa.Array) -> pa.Array:
+    """Whether a record has two quotation marks besides escaped ones, the second at its end; the others would only make their blocks fail."""
+    bare = pc.replace_substring(pc.replace_substring(lines, "\\\\", ""), '\\"', "")
+    return pc.and_(pc.equal(pc.count_substring(bare, '"'), 2), pc.ends_with(bare, '"'))
+
+
 def _columnar(kind: str, lines: pa.Array) -> tuple[dict[str, pa.Array], pa.Array] | None:
     """Columns of the block and a mask of the records that are certainly right; None if the block can't be parsed as a whole."""
     names = FIELDS[kind]
@@ -208,6 +214,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind not in FIELDS:
                 out.append(_strictly(i.to_pylist(), kind, x.to_pylist()))
                 continue
+            plain = _plainly_quoted(x)
+            odd = pc.invert(plain)
+            if pc.any(odd).as_py():
+                out.append(_strictly(i.filter(odd).to_pylist(), kind, x.filter(odd).to_pylist()))
+                i, x = i.filter(plain), x.filter(plain)
             for at in range(0, len(x), BLOCK_RECORDS):
                 out.extend(_block(kind, i[at : at + BLOCK_RECORDS], x[at : at + BLOCK_RECORDS]))
         if out:
