@@ -32,6 +32,8 @@ BATCH_POINTS = 1_000_000
 CAPS = (16, 24, 36, 52)
 #: A name in more occurrences than this is resolved by exact windows instead of by pairs.
 HOT = 64
+#: Parts that the occurrences of a name are split into.
+SALTS = 16
 #: Characters of a text that are moved for an occurrence in it.
 PIECE = 4096
 
@@ -286,18 +288,21 @@ def shared_occurrences(records: DataFrame, least: int = LEAST, step: int = PIECE
     """name, n, rec, grp, field, lo, hi and the slice of text around it that any common window lies in (at: where it begins).
 
     Names are written once to the shared folder: counting them (with partial aggregation) and fetching the
-    occurrences of those that more than one group has are two reads of it. A hot name is split by the skew join. Slices
-    come from overlapping pieces of the texts, so what an occurrence costs does not depend on the length of its text.
+    occurrences of those that more than one group has are two reads of it. A hot name is split by a salt, which the few
+    names that are shared are repeated for. Slices come from overlapping pieces of the texts, so what an occurrence costs does not depend on the length of its text.
     """
     names = written(name_records(records, least), "names")
     counts = names.groupBy("name").agg(F.min("grp").alias("_g0"), F.max("grp").alias("_g1"), F.count(F.lit(1)).alias("n")).filter("_g0 < _g1").select("name", "n")
-    occurrences = names.join(counts, "name").dropDuplicates(["name", "rec", "field", "lo"])
+    salted = names.withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(SALTS)))
+    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    occurrences = salted.join(counts, ["name", "salt"]).dropDuplicates(["name", "salt", "rec", "field", "lo"])
     begin = F.greatest(F.col("hi") - least, F.lit(0))
     occurrences = occurrences.withColumn("at", begin).withColumn("piece", F.floor(F.col("at") / step).cast("int"))
     held = occurrences.join(text_pieces(records, least, step), ["rec", "field", "piece"])
     inside = F.col("at") - F.col("piece") * step
     slice_ = F.substring(F.col("text"), inside + 1, F.col("lo") + least - F.col("at"))
-    return held.select("name", "n", "rec", "grp", "field", (F.col("lo") - F.col("at")).alias("lo"), (F.col("hi") - F.col("at")).alias("hi"), "at", slice_.alias("slice")).dropDuplicates(["name", "rec", "field", "at", "lo"])
+    held = held.select("name", "n", "rec", "grp", "field", "piece", (F.col("lo") - F.col("at")).alias("lo"), (F.col("hi") - F.col("at")).alias("hi"), "at", slice_.alias("slice"))
+    return held.dropDuplicates(["rec", "field", "piece", "name", "at", "lo"]).drop("piece")  # resent records; keeps to the join's partitions
 
 
 def common_length(a: str, a_lo: int, a_hi: int, b: str, b_lo: int, b_hi: int) -> int:
