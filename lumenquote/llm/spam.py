@@ -27,10 +27,13 @@ MARKUP = re.compile(r"</?[a-z][^>]*>|\[/?url[^\]]*\]", re.I)
 HASHTAG = re.compile(r"#\w{3,}")
 SEPARATOR = re.compile(r"[;,|#•·]|\s[-–—/~*+>]+\s")
 ITEM_END = re.compile(r"[;,|\n.!?]| - ")
-#: A line of a log, a command, code or a measured part.
-LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\[?\d\d:\d\d:\d\d)")
-CODE = re.compile(r"^(?:\s{4,}|\t|\s*(?:\$ |>>> |[{}\[\]();]+\s*$|</?(?:pre|code|div|span)\b))|[{}]\s*$|^[^;]*;\s*$|\w\(.*\)|==|&&|::|->|=>|\\[a-zA-Z]+[ {_^(]|^\s*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GROUP BY|ORDER BY|HAVING|JOIN|LIMIT)\b")
-PART = re.compile(r"^\s*(?:[-*+]\s*)?\d+\s*(?:x|×|Stk\.?|pcs\.?)\s+\S.*\d\s*(?:mm|cm|m|kg|g|V|A|W|Ω)\b", re.I)
+#: A line of a log, code or a measured part, by its beginning or all of it; and code by what stands anywhere.
+LOG = r"\W*(?:\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\[?\d\d:\d\d:\d\d)"
+PART = r"\s*(?:[-*+]\s*)?\d+\s*(?i:x|×|Stk\.?|pcs\.?)\s+\S.*\d\s*(?i:mm|cm|m|kg|g|V|A|W|Ω)\b"
+CODE_LINE = r"\s{4,}|\t|\s*(?:\$ |>>> |[{}\[\]();]+\s*$|</?(?:pre|code|div|span)\b)|[^;]*;\s*$|\s*(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|GROUP BY|ORDER BY|HAVING|JOIN|LIMIT)\b"
+NO_PROSE, CODE_LINE = re.compile(f"{LOG}|{PART}"), re.compile(CODE_LINE)
+CODE_PART = re.compile(r"[{}]\s*$|\w\(.*\)|==|&&|::|->|=>|\\[a-zA-Z]+[ {_^(]")
+ASCII_WORD = re.compile("[a-z]+")
 
 
 @dataclass(frozen=True)
@@ -78,14 +81,17 @@ def language_key(lang: str | None) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall((LINK.sub(" ", text) if "://" in text or "www." in text.lower() else text).lower())
+    low = text.lower()
+    if "://" in low or "www." in low:
+        low = LINK.sub(" ", low)
+    return (ASCII_WORD if low.isascii() else WORD).findall(low)
 
 
 def measures_of(text: str, words: list[str]) -> tuple[float, ...]:
     """The MEASURES of a text, a higher one being more like spam (variety is taken from 1)."""
     n = max(1, len(words))
     pairs = list(zip(words, words[1:]))
-    items = [x.strip().lower() for x in ITEM_END.split(text) if x and not x.isspace()]
+    items = [x for x in map(str.strip, ITEM_END.split(text.lower())) if x]
     links = LINK.findall(text) if "://" in text or "www." in text.lower() else []
     in_links = sum(map(len, links)) + (sum(map(len, MARKUP.findall(text))) if "<" in text or "[" in text else 0)
     return (
@@ -279,7 +285,7 @@ def mostly_repeated(text: str, words: list[str], limits: SpamLimits, more: int =
     varied = n < 4 * limits.least_words or (len(set(words)) + more) / n > limits.variety
     separated = lambda: len(SEPARATOR.findall(text)) >= limits.separators * n
     if repeated < limits.whole_repeated and (varied or not separated()):
-        items = [x.strip().lower() for x in ITEM_END.split(text) if not x.isspace() and WORD.search(x)]
+        items = [x.strip() for x in ITEM_END.split(text.lower()) if WORD.search(x)]
         if (len(items) - len(set(items))) / max(1, len(items) + more_items) < limits.whole_repeated:
             return None
     return "attributes" if separated() else "keywords"
@@ -307,7 +313,9 @@ def whole_is_spam(lines: list[str], words: list[str], lists: Lists, limits: Spam
 
 
 def is_technical(line: str) -> bool:
-    return bool(LOG.search(line) or PART.search(line) or (CODE.search(line) and not LINK.search(line) and not HASHTAG.search(line)))
+    if NO_PROSE.match(line):
+        return True
+    return bool((CODE_LINE.match(line) or CODE_PART.search(line)) and not LINK.search(line) and not HASHTAG.search(line))
 
 
 def judge_document(text: str | None, lang: str | None, functions: Functions, limits: SpamLimits) -> tuple[float, str | None]:
