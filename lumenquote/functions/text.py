@@ -10,7 +10,6 @@ BLANK = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 #: Begins after what is no blank, so that a long run is read once.
 LAST_BLANKS = f"(?<!{BLANK}){BLANK}+$"
 CONTROL = r"[\x00-\x1F\x7F-\x9F]"
-TAG = r"<[^>]*>"
 CLAIM_MARKER = r"\{c[0-9]+\}"
 SOURCE_MARKER = r"\[[0-9]+\]"
 ELLIPSIS = "…"
@@ -34,7 +33,10 @@ def strip_control_chars(c: Column) -> Column:
 
 
 def strip_html_tags(c: Column) -> Column:
-    return F.regexp_replace(c, TAG, " ")
+    """Each tag (from a < to the next >) becomes a blank; texts with many < and no > are read once too."""
+    parts = F.split(c, ">", -1)
+    closed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.when(F.contains(p, F.lit("<")), F.concat(F.substring_index(p, "<", 1), F.lit(" "))).otherwise(F.concat(p, F.lit(">"))))
+    return F.when(F.contains(c, F.lit("<")), F.array_join(F.concat(closed, F.array(F.element_at(parts, -1))), "")).otherwise(c)
 
 
 def truncate(c: Column, most: int) -> Column:

@@ -66,6 +66,7 @@ def _file_system(spark: SparkSession, place: str):
 
 
 def _delete_at_end(spark: SparkSession, place: str) -> None:
+    """Has the driver's JVM delete the folder, which must exist, when it ends."""
     system, path = _file_system(spark, place)
     system.deleteOnExit(path)
 
@@ -77,9 +78,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _delete_at_end(spark, path)
     _tables(spark).append(path)
     df.write.parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

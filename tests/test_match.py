@@ -1,8 +1,10 @@
 import random
+import re
 from collections import Counter
 from math import floor
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenquote.functions.normalize import normal_text, normalize_for_match
 from lumenquote.operators import match as M
@@ -101,3 +103,11 @@ def test_staged_matching_with_odd_rows(spark):
 def test_gram_table(spark):
     df = spark.createDataFrame([(1, "abcab"), (1, "ab"), (2, None), (2, "aaaa")], "k int, t string")
     assert {tuple(r) for r in M.gram_table(df, ["k"], "t").collect()} == {(1, "abc", 1), (1, "bca", 1), (1, "cab", 1), (2, "aaa", 2)}
+
+
+def test_tags_become_blanks(spark):
+    from lumenquote.functions.text import strip_html_tags
+
+    texts = ["a<b>c</b>d", "1 < 2 > 0 <x", ">a>", "no tags > here", "<<a>>", "", None, "<" * 200_000, "<a\nb>z<"]
+    got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(strip_html_tags(F.col("t")).alias("x")).collect()]
+    assert got == [None if t is None else re.sub(r"<[^>]*>", " ", t) if len(t) < 1000 else t for t in texts]
