@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenquote.functions.text import trim_blank, truncate
 from lumenquote.operators.judge import Judge, first_results, validate_results
 from lumenquote.operators.protocol import answer_events, event_evidence, event_warnings, message, strip_appendix
-from lumenquote.operators.verify import JUDGEABLE, apply_judge, citations, judge_inputs, summarize, verifier_warnings
+from lumenquote.operators.verify import JUDGEABLE, apply_judge, event_citations, judge_inputs, summarize, verifier_warnings
 from lumenquote.session import written
 
 # Fixed values of the gate.
@@ -118,7 +118,8 @@ def gate_jobs(answers: DataFrame, sources: DataFrame, judge: Judge | None = None
         if c not in answers.columns:
             answers = answers.withColumn(c, F.lit(None).cast(kind))
     texts = answers.select("answer_id", "answer")
-    cited = written(citations(texts, sources), "citations")
+    events = written(answer_events(texts), "events")
+    cited = written(event_citations(events, sources), "citations")
     asked = answers.filter(F.coalesce("judge", F.lit(True))).select("answer_id")
     none = {"class": "string", "confidence": "double", "reasons": "array<string>"}
     inputs = results = judged = None
@@ -132,8 +133,7 @@ def gate_jobs(answers: DataFrame, sources: DataFrame, judge: Judge | None = None
     whole = whole.unionByName(plain) if judge is not None else plain
     least = answers.select("answer_id", F.coalesce("min_score", F.lit(MIN_SCORE)).alias("_least"))
     verdicts = gate_verdicts(answers, gate_problems(whole.join(least, "answer_id"), F.col("_least")), "min_uncited_chars")
-    events = answer_events(texts)
-    said = event_warnings(events).unionByName(verifier_warnings(texts, sources, judged, inputs, results, event_evidence(events)))
+    said = event_warnings(events).unionByName(verifier_warnings(None, sources, judged, inputs, results, event_evidence(events)))
     said = said.withColumn("m", message(F.col("kind"), F.col("claim_id"), F.col("source_index"), F.col("detail")))
     said = said.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("phase", "ord", "m"))).alias("_w"))
     summary = summarize(answers, whole)

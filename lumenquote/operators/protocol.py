@@ -177,11 +177,11 @@ def _typed(df: DataFrame, phase: int, kind: str, order: list[str], claim: bool =
     )
 
 
-def answer_events(answers: DataFrame, with_text: bool = False) -> DataFrame:
+def answer_events(answers: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """answer_id, type, line_no, seg_no, claim_id, source_index, cites, text, detail of all that the parser sees, from one reading.
 
     type: evidence, malformed_line or invalid_index for appendix lines, claim for claim markers (with their cites). text
-    is the quote or the claim's text. with_text adds clean_text, on one further row of null type for each answer.
+    is the quote or the claim's text. with_text adds clean_text, on one further row of null type for each answer. keep names columns of answers that all rows get.
     """
     tagged = F.concat(
         F.transform(F.split("_b", "\n", -1), lambda x, i: F.struct(F.lit(True).alias("body"), i.alias("line_no"), x.alias("line"))),
@@ -190,13 +190,13 @@ def answer_events(answers: DataFrame, with_text: bool = False) -> DataFrame:
     used = F.filter(tagged, lambda x: F.when(x["body"], F.contains(x["line"], F.lit("{c")) & x["line"].rlike(CLAIM_MARKER)).otherwise(x["line"] != ""))
     if with_text:
         used = F.concat(F.array(F.struct(F.lit(None).cast("boolean").alias("body"), F.lit(-1).alias("line_no"), strip_claim_markers(F.col("_b")).alias("line"))), used)
-    lines = _with_lines(answers).withColumn("_b", _body()).select("answer_id", F.explode(used).alias("_t")).select("answer_id", "_t.*")
+    lines = _with_lines(answers).withColumn("_b", _body()).select("answer_id", *keep, F.explode(used).alias("_t")).select("answer_id", *keep, "_t.*")
     ids = F.regexp_extract_all("line", F.lit(r"\{c([0-9]+)\}"), F.lit(1))
     segments = F.arrays_zip(ids.alias("id"), F.slice(F.split("line", CLAIM_MARKER, -1), 1, F.size(ids)).alias("text"))
     one = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("text")))
     # A line of the body is not carried along with each of its markers.
-    lines = lines.select("answer_id", "body", "line_no", F.when(~F.col("body"), F.col("line")).alias("line"), F.when(F.col("body").isNull(), F.col("line")).alias("clean_text"), F.when(F.col("body"), segments).otherwise(one).alias("_s"))
-    rows = lines.select("answer_id", "body", "line_no", "line", "clean_text", F.posexplode("_s").alias("seg_no", "_z"))
+    lines = lines.select("answer_id", *keep, "body", "line_no", F.when(~F.col("body"), F.col("line")).alias("line"), F.when(F.col("body").isNull(), F.col("line")).alias("clean_text"), F.when(F.col("body"), segments).otherwise(one).alias("_s"))
+    rows = lines.select("answer_id", *keep, "body", "line_no", "line", "clean_text", F.posexplode("_s").alias("seg_no", "_z"))
     ok = F.coalesce(F.col("line").rlike(EVIDENCE_LINE), F.lit(False))
     index = F.when(ok, F.coalesce(F.regexp_extract("line", EVIDENCE_LINE, 2).try_cast("bigint"), F.lit(2**63 - 1)))
     kind = F.when(F.col("body"), "claim").when(~F.col("body"), F.when(~ok, "malformed_line").when(F.col("_i") < 1, "invalid_index").otherwise("evidence"))
@@ -205,7 +205,7 @@ def answer_events(answers: DataFrame, with_text: bool = False) -> DataFrame:
     return rows.withColumn("_i", index).select(
         "answer_id", kind.alias("type"), "line_no", "seg_no", claim.alias("claim_id"), F.col("_i").alias("source_index"),
         F.when(F.col("body"), group_indexes(F.regexp_extract(F.col("_z.text"), CITATION_GROUP, 1))).alias("cites"), text.alias("text"), truncate(F.col("line"), DETAIL_CHARS).alias("detail"),
-        *(["clean_text"] if with_text else []),
+        *(["clean_text"] if with_text else []), *keep,
     )
 
 

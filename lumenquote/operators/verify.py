@@ -41,7 +41,12 @@ def missing_sources(answers: DataFrame | None, sources: DataFrame, evidence: Dat
 
 def citations(answers: DataFrame, sources: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
     """One row per citation: the match, the claim's text ('' if there is none) and the score from the text alone. Answers are read once."""
-    located = _located(P.event_evidence(P.answer_events(answers)), sources, options)
+    return event_citations(P.answer_events(answers), sources, options)
+
+
+def event_citations(events: DataFrame, sources: DataFrame, options: MatchOptions = MatchOptions()) -> DataFrame:
+    """As citations, from answer_events."""
+    located = _located(P.event_evidence(events), sources, options)
     return located.withColumnRenamed("score", "text_score").withColumn("score", F.col("text_score"))
 
 
@@ -109,19 +114,20 @@ def verifier_warnings(answers: DataFrame | None, sources: DataFrame, cited: Data
 def verify_answers(answers: DataFrame, sources: DataFrame, judge: J.Judge | None = None, options: MatchOptions = MatchOptions()) -> dict[str, DataFrame]:
     """The report as tables: clean_text, claims, citations, warnings and summary. answers are unique by answer_id.
 
-    Citations, and the judge's results if there is one, are written once to the shared folder, so that every quote is
-    located and every item judged once, however many of the tables are used.
+    What the parser sees, citations, and the judge's results if there is one, are written once to the shared folder, so that every answer is
+    read, every quote located and every item judged once, however many of the tables are used.
     """
-    cited = written(citations(answers, sources, options), "citations")
+    keep = ("context_window_chars",) if "context_window_chars" in answers.columns else ()
+    parsed = written(P.answer_events(answers, with_text=True, keep=keep), "events")
+    heads, events = parsed.filter("type IS NULL").select("answer_id", "clean_text", *keep), parsed.filter("type IS NOT NULL").drop("clean_text", *keep)
+    cited = written(event_citations(events, sources, options), "citations")
     inputs = results = None
     if judge is not None:
-        inputs = judge_inputs(cited, answers, sources)
-        results = written(judge.judge(inputs), "judged")
+        results = written(judge.judge(judge_inputs(cited, heads, sources)), "judged")
         inputs = cited.filter(JUDGEABLE).select("answer_id")
         cited = apply_judge(cited, J.first_results(J.validate_results(results)))
-    events = written(P.answer_events(answers), "events")
-    warnings = P.event_warnings(events).unionByName(verifier_warnings(answers, sources, cited if judge is not None else None, inputs, results, P.event_evidence(events)))
-    return {"clean_text": P.clean_text(answers), "claims": P.event_claims(events), "citations": cited, "warnings": warnings, "summary": summarize(answers, cited)}
+    warnings = P.event_warnings(events).unionByName(verifier_warnings(None, sources, cited if judge is not None else None, inputs, results, P.event_evidence(events)))
+    return {"clean_text": heads.select("answer_id", "clean_text"), "claims": P.event_claims(events), "citations": cited, "warnings": warnings, "summary": summarize(heads, cited)}
 
 
 def nested_report(tables: dict[str, DataFrame]) -> DataFrame:
